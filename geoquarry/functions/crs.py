@@ -277,10 +277,11 @@ def reproject(geom: Column, source, target) -> Column:
             points = F.transform(points, apply(step))
         return points
 
-    parts = F.transform(geom["parts"], lambda part: F.transform(part, move))
-    return F.when(
-        geom.isNotNull(), F.struct(geom["kind"].alias("kind"), parts.alias("parts"))
-    )
+    def moved(g: Column) -> Column:
+        parts = F.transform(g["parts"], lambda part: F.transform(part, move))
+        return F.when(g.isNotNull(), F.struct(g["kind"].alias("kind"), parts.alias("parts")))
+
+    return F.get(F.transform(F.array(geom), moved), F.lit(0))
 
 
 def reproject_xy(df: DataFrame, x: str, y: str, source, target) -> DataFrame:

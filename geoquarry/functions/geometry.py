@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +24,11 @@ from .crs import reproject
 EARTH_CIRCUMFERENCE = 40075016.686
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _xy(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -86,12 +93,16 @@ def area(geom: Column) -> Column:
     """Planar area: outer rings minus holes; 0 for points and lines."""
     def part_area(part: Column) -> Column:
         sizes = F.transform(part, lambda r: F.abs(ring_area(r)))
-        return F.when(F.size(part) > 0, F.element_at(sizes, 1) * 2 - _sum(sizes)).otherwise(0.0)
+        outer_minus_rest = let(sizes, lambda v: F.element_at(v, 1) * 2 - _sum(v))
+        return F.when(F.size(part) > 0, outer_minus_rest).otherwise(0.0)
 
-    polygonal = geom["kind"].isin(POLYGON, MULTIPOLYGON)
-    return F.when(polygonal, _sum(F.transform(geom["parts"], part_area))).when(
-        geom.isNotNull(), F.lit(0.0)
-    )
+    def of(g: Column) -> Column:
+        polygonal = g["kind"].isin(POLYGON, MULTIPOLYGON)
+        return F.when(polygonal, _sum(F.transform(g["parts"], part_area))).when(
+            g.isNotNull(), F.lit(0.0)
+        )
+
+    return let(geom, of)
 
 
 def length(geom: Column) -> Column:
@@ -123,29 +134,29 @@ def is_empty(geom: Column) -> Column:
 
 def centroid(geom: Column) -> Column:
     """Area-weighted centroid of polygons, length-weighted of lines, mean of points."""
-    origin = F.element_at(points_of(geom), 1)
+    return let(geom, lambda g: let(F.element_at(points_of(g), 1), lambda o: _centroid(g, o)))
+
 
-    def ring_moment(ring: Column) -> Column:
+def _moment(w: Column, mx: Column, my: Column) -> Column:
+    return F.struct(w.alias("w"), mx.alias("mx"), my.alias("my"))
+
+
+def _centroid(geom: Column, origin: Column) -> Column:
+    def ring_moment(ring: Column, sign: Column) -> Column:
         def moment(s: Column) -> Column:
             px, py = s["p"]["x"] - origin["x"], s["p"]["y"] - origin["y"]
             qx, qy = s["q"]["x"] - origin["x"], s["q"]["y"] - origin["y"]
-            cross = px * qy - qx * py
-            return F.struct(
-                (cross / 2).alias("w"),
-                ((px + qx) * cross / 6).alias("mx"),
-                ((py + qy) * cross / 6).alias("my"),
-            )
+            corners = F.struct((sign * (px * qy - qx * py)).alias("c"), (px + qx).alias("x"), (py + qy).alias("y"))
+            return let(corners, lambda v: _moment(v["c"] / 2, v["x"] * v["c"] / 6, v["y"] * v["c"] / 6))
 
         return F.transform(_steps(ring), moment)
 
     def line_moment(ring: Column) -> Column:
         def moment(s: Column) -> Column:
-            w = F.hypot(s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"])
-            return F.struct(
-                w.alias("w"),
-                (w * ((s["p"]["x"] + s["q"]["x"]) / 2 - origin["x"])).alias("mx"),
-                (w * ((s["p"]["y"] + s["q"]["y"]) / 2 - origin["y"])).alias("my"),
-            )
+            x = (s["p"]["x"] + s["q"]["x"]) / 2 - origin["x"]
+            y = (s["p"]["y"] + s["q"]["y"]) / 2 - origin["y"]
+            size = F.hypot(s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"])
+            return let(size, lambda w: _moment(w, w * x, w * y))
 
         return F.transform(_steps(ring), moment)
 
@@ -153,14 +164,7 @@ def centroid(geom: Column) -> Column:
         """Moments with the outer ring counted positive and holes negative."""
         def signed(ring: Column, i: Column) -> Column:
             sign = F.signum(ring_area(ring)) * F.when(i == 0, 1.0).otherwise(-1.0)
-            return F.transform(
-                ring_moment(ring),
-                lambda m: F.struct(
-                    (m["w"] * sign).alias("w"),
-                    (m["mx"] * sign).alias("mx"),
-                    (m["my"] * sign).alias("my"),
-                ),
-            )
+            return let(sign, lambda v: ring_moment(ring, v))
 
         return F.flatten(F.transform(part, signed))
 
@@ -172,20 +176,20 @@ def centroid(geom: Column) -> Column:
         .otherwise(
             F.transform(
                 points_of(geom),
-                lambda p: F.struct(
-                    F.lit(1.0).alias("w"),
-                    (p["x"] - origin["x"]).alias("mx"),
-                    (p["y"] - origin["y"]).alias("my"),
-                ),
+                lambda p: _moment(F.lit(1.0), p["x"] - origin["x"], p["y"] - origin["y"]),
             )
         )
     )
-    weight = _sum(F.transform(moments, lambda m: m["w"]))
-    return F.when(
-        weight != 0,
-        _xy(
-            origin["x"] + _sum(F.transform(moments, lambda m: m["mx"])) / weight,
-            origin["y"] + _sum(F.transform(moments, lambda m: m["my"])) / weight,
+    zero = _moment(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    total = F.aggregate(
+        moments,
+        zero,
+        lambda a, m: _moment(a["w"] + m["w"], a["mx"] + m["mx"], a["my"] + m["my"]),
+    )
+    return let(
+        total,
+        lambda t: F.when(
+            t["w"] != 0, _xy(origin["x"] + t["mx"] / t["w"], origin["y"] + t["my"] / t["w"])
         ),
     )
 
@@ -203,26 +207,26 @@ def buffer_points(geom: Column, metres: float, crs=4326, segments: int = 64) ->
 
     Other geometries give an error: polygon offsets are not offered.
     """
-    flat = reproject(geom, crs, 3035)
     angles = [2 * math.pi * i / segments for i in range(segments)]
-    turns = F.array(
-        *[
-            _xy(F.lit(metres * math.cos(a)), F.lit(-metres * math.sin(a)))
-            for a in [*angles, 0.0]
-        ]
-    )
-    circles = F.transform(
-        points_of(flat),
-        lambda p: F.array(
-            F.transform(turns, lambda t: _xy(p["x"] + t["x"], p["y"] + t["y"]))
-        ),
+    offsets = F.from_json(
+        F.lit(json.dumps([[metres * math.cos(a), -metres * math.sin(a)] for a in [*angles, 0.0]])),
+        "array<array<double>>",
     )
-    kind = F.when(geom["kind"] == POINT, POLYGON).otherwise(MULTIPOLYGON)
-    circle = F.struct(kind.alias("kind"), circles.alias("parts")).cast(GEOM_TYPE)
-    checked = F.when(
-        F.coalesce(geom["kind"].isin(POINT, MULTIPOINT), F.lit(True)), circle
-    ).otherwise(F.raise_error(F.lit("buffer_points takes points only")).cast(GEOM_TYPE))
-    return F.when(geom.isNotNull(), reproject(checked, 3035, crs))
+
+    def circle(p: Column) -> Column:
+        return F.array(F.transform(offsets, lambda t: _xy(p["x"] + t[0], p["y"] + t[1])))
+
+    def around(g: Column) -> Column:
+        kind = F.when(g["kind"] == POINT, POLYGON).otherwise(MULTIPOLYGON)
+        circles = F.struct(
+            kind.alias("kind"), F.transform(points_of(g), circle).alias("parts")
+        ).cast(GEOM_TYPE)
+        return F.when(g.isNull() | g["kind"].isin(POINT, MULTIPOINT), circles).otherwise(
+            F.raise_error(F.lit("buffer_points takes points only")).cast(GEOM_TYPE)
+        )
+
+    metric = let(reproject(geom, crs, 3035), around)
+    return F.when(geom.isNotNull(), reproject(metric, 3035, crs))
 
 
 def expand_box(minx: Column, miny: Column, maxx: Column, maxy: Column, by: Column) -> Column:
@@ -274,18 +278,19 @@ def geojson(geom: Column) -> Column:
     def rings(part: Column) -> Column:
         return bracket(F.transform(part, ring))
 
-    parts = geom["parts"]
-    lines = F.flatten(parts)
-
     def text(kind: str, coordinates: Column) -> Column:
         return F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), coordinates, F.lit("}"))
 
-    first = F.coalesce(F.get(F.transform(points_of(geom), coordinate), F.lit(0)), F.lit("[]"))
-    return (
-        F.when(geom["kind"] == 1, text("Point", first))
-        .when(geom["kind"] == 2, text("LineString", ring(F.flatten(lines))))
-        .when(geom["kind"] == 3, text("Polygon", rings(F.flatten(parts))))
-        .when(geom["kind"] == 4, text("MultiPoint", ring(F.flatten(lines))))
-        .when(geom["kind"] == 5, text("MultiLineString", rings(lines)))
-        .when(geom["kind"] == 6, text("MultiPolygon", bracket(F.transform(parts, rings))))
-    )
+    def of(g: Column) -> Column:
+        lines = F.flatten(g["parts"])
+        first = F.coalesce(F.get(F.transform(F.flatten(lines), coordinate), F.lit(0)), F.lit("[]"))
+        return (
+            F.when(g["kind"] == 1, text("Point", first))
+            .when(g["kind"] == 2, text("LineString", ring(F.flatten(lines))))
+            .when(g["kind"] == 3, text("Polygon", rings(lines)))
+            .when(g["kind"] == 4, text("MultiPoint", ring(F.flatten(lines))))
+            .when(g["kind"] == 5, text("MultiLineString", rings(lines)))
+            .when(g["kind"] == 6, text("MultiPolygon", bracket(F.transform(g["parts"], rings))))
+        )
+
+    return let(geom, of)

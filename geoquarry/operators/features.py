@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions.wkb import from_wkb
-from ..model import BOUNDS_COLUMNS, FILE_PATH, GEOMETRY, HIDDEN_COLUMNS, UNIQUE_ID
+from ..model import BOUNDS_COLUMNS, FILE_PATH, GEOM, GEOMETRY, HIDDEN_COLUMNS, UNIQUE_ID
 
 
 def _bounds() -> dict[str, Column]:
@@ -36,14 +36,15 @@ def feature_view(
 
 def geojson_features(df: DataFrame, number: Column | None = None) -> DataFrame:
     """One GeoJSON feature per row as text in ``feature``, its id a running number if given."""
-    return df.select(
+    placed = df.withColumn(GEOM, from_wkb(F.col(GEOMETRY)))
+    return placed.select(
         F.concat(
             F.lit('{"id":"'),
             (F.col(UNIQUE_ID) if number is None else number).cast("string"),
             F.lit('","type":"Feature","properties":'),
             F.to_json(F.struct(F.col(UNIQUE_ID))),
             F.lit(',"geometry":'),
-            F.coalesce(geo.geojson(from_wkb(F.col(GEOMETRY))), F.lit("null")),
+            F.coalesce(geo.geojson(F.col(GEOM)), F.lit("null")),
             F.lit("}"),
         ).alias("feature")
     )

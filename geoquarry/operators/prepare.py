@@ -82,7 +82,8 @@ def prepare(
     keep_wkb = binary and not moved
     out = placed.withColumns(geo.bounds(F.col(GEOM)))
     if not keep_wkb:
-        out = out.drop(geometry).withColumn(GEOMETRY, to_wkb(F.col(GEOM)))
+        out = out.withColumn(GEOMETRY, to_wkb(F.col(GEOM)))
+        out = out if geometry in (GEOM, GEOMETRY) else out.drop(geometry)
     elif geometry != GEOMETRY:
         out = out.withColumnRenamed(geometry, GEOMETRY)
     return out if keep_geom else out.drop(GEOM)

@@ -31,7 +31,7 @@ def sample_per_layer(df: DataFrame, layer: str, key: str, n: int = 10_000, seed:
     before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = (
         counts.withColumn("__before", before)
-        .filter((F.col("__before") < n) & (F.col("__before") + F.col("__n") > n))
+        .filter((F.col("__before") < n) & (F.col("__before") + F.col("__n") >= n))
         .select(layer, F.col("__bucket").alias("__cut"), (n - F.col("__before")).alias("__quota"))
     )
     joined = join_stats(hashed, cut, [layer])

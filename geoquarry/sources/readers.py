@@ -25,7 +25,8 @@ def _located(reader, path, positions: bool = True) -> DataFrame:
     columns = {FILE_PATH: F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")}
     if positions:
         columns[ROW_INDEX] = F.col("_metadata.row_index")
-    return df.select("*", *[c.alias(k) for k, c in columns.items()])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, *[c.alias(k) for k, c in columns.items()])
 
 
 def read_parquet(spark: SparkSession, path) -> DataFrame:
