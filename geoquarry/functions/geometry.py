@@ -80,7 +80,7 @@ def _steps(ring: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Signed shoelace area, coordinates taken relative to the first point."""
-    origin = F.element_at(ring, 1)
+    origin = F.get(ring, F.lit(0))
     cross = F.transform(
         _steps(ring),
         lambda s: (s["p"]["x"] - origin["x"]) * (s["q"]["y"] - origin["y"])
@@ -93,7 +93,7 @@ def area(geom: Column) -> Column:
     """Planar area: outer rings minus holes; 0 for points and lines."""
     def part_area(part: Column) -> Column:
         sizes = F.transform(part, lambda r: F.abs(ring_area(r)))
-        outer_minus_rest = let(sizes, lambda v: F.element_at(v, 1) * 2 - _sum(v))
+        outer_minus_rest = let(sizes, lambda v: F.get(v, F.lit(0)) * 2 - _sum(v))
         return F.when(F.size(part) > 0, outer_minus_rest).otherwise(0.0)
 
     def of(g: Column) -> Column:
@@ -134,7 +134,7 @@ def is_empty(geom: Column) -> Column:
 
 def centroid(geom: Column) -> Column:
     """Area-weighted centroid of polygons, length-weighted of lines, mean of points."""
-    return let(geom, lambda g: let(F.element_at(points_of(g), 1), lambda o: _centroid(g, o)))
+    return let(geom, lambda g: let(F.get(points_of(g), F.lit(0)), lambda o: _centroid(g, o)))
 
 
 def _moment(w: Column, mx: Column, my: Column) -> Column:

@@ -16,76 +16,99 @@ from ..model import LINESTRING, MULTILINESTRING, MULTIPOINT, MULTIPOLYGON, POINT
 from .wkb import unnest
 
 PAIRS_PER_CHUNK = 1_000_000
+POLYGONS = (POLYGON, MULTIPOLYGON)
+LINES = (LINESTRING, MULTILINESTRING)
+POINTS = (POINT, MULTIPOINT)
 
 
 class _Rows:
-    """Access to one geometry at a time of a batch, without Python objects per point."""
+    """The geometries of a batch as flat arrays of points and edges."""
 
     def __init__(self, geoms: pa.Array):
         self.kinds, parts, rings, points, self.x, self.y = unnest(geoms)
         self.valid = geoms.is_valid().to_numpy(zero_copy_only=False)
-        self.part_end = np.cumsum(parts)
-        self.part_at = self.part_end - parts
-        self.ring_end = np.cumsum(rings)
-        self.ring_at = self.ring_end - rings
+        part_row = np.repeat(np.arange(len(parts)), parts)
+        ring_part = np.repeat(np.arange(len(rings)), rings)
+        self.ring_row = part_row[ring_part]
+        first_ring = np.cumsum(rings) - rings
+        self.hole = np.arange(len(points)) > first_ring[ring_part]
         self.point_end = np.cumsum(points)
         self.point_at = self.point_end - points
 
+        ring = np.repeat(np.arange(len(points)), points)
+        start = np.flatnonzero(np.arange(len(self.x)) < (self.point_end - 1)[ring])
+        self.edge_ring = ring[start]
+        self.x1, self.y1 = self.x[start], self.y[start]
+        self.x2, self.y2 = self.x[start + 1], self.y[start + 1]
+        x0, y0 = (v[self.point_at[self.edge_ring]] for v in (self.x, self.y))
+        cross = (self.x1 - x0) * (self.y2 - y0) - (self.x2 - x0) * (self.y1 - y0)
+        signed = np.bincount(self.edge_ring, cross, len(points)) / 2
+        turn = np.sign(signed) * np.where(self.hole, -1, 1)
+        self.sign = turn[self.edge_ring]
+        self.edges = np.bincount(self.ring_row[self.edge_ring], minlength=len(parts))
+        self.edge_at = np.cumsum(self.edges) - self.edges
+        inside = np.abs(signed) * np.where(self.hole, -1, 1)
+        self.area = np.bincount(self.ring_row, inside, len(parts))
+        self.area[~np.isin(self.kinds, POLYGONS)] = 0.0
+        self.low = np.full(len(parts), np.inf)
+        np.minimum.at(self.low, np.repeat(self.ring_row, points), self.y)
+
     def rings(self, row: int):
-        """(is hole, x, y) of each ring or line."""
-        for part in range(self.part_at[row], self.part_end[row]):
-            for ring in range(self.ring_at[part], self.ring_end[part]):
-                s = slice(self.point_at[ring], self.point_end[ring])
-                yield ring > self.ring_at[part], self.x[s], self.y[s]
-
-    def edges(self, row: int) -> np.ndarray:
-        """Columns x1, y1, x2, y2, sign; sign is +1 where inside lies left of the edge."""
-        out = []
-        for hole, x, y in self.rings(row):
-            signed = np.sum(
-                (x[:-1] - x[:1]) * (y[1:] - y[:1]) - (x[1:] - x[:1]) * (y[:-1] - y[:1])
-            )
-            turn = np.sign(signed) * (-1 if hole else 1)
-            out.append(np.stack([x[:-1], y[:-1], x[1:], y[1:], np.full(max(len(x) - 1, 0), turn)]))
-        return np.concatenate(out, axis=1) if out else np.empty((5, 0))
-
-
-def shared_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Area of the intersection of two polygons given by their edges."""
-    if not a.size or not b.size:
-        return 0.0
-    base_x, base_y = a[0].min(), min(a[[1, 3]].min(), b[[1, 3]].min())
-    total = 0.0
-    rows = max(1, PAIRS_PER_CHUNK // b.shape[1])
-    for start in range(0, a.shape[1], rows):
-        total += _trapezoids(a[:, start : start + rows], b, base_x, base_y)
-    return max(total, 0.0)
-
-
-def _trapezoids(a, b, base_x, base_y) -> float:
-    def line(e):
-        x1, x2 = e[0] - base_x, e[2] - base_x
-        y1, y2 = e[1] - base_y, e[3] - base_y
-        low, high = np.minimum(x1, x2), np.maximum(x1, x2)
-        width = np.where(x1 == x2, 1.0, x2 - x1)
-        slope = (y2 - y1) / width
-        return low, high, x1, y1, slope, -np.sign(x2 - x1) * e[4]
-
-    al, ah, ax, ay, asl, asign = (v[:, None] for v in line(a))
-    bl, bh, bx, by, bsl, bsign = (v[None, :] for v in line(b))
-    left, right = np.maximum(al, bl), np.minimum(ah, bh)
+        """x and y of each ring or line of one geometry."""
+        for ring in np.flatnonzero(self.ring_row == row):
+            s = slice(self.point_at[ring], self.point_end[ring])
+            yield self.x[s], self.y[s]
+
+    def segments(self, row: int) -> np.ndarray:
+        s = slice(self.edge_at[row], self.edge_at[row] + self.edges[row])
+        return np.stack([self.x1[s], self.y1[s], self.x2[s], self.y2[s]])
+
+
+def shared_areas(a: _Rows, b: _Rows, rows: np.ndarray) -> np.ndarray:
+    """Area of the intersection of the polygons in each of the given rows."""
+    out = np.zeros(len(a.kinds))
+    use = np.zeros(len(a.kinds), dtype=bool)
+    use[rows] = True
+    edge_row = a.ring_row[a.edge_ring]
+    left = np.flatnonzero(use[edge_row])
+    partners = b.edges[edge_row[left]]
+    ends = np.cumsum(partners)
+    start = 0
+    while start < len(left):
+        before = ends[start - 1] if start else 0
+        stop = max(np.searchsorted(ends, before + PAIRS_PER_CHUNK, side="right"), start + 1)
+        each = partners[start:stop]
+        i = np.repeat(left[start:stop], each)
+        row = edge_row[i]
+        step = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
+        out += np.bincount(row, _trapezoids(a, i, b, b.edge_at[row] + step, row), len(out))
+        start = stop
+    return np.maximum(out, 0.0)
+
+
+def _trapezoids(a: _Rows, i, b: _Rows, j, row) -> np.ndarray:
+    """Signed area the trapezoids below edge ``i`` and edge ``j`` have in common."""
+    base_x, base_y = a.x1[a.edge_at[row]], np.minimum(a.low, b.low)[row]
+
+    def line(g: _Rows, e):
+        x1, x2 = g.x1[e] - base_x, g.x2[e] - base_x
+        y1, y2 = g.y1[e] - base_y, g.y2[e] - base_y
+        slope = (y2 - y1) / np.where(x1 == x2, 1.0, x2 - x1)
+        return np.minimum(x1, x2), np.maximum(x1, x2), x1, y1, slope, -np.sign(x2 - x1) * g.sign[e]
+
+    a_low, a_high, ax, ay, a_slope, a_sign = line(a, i)
+    b_low, b_high, bx, by, b_slope, b_sign = line(b, j)
+    left, right = np.maximum(a_low, b_low), np.minimum(a_high, b_high)
     width = np.maximum(right - left, 0.0)
-    a0, a1 = ay + asl * (left - ax), ay + asl * (right - ax)
-    b0, b1 = by + bsl * (left - bx), by + bsl * (right - bx)
+    a0, a1 = ay + a_slope * (left - ax), ay + a_slope * (right - ax)
+    b0, b1 = by + b_slope * (left - bx), by + b_slope * (right - bx)
     d0, d1 = a0 - b0, a1 - b1
-    lower = np.where(d0 + d1 <= 0, (a0 + a1) / 2, (b0 + b1) / 2) * width
+    lower = np.where(d0 + d1 <= 0, a0 + a1, b0 + b1) / 2
     crossing = (d0 * d1 < 0) & (width > 0)
-    gap = np.where(crossing, d1 - d0, 1.0)
-    t = np.where(crossing, -d0 / gap, 0.0)
-    first = np.minimum(a0, b0) + (a0 + (a1 - a0) * t)
-    second = np.minimum(a1, b1) + (a0 + (a1 - a0) * t)
-    split = (first * t + second * (1 - t)) / 2 * width
-    return float(np.sum(asign * bsign * np.where(crossing, split, lower)))
+    t = np.where(crossing, -d0 / np.where(crossing, d1 - d0, 1.0), 0.0)
+    height = a0 + (a1 - a0) * t
+    split = ((np.minimum(a0, b0) + height) * t + (np.minimum(a1, b1) + height) * (1 - t)) / 2
+    return a_sign * b_sign * np.where(crossing, split, lower) * width
 
 
 def _on_segments(px, py, e) -> np.ndarray:
@@ -143,24 +166,13 @@ def _covered_length(e, f) -> tuple[float, float]:
     return float(length[along].sum()), float(length.sum())
 
 
-POLYGONS = (POLYGON, MULTIPOLYGON)
-LINES = (LINESTRING, MULTILINESTRING)
-POINTS = (POINT, MULTIPOINT)
-
-
-def relates(this: _Rows, other: _Rows, row: int, min_ratio: float) -> bool:
-    """Share of ``this`` inside ``other`` above ``min_ratio``; without an area, that ``other``
-    holds ``this`` or both overlap."""
-    e, f = this.edges(row), other.edges(row)
+def _holds(this: _Rows, other: _Rows, row: int) -> bool:
+    """For a geometry without area: the other one holds it, or both run along each other."""
     kind, other_kind = this.kinds[row], other.kinds[row]
-    if kind in POLYGONS:
-        own = shared_area(e, e) if e.size else 0.0
-        if own > 0:
-            return other_kind in POLYGONS and shared_area(e, f) / own > min_ratio
-        return False
-    points = [(x, y) for _, x, y in this.rings(row)]
+    points = list(this.rings(row))
     if not points:
         return False
+    e, f = this.segments(row), other.segments(row)
     px, py = (np.concatenate(v) for v in zip(*points, strict=True))
     if kind in POINTS:
         if other_kind in POLYGONS:
@@ -168,9 +180,10 @@ def relates(this: _Rows, other: _Rows, row: int, min_ratio: float) -> bool:
         if other_kind in LINES:
             return bool(f.size and _on_segments(px, py, f).all())
         own = set(zip(px, py, strict=True))
-        others = {p for _, x, y in other.rings(row) for p in zip(x, y, strict=True)}
-        shared = own & others
-        return bool(shared) and (own <= others or not others <= own)
+        others = {p for x, y in other.rings(row) for p in zip(x, y, strict=True)}
+        return bool(own & others) and (own <= others or not others <= own)
+    if kind not in LINES:
+        return False
     if other_kind in POLYGONS:
         mx, my, _ = _pieces(e, f)
         return bool(
@@ -187,17 +200,25 @@ def relates(this: _Rows, other: _Rows, row: int, min_ratio: float) -> bool:
     return False
 
 
+def relate_batch(left: pa.Array, right: pa.Array, min_ratio: float) -> np.ndarray:
+    """Share of the left geometry inside the right one above ``min_ratio``; for left
+    geometries without an area, whether the right one holds or overlaps them."""
+    this, other = _Rows(left), _Rows(right)
+    both = this.valid & other.valid
+    out = np.zeros(len(both), dtype=bool)
+    flat = np.flatnonzero(both & (this.area > 0) & np.isin(other.kinds, POLYGONS))
+    out[flat] = shared_areas(this, other, flat)[flat] / this.area[flat] > min_ratio
+    for row in np.flatnonzero(both & (this.area <= 0)):
+        out[row] = _holds(this, other, row)
+    return out
+
+
 def geometries_relate(this, other, min_ratio: float = 0.01):
-    """Boolean column over two nested geometry columns; see :func:`relates`."""
+    """Boolean column over two nested geometry columns; see :func:`relate_batch`."""
 
     @F.arrow_udf("boolean")
     def relate(a: pa.Array, b: pa.Array) -> pa.Array:
-        left, right = _Rows(a), _Rows(b)
-        both = left.valid & right.valid
-        return pa.array(
-            [bool(ok) and relates(left, right, i, min_ratio) for i, ok in enumerate(both)],
-            type=pa.bool_(),
-        )
+        return pa.array(relate_batch(a, b, min_ratio), type=pa.bool_())
 
     return relate(this, other)
 
@@ -209,15 +230,7 @@ def intersection_area(a, b):
     def measure(left: pa.Array, right: pa.Array) -> pa.Array:
         x, y = _Rows(left), _Rows(right)
         both = x.valid & y.valid
-        return pa.array(
-            [
-                None if not ok
-                else shared_area(x.edges(i), y.edges(i))
-                if x.kinds[i] in POLYGONS and y.kinds[i] in POLYGONS
-                else 0.0
-                for i, ok in enumerate(both)
-            ],
-            type=pa.float64(),
-        )
+        rows = both & np.isin(x.kinds, POLYGONS) & np.isin(y.kinds, POLYGONS)
+        return pa.array(shared_areas(x, y, np.flatnonzero(rows)), mask=~both)
 
     return measure(a, b)

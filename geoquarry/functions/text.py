@@ -41,14 +41,19 @@ def match_terms(column: Column, search: str | None, case_sensitive: bool = True)
     groups = [g.split("|") for g in (search or "").split(",") if g.strip()]
     if not groups:
         return F.lit(True)
-    text = column if case_sensitive else F.lower(column)
 
-    def one_of(terms: list[str]) -> Column:
+    def all_of(text: Column) -> Column:
+        return reduce(and_, [one_of(text, g) for g in groups])
+
+    def one_of(text: Column, terms: list[str]) -> Column:
         wanted = [t.strip() for t in terms if t.strip()]
         hits = [text.contains(t if case_sensitive else t.lower()) for t in wanted]
         return reduce(or_, hits, F.lit(False))
 
-    return reduce(and_, [one_of(g) for g in groups])
+    if case_sensitive:
+        return all_of(column)
+    # Inside exists() the text is lowered once for all terms.
+    return F.coalesce(F.exists(F.array(F.lower(column)), all_of), F.lit(False))
 
 
 def ends_with_any(column: Column, suffixes) -> Column:

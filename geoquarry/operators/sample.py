@@ -7,40 +7,40 @@ from pyspark.sql import functions as F
 
 from .relational import join_stats
 
-_BITS = 52
+_DIGITS = 13
 _STEPS = 8
 
 
 def sample_per_layer(df: DataFrame, layer: str, key: str, n: int = 10_000, seed: int = 0) -> DataFrame:
     """Keep ``min(n, rows)`` rows of each layer, the first ones by ``md5(seed|key)``.
 
-    A histogram of the hash in buckets that shrink towards its low end finds the bucket in
-    which the n-th row lies: only that bucket, about a tenth of the sample, is ranked. Layers
-    are never sorted or gathered whole, and the whole rows are not shuffled.
+    A histogram of the hash in buckets that shrink towards its low end finds a hash below which
+    a layer has the n wanted rows and about a tenth more. Only these rows are shuffled and
+    ranked, so layers are never sorted or gathered whole.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    head = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1
-    hashed = df.withColumn("__md5", F.coalesce(digest, F.lit(""))).withColumn(
-        "__bucket",
-        F.coalesce(
-            -F.floor(-F.log2(head / float(1 << _BITS)) * _STEPS), F.lit(-_BITS * _STEPS - 1)
-        ).cast("int"),
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    head = F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("double") + 1
+    bucket = F.ceil(F.log2(head) * _STEPS).cast("int")
+    counts = (
+        df.select(layer, bucket.alias("__bucket"))
+        .groupBy(layer, "__bucket")
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
-    counts = hashed.groupBy(layer, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     order = Window.partitionBy(layer).orderBy("__bucket")
-    before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    up_to = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Heads are counted from 1, so the top of the bucket is in; the rest is for rounding.
+    bound = (F.pow(F.lit(2.0), F.col("__bucket") / _STEPS) * (1 + 1e-9) + 1).cast("long")
     cut = (
-        counts.withColumn("__before", before)
-        .filter((F.col("__before") < n) & (F.col("__before") + F.col("__n") >= n))
-        .select(layer, F.col("__bucket").alias("__cut"), (n - F.col("__before")).alias("__quota"))
+        counts.withColumn("__up_to", up_to)
+        .filter((F.col("__up_to") >= n) & (F.col("__up_to") - F.col("__n") < n))
+        .filter(bound < 16**_DIGITS)
+        .select(layer, F.lower(F.lpad(F.hex(bound), _DIGITS, "0")).alias("__limit"))
     )
-    joined = join_stats(hashed, cut, [layer])
-    whole = joined.filter(F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut")))
-    edge = joined.filter(F.col("__bucket") == F.col("__cut"))
-    ranked = edge.withColumn(
-        "__rank", F.row_number().over(Window.partitionBy(layer).orderBy("__md5", key))
-    ).filter(F.col("__rank") <= F.col("__quota"))
-    return whole.select(*df.columns).unionByName(ranked.select(*df.columns))
+    near = join_stats(df.withColumn("__md5", digest), cut, [layer]).filter(
+        F.col("__limit").isNull() | (F.col("__md5") < F.col("__limit"))
+    )
+    rank = F.row_number().over(Window.partitionBy(layer).orderBy("__md5", key))
+    return near.withColumn("__rank", rank).filter(F.col("__rank") <= n).select(*df.columns)
 
 
 def hidden_rows(df: DataFrame, layer: str, n: int = 10_000) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,12 +32,14 @@ def _located(reader, path, positions: bool = True) -> DataFrame:
 
 def read_parquet(spark: SparkSession, path) -> DataFrame:
     """Parquet file, directory or list of them; broken or empty files are passed over."""
-    reader = (
-        spark.read.format("parquet")
-        .option("ignoreCorruptFiles", True)
-        .option("mergeSchema", False)
-    )
-    return _located(reader, path)
+    reader = spark.read.format("parquet").option("ignoreCorruptFiles", True)
+    try:
+        return _located(reader.option("mergeSchema", False), path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        # The file Spark looked at is broken: take the schema from all footers.
+        return _located(reader.option("mergeSchema", True), path)
 
 
 def row_slice(df: DataFrame, rows: int, batch: int) -> DataFrame:

@@ -18,11 +18,13 @@ def write_attributes(df: DataFrame, path: str, file_format: str = "json", mode:
     attribute_table(df).write.mode(mode).format(file_format).save(path)
 
 
-def write_layer(df: DataFrame, path: str, cell: float = 1.0, mode: str = "errorifexists") -> None:
+def write_layer(
+    df: DataFrame, path: str, cell: float = 1.0, files: int | None = None, mode: str = "errorifexists"
+) -> None:
     """A prepared layer laid out by place, so that parquet statistics prune by viewport.
 
     Rows are range-partitioned by grid cell and sorted inside files; a cell with many rows is
-    spread over files by the hash of the row id.
+    spread over files by the hash of the row id. Without ``files`` Spark sizes them itself.
     """
     x, y, _, _ = BOUNDS_COLUMNS
     keyed = df.withColumns(
@@ -33,7 +35,8 @@ def write_layer(df: DataFrame, path: str, cell: float = 1.0, mode: str = "errori
         }
     )
     keys = ["__cx", "__cy", "__spread"]
-    keyed.repartitionByRange(*keys).sortWithinPartitions("__cx", "__cy").drop(*keys).write.mode(
+    ranges = [files, *keys] if files else keys
+    keyed.repartitionByRange(*ranges).sortWithinPartitions("__cx", "__cy").drop(*keys).write.mode(
         mode
     ).parquet(path)
 

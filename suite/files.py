@@ -129,7 +129,7 @@ def s13_stream_ingest(spark, sf_dir):
 def s15_prune_files(spark, sf_dir):
     """Write the points by place, then read the viewport from the files that can hold it."""
     target = scratch_path(spark, "placed")
-    sinks.write_layer(point_layer(spark, sf_dir), target, cell=2.0)
+    sinks.write_layer(point_layer(spark, sf_dir), target, cell=2.0, files=8)
     stats = file_statistics(readers.read_parquet(spark, target))
     found = readers.read_in_bounds(spark, target, stats, VIEWPORT)
     return found.select("_unique_id", "c_custkey")
