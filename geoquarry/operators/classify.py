@@ -14,7 +14,7 @@ from ..functions import colors
 from ..model import is_missing, without_nan
 from .relational import bucketize
 
-MAX_BINS = 2000
+MAX_BINS = 1000
 CLASS, COLOR = "_class", "_color"
 LEGEND_SCHEMA = "class_idx int, lower double, upper double, label string, color string"
 
@@ -156,12 +156,13 @@ def natural_breaks(
     values = df.select(without_nan(df, column).cast("double").alias("v")).filter(
         F.col("v").isNotNull()
     )
-    levels = [i / (max_bins // 2) for i in range(1, max_bins // 2)]
+    half = max_bins // 2
+    levels = ", ".join(f"{i / half}D" for i in range(1, half))
     first = values.agg(
         F.count("v").alias("n"),
         F.avg("v").alias("mean"),
         F.approx_count_distinct("v").alias("distinct"),
-        F.percentile_approx("v", levels, F.lit(5 * max_bins)).alias("edges"),
+        F.expr(f"percentile_approx(v, array({levels}), {5 * max_bins})").alias("edges"),
     ).first()
     if not first["n"]:
         return []

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from ..model import ADDED_COLUMNS, HIDDEN_COLUMNS, UNIQUE_ID
@@ -25,24 +26,40 @@ def run_sql(
     text: str,
     layers: Mapping[str, DataFrame] | None = None,
     keep_ids: bool = False,
-    restore_hidden: bool = True,
 ) -> DataFrame:
     """Run SELECT text on a layer and the layers it names.
 
-    ``keep_ids`` puts the hidden columns in front of a flat select list. When the result has
-    the row id but lost other hidden columns, these are joined back by id.
+    A result that keeps the row id keeps the hidden columns too: they are added to the select
+    list, or joined back by id where the query does not allow that. ``keep_ids`` adds the id
+    itself to a flat select list.
     """
     from .filters import QueryError
 
     text = text.strip().rstrip(";")
     if not mentions(text, "df"):
         raise QueryError(f"The table to be queried must be called df: {text}")
-    if keep_ids:
-        text = _with_hidden_columns(df, text)
     bound = {"df": df}
     for name in layers or {}:
         if name != "df" and mentions(text, name):
             bound[name] = layers[name]
+    if keep_ids:
+        text = _with_hidden_columns(df, text)
+    result = _bind(df, text, bound)
+    if UNIQUE_ID not in df.columns or UNIQUE_ID not in result.columns:
+        return result
+    lost = [c for c in HIDDEN_COLUMNS if c in df.columns and c not in result.columns]
+    if not lost:
+        return result
+    try:
+        widened = _bind(df, _with_hidden_columns(df, text), bound)
+        if set(lost) <= set(widened.columns):
+            return widened.select(*result.columns, *lost)
+    except AnalysisException:
+        pass
+    return result.join(df.select(UNIQUE_ID, *lost), UNIQUE_ID, "left")
+
+
+def _bind(df: DataFrame, text: str, bound: Mapping[str, DataFrame]) -> DataFrame:
     slots = {f"layer_{i}": table for i, table in enumerate(bound.values())}
     ctes = ", ".join(
         f"`{name}` AS (SELECT * FROM {{{slot}}})" for name, slot in zip(bound, slots, strict=True)
@@ -50,29 +67,19 @@ def run_sql(
     body = text.replace("{", "{{").replace("}", "}}")
     if re.match(r"with\b", body, re.I):
         body = f"SELECT * FROM ({body})"
-    result = df.sparkSession.sql(f"WITH {ctes} {body}", **slots)
-    return _restore_hidden(df, result) if restore_hidden else result
+    return df.sparkSession.sql(f"WITH {ctes} {body}", **slots)
 
 
 def _with_hidden_columns(df: DataFrame, text: str) -> str:
-    if "*" in text:
-        return text
+    """Put the added columns a flat select list does not name in front of it."""
     match = re.match(r"\s*select\s+(distinct\s+)?", text, re.I)
     if not match:
         return text
-    added = [
-        f"df.`{c}`" for c in ADDED_COLUMNS if c in df.columns and not mentions(text, c)
-    ]
-    return text[: match.end()] + ", ".join([*added, ""]) + text[match.end() :]
-
-
-def _restore_hidden(df: DataFrame, result: DataFrame) -> DataFrame:
-    if UNIQUE_ID not in df.columns or UNIQUE_ID not in result.columns:
-        return result
-    lost = [c for c in HIDDEN_COLUMNS if c in df.columns and c not in result.columns]
-    if not lost:
-        return result
-    return result.join(df.select(UNIQUE_ID, *lost), UNIQUE_ID, "left")
+    listed = re.split(r"\bfrom\b", text, maxsplit=1, flags=re.I)[0]
+    if "*" in listed:
+        return text
+    added = [f"df.`{c}`" for c in ADDED_COLUMNS if c in df.columns and not mentions(listed, c)]
+    return text[: match.end()] + "".join(f"{c}, " for c in added) + text[match.end() :]
 
 
 def join_using(df: DataFrame, other: DataFrame, column: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.crs import reproject
 from ..functions.text import stem
 from ..functions.wkb import from_wkb, to_wkb
 from ..model import AREA, BOUNDS_COLUMNS, FILE_PATH, GEOM, GEOMETRY, ROW_INDEX, UNIQUE_ID
-from .relational import integer_blocks, join_stats, ranked
+from .relational import integer_blocks, join_stats, ranked, with_quantile_blocks
 
 INTEGER_AREA_FROM = 10
 
@@ -132,11 +132,13 @@ def with_frame_ids(df: DataFrame, number: int, order: str) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, order: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """1-based row number along a numeric or time column, over the table or in each group."""
-    from .relational import with_quantile_blocks
+    """1-based row number along a numeric or time column, over the table or in each group.
 
-    blocked = with_quantile_blocks(df, order, "__quantile")
-    return ranked(blocked, by, [F.col(order)], F.col("__quantile"), name).drop("__quantile")
+    Rows with equal values are numbered in the order of a hash of the row.
+    """
+    blocked = with_quantile_blocks(df, order, "__quantile", "__tie")
+    keys = [F.col(order), F.col("__tie")]
+    return ranked(blocked, by, keys, F.col("__quantile"), name).drop("__quantile", "__tie")
 
 
 def with_split_index(df: DataFrame, row: str = ROW_INDEX, path: str = FILE_PATH) -> DataFrame:

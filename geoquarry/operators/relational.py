@@ -42,19 +42,22 @@ def join_stats(
     small = small_or_none(stats, max_rows)
     if small is not None:
         return df.join(small, list(keys), how)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*_hashable(df)), F.lit(salts)).cast("int"))
+    salted = df.withColumn("__salt", F.pmod(row_hash(df), F.lit(salts)).cast("int"))
     repeated = stats.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
-def _hashable(df: DataFrame) -> list[Column]:
-    return [
-        F.col(f"`{f.name}`")
-        for f in df.schema.fields
-        if f.dataType.typeName() not in ("map", "variant")
-    ]
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns: the same for a row however often its task is run again."""
+    return F.xxhash64(
+        *[
+            F.col(f"`{f.name}`")
+            for f in df.schema.fields
+            if f.dataType.typeName() not in ("map", "variant")
+        ]
+    )
 
 
 def ranked(
@@ -101,18 +104,29 @@ def integer_blocks(order: str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(order) / F.lit(rows))
 
 
-def with_quantile_blocks(df: DataFrame, order: str, name: str, blocks: int = 256) -> DataFrame:
-    """Add blocks of about equal size along a numeric or time column, nulls in a block of their own."""
+def with_quantile_blocks(
+    df: DataFrame, order: str, name: str, tie: str, blocks: int = 256
+) -> DataFrame:
+    """Add blocks of about equal size along a numeric or time column, nulls first.
+
+    ``tie`` is added as the second sort key. Rows that share one value which holds several
+    quantiles, and nulls, are spread over 256 blocks along it.
+    """
     value = F.col(order).cast("double")
-    edges = df.agg(
-        F.percentile_approx(
-            value, [i / blocks for i in range(1, blocks)], F.lit(10 * blocks)
-        ).alias("e")
-    ).first()["e"]
-    bucketed = bucketize(df.withColumn("__v", value), "__v", sorted(set(edges or [])), name)
-    return bucketed.withColumn(
-        name, F.when(F.col("__v").isNull(), F.lit(-1)).otherwise(F.col(name))
-    ).drop("__v")
+    levels = ", ".join(f"{i / blocks}D" for i in range(1, blocks))
+    keyed = df.withColumn(tie, row_hash(df)).withColumn("__v", value)
+    quantiles = keyed.agg(
+        F.expr(f"percentile_approx(__v, array({levels}), {10 * blocks})").alias("q")
+    ).first()["q"] or []
+    edges = sorted(set(quantiles))
+    hot = [e for e in edges if quantiles.count(e) > 1]
+    spread = F.shiftright(F.col(tie), 56) + 128
+    within = F.when(F.col("__v").isin(*hot), spread) if hot else F.when(F.lit(False), spread)
+    position = F.when(F.col("__v").isNull(), spread - 512).otherwise(
+        F.col(name) * 512 + within.otherwise(F.lit(256))
+    )
+    bucketed = bucketize(keyed, "__v", edges, name)
+    return bucketed.withColumn(name, position.cast("long")).drop("__v")
 
 
 def bucketize(df: DataFrame, value: str, edges: Sequence[float], name: str) -> DataFrame:

@@ -142,6 +142,14 @@ def test_ranked_with_null_groups(spark):
     assert sorted((r["v"], r["n"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 2), (5, 2)]
 
 
+def test_row_numbers_with_a_hot_value(spark):
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 50).alias("v"))
+    rows = prepare.row_numbers(df, "v", "n").orderBy("n").collect()
+    assert [r["n"] for r in rows] == list(range(1, 901))
+    values = [-1 if r["v"] is None else r["v"] for r in rows]
+    assert values == sorted(values)
+
+
 def test_median_rule(spark):
     groups = {"low": [1, 2, 30], "high": [11, 12, 1], "tie": [9, 12], "below": [5, 12], "null": [50, None]}
     rows = [(g, float(v) if v is not None else None) for g, vs in groups.items() for v in vs]
