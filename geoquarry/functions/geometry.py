@@ -244,6 +244,37 @@ def bounds_intersect(a: dict[str, Column], b: dict[str, Column]) -> Column:
     )
 
 
+def box_intersection(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Bounds of the shared part of two boxes; null where they do not meet."""
+    meet = bounds_intersect(a, b)
+    shared = {
+        "minx": F.greatest(a["minx"], b["minx"]),
+        "miny": F.greatest(a["miny"], b["miny"]),
+        "maxx": F.least(a["maxx"], b["maxx"]),
+        "maxy": F.least(a["maxy"], b["maxy"]),
+    }
+    return {k: F.when(meet, c) for k, c in shared.items()}
+
+
+def box_covers(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether box ``a`` holds box ``b``, edges included."""
+    return (
+        (a["minx"] <= b["minx"])
+        & (a["maxx"] >= b["maxx"])
+        & (a["miny"] <= b["miny"])
+        & (a["maxy"] >= b["maxy"])
+    )
+
+
+def box_within(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    return box_covers(b, a)
+
+
+def box_overlaps(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether two boxes share an area and neither holds the other."""
+    return (box_overlap_area(a, b) > 0) & ~box_covers(a, b) & ~box_covers(b, a)
+
+
 def box_overlap_area(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Area shared by two axis-parallel boxes."""
     width = F.least(a["maxx"], b["maxx"]) - F.greatest(a["minx"], b["minx"])

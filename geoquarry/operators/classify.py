@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import colors
 from ..model import is_missing, without_nan
+from ..session import materialise
 from .relational import bucketize
 
 MAX_BINS = 1000
@@ -144,18 +145,22 @@ def _refine(values: DataFrame, bins: _Bins, cut: np.ndarray, parts: int, shift:
 
 
 def natural_breaks(
-    df: DataFrame, column: str, k: int = 5, max_bins: int = MAX_BINS
+    df: DataFrame, column: str, k: int = 5, max_bins: int = MAX_BINS, write_values: bool = False
 ) -> list[float]:
     """Jenks natural breaks: smallest value and the top of each of ``k`` classes.
 
     Few distinct values are counted and solved as they are. Otherwise Spark sums the column in
     at most a few thousand bins, bins no optimal break can cut are set aside, the others are
     split and summed again, until the breaks are exact. Only the bin sums reach the driver.
-    With at most ``k`` distinct values the breaks are these values.
+    With at most ``k`` distinct values the breaks are these values. The column is read a few
+    times: ``write_values`` writes it to the scratch folder first, for tables that are costly to
+    compute.
     """
     values = df.select(without_nan(df, column).cast("double").alias("v")).filter(
         F.col("v").isNotNull()
     )
+    if write_values:
+        values = materialise(values, "values")
     half = max_bins // 2
     levels = ", ".join(f"{i / half}D" for i in range(1, half))
     first = values.agg(

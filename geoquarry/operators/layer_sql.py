@@ -21,6 +21,16 @@ def mentions(text: str, name: str) -> bool:
     return f"`{name}`" in text
 
 
+def reads_table(text: str, name: str) -> bool:
+    """Whether a query has ``name`` in a FROM or JOIN."""
+    quoted = rf"`{re.escape(name)}`"
+    table = rf"(?:{quoted}|{re.escape(name)}(?![\w.]))" if re.fullmatch(r"\w+", name) else quoted
+    if re.search(rf"\b(?:from|join)\s+\(*\s*{table}", text, re.I):
+        return True
+    tail = re.split(r"\bfrom\b", text, maxsplit=1, flags=re.I)[-1]
+    return re.search(rf",\s*{table}", tail, re.I) is not None
+
+
 def run_sql(
     df: DataFrame,
     text: str,
@@ -36,11 +46,11 @@ def run_sql(
     from .filters import QueryError
 
     text = text.strip().rstrip(";")
-    if not mentions(text, "df"):
+    if not reads_table(text, "df"):
         raise QueryError(f"The table to be queried must be called df: {text}")
     bound = {"df": df}
     for name in layers or {}:
-        if name != "df" and mentions(text, name):
+        if name != "df" and reads_table(text, name):
             bound[name] = layers[name]
     if keep_ids:
         text = _with_hidden_columns(df, text)

@@ -66,11 +66,16 @@ def prepare(
     geometry: str = GEOMETRY,
     truncate: bool = True,
     keep_geom: bool = False,
+    label: str = "frame",
 ) -> DataFrame:
     """Add ``area`` (planar, in the source CRS) and bounds and WKB in EPSG:4326.
 
     ``geometry`` is a WKB column or a nested geometry. Without a CRS nothing is reprojected.
+    A table that comes from no file is one file named ``label``. ``truncate`` cuts large areas
+    to whole numbers, which takes a pass over all areas and is not for streams.
     """
+    if FILE_PATH not in df.columns:
+        df = df.withColumn(FILE_PATH, F.lit(label))
     binary = isinstance(df.schema[geometry].dataType, T.BinaryType)
     source = from_wkb(F.col(geometry)) if binary else F.col(geometry)
     nested = drop_nested(df, keep=(geometry,)).drop("id").withColumn(GEOM, source)

@@ -18,10 +18,11 @@ def rows_per(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def buffer_hint(df: DataFrame) -> DataFrame:
-    """Largest area, and whether features are too small to see on a small-scale map."""
+def buffer_hint(df: DataFrame, zoom: float = 0) -> DataFrame:
+    """Largest area, and whether features are too small to see below zoom 11."""
     top = F.max(AREA)
-    return df.agg(top.alias("max_area"), ((top > 0) & (top < 10_000)).alias("buffer_hint"))
+    small = (top > 0) & (top < 10_000) & F.lit(zoom < 11)
+    return df.agg(top.alias("max_area"), small.alias("buffer_hint"))
 
 
 def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.colors import NAN_COLOR, NAN_LABEL
 from ..model import UNIQUE_ID, Bounds, Layer, is_missing
 from ..operators import classify as cls
+from ..operators.filters import is_select
 from ..operators.sample import sample_per_layer
 from .layers import LAYER, LayerSet
 
@@ -87,7 +88,8 @@ def build_view(
         pairs = [F.lit(v) for item in colors.items() for v in item]
         colored = rows.withColumn(cls.COLOR, F.try_element_at(F.create_map(*pairs), F.col(LAYER)))
     elif cls.is_numeric(rows, column, spec.categorical):
-        breaks = cls.natural_breaks(rows, column, spec.k)
+        costly = any(callable(q.query) or is_select(q.query) for q in layers.layers.values())
+        breaks = cls.natural_breaks(rows, column, spec.k, write_values=costly)
         legend = cls.legend(spark, breaks, spec.k, spec.cmap)
         colored = cls.classify(rows, column, breaks, spec.k, spec.cmap, spec.nan_color)
         colored = colored.withColumn(cls.COLOR, F.coalesce(cls.COLOR, F.lit(spec.nan_color)))

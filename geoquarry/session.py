@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: str = "*", app: str = "geoquarry", **conf: str) -> SparkSession:
@@ -43,3 +43,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="geoquarry-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/geoquarry/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table written to the shared scratch folder and read back, so its plan ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -144,6 +144,10 @@ def schema_conflicts(catalogue: DataFrame, layer: str | None = None) -> DataFram
     return types.filter(F.size("types") > 1)
 
 
+def has_column(layers: dict[str, DataFrame], column: str) -> bool:
+    return any(column in df.columns for df in layers.values())
+
+
 def column_type(layers: dict[str, DataFrame], column: str) -> T.DataType:
     """The one type of a column; an error if no layer has it or types differ."""
     types = {

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry as geo
+from ..functions.crs import reproject
 from ..model import BOUNDS_COLUMNS, FILE_PATH, GEOM_TYPE, GEOMETRY, ROW_INDEX, Bounds
 from ..operators.prepare import prepare, without_geometry
 from ..operators.relational import BROADCAST_ROWS
@@ -196,8 +197,24 @@ def read_in_bounds(
 
 def stats_to_4326(file_stats: DataFrame, crs) -> DataFrame:
     """File bounding boxes of one CRS as bounding boxes in EPSG:4326."""
-    from ..functions.crs import reproject
-
     box = geo.box(*[F.col(c) for c in BOUNDS_COLUMNS])
     moved = file_stats.withColumn("__g", reproject(box, crs, 4326))
     return moved.withColumns(geo.bounds(F.col("__g"))).drop("__g")
+
+
+def footer_boxes(footers: DataFrame) -> DataFrame:
+    """Bounding boxes of files in EPSG:4326, each from the CRS its footer names.
+
+    Boxes without a CRS are taken as they are; files without a box have null bounds.
+    """
+    code = F.regexp_extract("crs", r"(\d{4,6})\D*$", 1)
+    known = footers.withColumn("__code", code)
+    codes = [
+        r[0] for r in known.filter("__code != ''").select("__code").distinct().limit(500).collect()
+    ]
+    box = geo.box(*[F.col(c) for c in BOUNDS_COLUMNS])
+    moved = F.when(F.coalesce(F.col("__code"), F.lit("")) == "", box)
+    for c in codes:
+        moved = moved.when(F.col("__code") == c, reproject(box, c, 4326))
+    placed = known.withColumn("__g", moved)
+    return placed.withColumns(geo.bounds(F.col("__g"))).drop("__g", "__code")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..model import FILE_PATH, GEOMETRY
+from ..operators.prepare import prepare as prepare_rows
+
 # Files or bytes read in one round.
 FILES_PER_ROUND = 10
 BYTES_PER_ROUND = 500_000_000
@@ -30,6 +34,20 @@ def stream_files(
     return reader.options(**options).load(path)
 
 
+def stream_layer(
+    spark: SparkSession, path: str, schema, crs=None, geometry: str = GEOMETRY, **budget
+) -> DataFrame:
+    """Parquet files with a geometry as a stream of prepared rows: area, bounds, WKB, path.
+
+    Areas keep their decimals, since the rule for whole numbers needs a whole file.
+    """
+    files = stream_files(spark, path, schema, **budget)
+    located = files.select(
+        "*", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias(FILE_PATH)
+    )
+    return prepare_rows(located, crs=crs, geometry=geometry, truncate=False)
+
+
 def ingest(
     stream: DataFrame,
     target: str,

@@ -10,7 +10,7 @@ from geoquarry.operators import prepare as op
 from geoquarry.plans.layers import layer_of_path
 from geoquarry.sources.readers import read_parquet
 
-from .base import layer, point_layer, query, table, with_layers
+from .base import VIEWPORT, layer, point_layer, query, table, with_layers
 
 def box():
     return geo.box(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])
@@ -188,6 +188,28 @@ def x5_box_area(spark, sf_dir):
     )
 
 
+@query(
+    "x6_box_relations",
+    f"""{with_layers('boxes')} SELECT s_suppkey, minx <= 14 AND maxx >= 9 AND miny <= 62 AND maxy >= 59 AS meets,
+minx >= 9 AND maxx <= 14 AND miny >= 59 AND maxy <= 62 AS is_within, minx <= 9 AND maxx >= 14 AND miny <= 59 AND maxy >= 62 AS covers,
+least(maxx, 14) > greatest(minx, 9) AND least(maxy, 62) > greatest(miny, 59) AND NOT (minx >= 9 AND maxx <= 14 AND miny >= 59 AND maxy <= 62)
+AND NOT (minx <= 9 AND maxx >= 14 AND miny <= 59 AND maxy >= 62) AS overlaps,
+CASE WHEN minx <= 14 AND maxx >= 9 AND miny <= 62 AND maxy >= 59 THEN greatest(minx, 9) END AS shared_minx FROM boxes""",
+)
+def x6_box_relations(spark, sf_dir):
+    sides = ("minx", "miny", "maxx", "maxy")
+    a = {c: F.col(c) for c in sides}
+    b = {c: F.lit(v) for c, v in zip(sides, VIEWPORT, strict=True)}
+    return layer(spark, sf_dir, "boxes").select(
+        "s_suppkey",
+        geo.bounds_intersect(a, b).alias("meets"),
+        geo.box_within(a, b).alias("is_within"),
+        geo.box_covers(a, b).alias("covers"),
+        geo.box_overlaps(a, b).alias("overlaps"),
+        geo.box_intersection(a, b)["minx"].alias("shared_minx"),
+    )
+
+
 @query(
     "x7_centroid",
     f"{with_layers('boxes')} SELECT s_suppkey, round((minx + maxx) / 2, 8) AS cx, round((miny + maxy) / 2, 8) AS cy FROM boxes",

@@ -166,6 +166,17 @@ def test_prepare_in_metres(spark):
     assert "id" not in row and "tags" not in row
 
 
+def test_layer_columns(spark):
+    df = spark.sql("SELECT 1 AS b, array(1) AS tags, '0.0' AS _unique_id, 'p' AS __file_path, 1D AS minx, binary('x') AS geometry, 2 AS a")
+    assert prepare.colour_columns(df) == ["a", "area", "b"]
+    assert prepare.project_for_drawing(df, "a").columns == ["geometry", "_unique_id", "a"]
+    assert prepare.project_for_drawing(df, "zz").columns == ["geometry", "_unique_id"]
+    frame = prepare.with_frame_ids(spark.range(3).withColumnRenamed("id", "v"), 4, "v")
+    assert sorted(r["_unique_id"] for r in frame.collect()) == ["4.0", "4.1", "4.2"]
+    points = spark.sql("SELECT 5D AS area")
+    assert profile.buffer_hint(points, 8).first()["buffer_hint"] and not profile.buffer_hint(points, 12).first()["buffer_hint"]
+
+
 def test_union_types(spark):
     a = spark.sql("SELECT 1 AS a, 'x' AS b, 1.5D AS c, DATE '2020-01-01' AS d, true AS e")
     b = spark.sql("SELECT 2.5D AS a, 3 AS b, 4 AS c, TIMESTAMP '2020-01-02 03:00:00' AS d, 7 AS e, NULL AS f")
@@ -194,6 +205,20 @@ def test_layer_queries(spark):
     assert layers.union().count() == 2 + 2 + 1
 
 
+def test_columns_named_like_layers_are_no_cycle(spark):
+    df = spark.createDataFrame([("0.0", 1, 2)], "_unique_id string, one int, two int")
+    layers = LayerSet([
+        Layer("/x/one.parquet", df, "SELECT df.one, two.two FROM df, two WHERE df.two = two.two"),
+        Layer("/x/two.parquet", df, "SELECT two, one FROM df WHERE one = 1"),
+    ])
+    assert layers.table("/x/one.parquet").count() == 1
+
+
+def test_breaks_of_a_written_column(spark):
+    df = spark.range(500).select((F.col("id") % 97).cast("double").alias("v"))
+    assert classify.natural_breaks(df, "v", 4, write_values=True) == classify.natural_breaks(df, "v", 4)
+
+
 def test_full_path_and_parent_names(spark):
     layers = layer_set(spark, {"/x/one.parquet": "SELECT df.k FROM df JOIN `y/one` USING (k)", "/y/one.parquet": None})
     assert layers.names == {"/x/one.parquet": "x/one", "/y/one.parquet": "y/one"}

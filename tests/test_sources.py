@@ -79,6 +79,20 @@ def test_footers(spark, tmp_path):
     assert rows["c.parquet"]["n_rows"] is None
 
 
+def test_footer_boxes(spark):
+    rows = [
+        ("a", '{"authority":"EPSG","code":25833}', 262000.0, 6649000.0, 263000.0, 6650000.0),
+        ("b", None, 1.0, 2.0, 3.0, 4.0),
+        ("c", "EPSG:3857", 0.0, 0.0, 111319.49079327358, 0.0),
+        ("d", "EPSG:3857", None, None, None, None),
+    ]
+    schema = "__file_path string, crs string, minx double, miny double, maxx double, maxy double"
+    found = {r[0]: r for r in readers.footer_boxes(spark.createDataFrame(rows, schema)).collect()}
+    assert 10 < found["a"]["minx"] < found["a"]["maxx"] < 11
+    assert tuple(found["b"])[2:] == (1, 2, 3, 4)
+    assert found["c"]["maxx"] == pytest.approx(1.0) and found["d"]["minx"] is None
+
+
 def test_pruned_read(spark, tmp_path):
     target = str(tmp_path / "layer")
     sinks.write_layer(layer(spark), target, cell=4.0, files=6)
@@ -138,6 +152,7 @@ def test_schema_catalogue(spark):
     layers = {"a": spark.sql("SELECT 1 AS k, 5 AS area"), "b": spark.sql("SELECT 'x' AS k, 1D AS area")}
     conflicts = inventory.schema_conflicts(inventory.schema_catalogue(layers)).collect()
     assert [(r["column"], r["types"]) for r in conflicts] == [("k", ["int", "string"])]
+    assert inventory.has_column(layers, "k") and not inventory.has_column(layers, "zz")
     with pytest.raises(ValueError, match="Several"):
         inventory.column_type(layers, "k")
     with pytest.raises(ValueError, match="No column"):
@@ -160,6 +175,16 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
     assert spark.read.parquet(target).count() == 18
 
 
+def test_stream_of_prepared_rows(spark, tmp_path):
+    source = layer(spark, 30).select("_unique_id", "geometry")
+    source.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = ingest.stream_layer(spark, str(tmp_path / "in"), source.schema, crs=3857, max_files=2)
+    ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "mark"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == 30 and found.filter("minx BETWEEN 0 AND 0.001 AND area = 0").count() == 30
+    assert found.select("__file_path").distinct().count() == 3
+
+
 def test_attributes_and_colour_folders(spark, tmp_path):
     df = layer(spark, 10).withColumn("_color", F.when(F.col("minx") > 4, "#ff0000"))
     sinks.write_by_color(df, str(tmp_path / "c"))
