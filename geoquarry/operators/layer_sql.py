@@ -51,7 +51,7 @@ def run_sql(
     bound = {"df": df}
     for name in layers or {}:
         if name != "df" and reads_table(text, name):
-            bound[name] = layers[name]
+            bound[name] = _attributes(layers[name], df, text, name)
     if keep_ids:
         text = _with_hidden_columns(df, text)
     result = _bind(df, text, bound)
@@ -69,6 +69,15 @@ def run_sql(
     return result.join(df.select(UNIQUE_ID, *lost), UNIQUE_ID, "left")
 
 
+def _attributes(other: DataFrame, df: DataFrame, text: str, name: str) -> DataFrame:
+    """A joined layer without the added columns ``df`` has too, unless the query names them
+    as ``name.column``; so plain names mean the columns of ``df``."""
+    def named(column: str) -> bool:
+        return re.search(rf"{re.escape(name)}`?\.`?{column}\b", text, re.I) is not None
+
+    return other.drop(*[c for c in ADDED_COLUMNS if c in df.columns and not named(c)])
+
+
 def _bind(df: DataFrame, text: str, bound: Mapping[str, DataFrame]) -> DataFrame:
     slots = {f"layer_{i}": table for i, table in enumerate(bound.values())}
     ctes = ", ".join(

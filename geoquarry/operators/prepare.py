@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from ..functions.crs import reproject
 from ..functions.text import stem
 from ..functions.wkb import from_wkb, to_wkb
 from ..model import AREA, BOUNDS_COLUMNS, FILE_PATH, GEOM, GEOMETRY, ROW_INDEX, UNIQUE_ID
-from .relational import integer_blocks, join_stats, ranked, with_quantile_blocks
+from .relational import BROADCAST_ROWS, integer_blocks, join_stats, ranked, with_quantile_blocks
 
 INTEGER_AREA_FROM = 10
 
@@ -106,23 +107,34 @@ def with_geometry(df: DataFrame, geom: Column, crs=4326) -> DataFrame:
     return prepare(replaced, crs=crs, geometry=GEOM)
 
 
-def file_index(df: DataFrame, path: str = FILE_PATH) -> DataFrame:
-    """Number the distinct files from 0 in path order, as column ``__file_index``."""
-    files = df.select(path).distinct()
-    edges = [
-        r[0] for r in files.orderBy(F.xxhash64(path)).limit(64).collect() if r[0] is not None
-    ]
-    block = F.size(F.filter(F.array(*map(F.lit, sorted(edges))), lambda e: e <= F.col(path)))
-    numbered = ranked(files, [], [F.col(path)], block if edges else F.lit(0), "__file_index")
+def file_index(files: DataFrame, path: str = FILE_PATH) -> DataFrame:
+    """Number distinct file paths from 0 in path order, as column ``__file_index``."""
+    paths = [r[0] for r in files.limit(BROADCAST_ROWS + 1).collect()]
+    if len(paths) <= BROADCAST_ROWS:
+        numbers = pa.table(
+            {
+                path: pa.array(sorted(p for p in paths if p is not None), pa.string()),
+                "__file_index": pa.array(range(len([p for p in paths if p is not None])), pa.int64()),
+            }
+        )
+        return files.sparkSession.createDataFrame(numbers)
+    edges = sorted(p for p in paths[:: len(paths) // 64] if p is not None)
+    block = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(path)))
+    numbered = ranked(files, [], [F.col(path)], block, "__file_index")
     return numbered.withColumn("__file_index", F.col("__file_index") - 1)
 
 
-def with_unique_id(df: DataFrame, row: str = ROW_INDEX, path: str = FILE_PATH) -> DataFrame:
+def with_unique_id(
+    df: DataFrame, files: DataFrame | None = None, row: str = ROW_INDEX, path: str = FILE_PATH
+) -> DataFrame:
     """Row id ``"<file number>.<row number>"``, row numbers from 0 in each file.
 
     ``row`` is the row position the file source reports, so nothing is sorted or shuffled.
+    ``files`` is the listing of the layer's files (column ``name``); without it the paths are
+    taken from the rows, which reads every file.
     """
-    numbered = join_stats(df, file_index(df, path), [path])
+    paths = df.select(path).distinct() if files is None else files.select(F.col("name").alias(path))
+    numbered = join_stats(df, file_index(paths, path), [path])
     return numbered.withColumn(
         UNIQUE_ID, F.concat(F.col("__file_index").cast("string"), F.lit("."), F.col(row).cast("string"))
     ).drop("__file_index", "id")

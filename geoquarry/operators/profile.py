@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
+from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,16 +210,15 @@ def profile_layer(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stats.join(F.broadcast(above), "column", "left")
 
 
-def _join_value(df: DataFrame, c: str) -> Column:
-    return F.col(f"`{c}`").cast("string")
-
-
 def shared_key_columns(layers: Mapping[str, DataFrame]) -> list[tuple[str, str, str]]:
-    """(left, right, column) of columns two layers share with one non-float type."""
+    """(layer, other, column) where both share a non-float column of one type and the other
+    layer has columns to add."""
     floats = (T.FloatType, T.DoubleType)
     found = []
-    for left, right in combinations(layers, 2):
+    for left, right in permutations(layers, 2):
         a, b = layers[left].schema, layers[right].schema
+        if not set(b.names) - set(a.names):
+            continue
         b_types = {f.name: f.dataType for f in b.fields}
         for f in a.fields:
             if f.name in ADDED_COLUMNS or f.name.startswith("__") or f.name not in b_types:
@@ -233,29 +232,35 @@ def shared_key_columns(layers: Mapping[str, DataFrame]) -> list[tuple[str, str,
     return found
 
 
+JOIN_SCHEMA = (
+    "left string, right string, column string, n_common_keys long, "
+    "n_joined decimal(38,0), query string"
+)
+
+
 def join_keys(layers: Mapping[str, DataFrame]) -> DataFrame:
-    """Column pairs an inner join would find rows on, with common keys and joined rows.
+    """Columns an inner join with another layer would find rows on, with the number of common
+    keys and of joined rows, and the query.
 
     All layers are counted by (column, value) in one shuffle with counts per layer side by
     side; the rows of a join are the sum of their products, so nothing is joined.
     """
-    pairs = shared_key_columns(layers)
+    suggested = shared_key_columns(layers)
     names = list(layers)
-    schema = "left string, right string, column string, n_common_keys long, n_joined decimal(38,0)"
     spark = next(iter(layers.values())).sparkSession
-    if not pairs:
-        return spark.createDataFrame([], schema)
-    wanted = {n: sorted({c for a, b, c in pairs if n in (a, b)}) for n in names}
+    if not suggested:
+        return spark.createDataFrame([], JOIN_SCHEMA)
+    wanted = {n: sorted({c for a, b, c in suggested if n in (a, b)}) for n in names}
     long = None
     for i, name in enumerate(names):
         if not wanted[name]:
             continue
-        df = layers[name]
         cells = [
-            F.struct(F.lit(c).alias("column"), _join_value(df, c).alias("value"))
+            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
             for c in wanted[name]
+            if c in layers[name].columns
         ]
-        part = df.select(F.inline(F.array(*cells))).select(
+        part = layers[name].select(F.inline(F.array(*cells))).select(
             "column", "value", F.lit(i).alias("layer")
         )
         long = part if long is None else long.unionByName(part)
@@ -264,30 +269,36 @@ def join_keys(layers: Mapping[str, DataFrame]) -> DataFrame:
         .groupBy("column", "value")
         .agg(*[F.count(F.when(F.col("layer") == i, 1)).alias(f"n{i}") for i in range(len(names))])
     )
-    used = sorted({(names.index(a), names.index(b)) for a, b, _ in pairs})
+    index = {n: i for i, n in enumerate(names)}
     sums = []
-    for i, j in used:
+    for i, j in sorted({tuple(sorted((index[a], index[b]))) for a, b, _ in suggested}):
         a, b = F.col(f"n{i}"), F.col(f"n{j}")
         product = a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
         sums += [
             F.count(F.when((a > 0) & (b > 0), 1)).alias(f"c{i}_{j}"),
             F.sum(product).cast("decimal(38,0)").alias(f"r{i}_{j}"),
         ]
-    cells = [
-        F.struct(
-            F.lit(names[i]).alias("left"),
-            F.lit(names[j]).alias("right"),
-            F.col(f"c{i}_{j}").alias("n_common_keys"),
-            F.col(f"r{i}_{j}").alias("n_joined"),
+    cells, valid = [], F.lit(False)
+    for left, right in dict.fromkeys((a, b) for a, b, _ in suggested):
+        i, j = sorted((index[left], index[right]))
+        extra = [f"{right}.{c}" for c in layers[right].columns if c not in layers[left].columns]
+        text = f"SELECT {', '.join(extra)}, df.* FROM df INNER JOIN {right} USING ("
+        cells.append(
+            F.struct(
+                F.lit(left).alias("left"),
+                F.lit(right).alias("right"),
+                F.col(f"c{i}_{j}").alias("n_common_keys"),
+                F.col(f"r{i}_{j}").alias("n_joined"),
+                F.concat(F.lit(text), F.col("column"), F.lit(")")).alias("query"),
+            )
+        )
+        columns = [c for a, b, c in suggested if (a, b) == (left, right)]
+        valid = valid | (
+            (F.col("left") == left) & (F.col("right") == right) & F.col("column").isin(*columns)
         )
-        for i, j in used
-    ]
     table = counts.groupBy("column").agg(*sums).select("column", F.inline(F.array(*cells)))
-    valid = F.lit(False)
-    for a, b, c in pairs:
-        valid = valid | ((F.col("left") == a) & (F.col("right") == b) & (F.col("column") == c))
     return table.filter(valid & (F.col("n_common_keys") > 0)).select(
-        "left", "right", "column", "n_common_keys", "n_joined"
+        "left", "right", "column", "n_common_keys", "n_joined", "query"
     )
 
 

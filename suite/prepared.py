@@ -8,6 +8,7 @@ from geoquarry.functions.text import with_unique_stem
 from geoquarry.functions.wkb import from_wkb, to_wkb
 from geoquarry.operators import prepare as op
 from geoquarry.plans.layers import layer_of_path
+from geoquarry.sources.inventory import list_files
 from geoquarry.sources.readers import read_parquet
 
 from .base import VIEWPORT, layer, point_layer, query, table, with_layers
@@ -89,7 +90,8 @@ def p5_drop_nested(spark, sf_dir):
 
 @query("p6_unique_id_file", "SELECT c_custkey, concat('0.', CAST(c_custkey AS VARCHAR)) AS _unique_id FROM customer")
 def p6_unique_id_file(spark, sf_dir):
-    df = op.with_unique_id(read_parquet(spark, f"{sf_dir}/customer.parquet"))
+    path = f"{sf_dir}/customer.parquet"
+    df = op.with_unique_id(read_parquet(spark, path), list_files(spark, path))
     return df.select("c_custkey", "_unique_id")
 
 

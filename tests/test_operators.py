@@ -250,10 +250,19 @@ def test_sql_hidden_columns(spark):
     assert run_sql(df, "WITH t AS (SELECT k FROM df) SELECT * FROM t;").columns == ["k"]
 
 
+def test_joined_layers_come_without_added_columns(spark):
+    df = spark.createDataFrame([("0.0", 1, 5.0)], "_unique_id string, k int, area double")
+    other = {"b": spark.createDataFrame([("1.0", 1, 7.0, "x")], "_unique_id string, k int, area double, name string")}
+    row = run_sql(df, "SELECT _unique_id, name, area / 10 AS tenth FROM df JOIN b USING (k)", other).first()
+    assert row.asDict() == {"_unique_id": "0.0", "name": "x", "tenth": 0.5}
+    row = run_sql(df, "SELECT df.area, b.area AS other FROM df JOIN b USING (k)", other).first()
+    assert tuple(row) == (5.0, 7.0)
+
+
 def test_null_safe_text(spark):
-    df = spark.createDataFrame([("fly",), ("buss",), (None,)], "kjoeretoey string")
-    assert filters.apply_query(df, "kjoeretoey != 'fly'").count() == 1
-    assert filters.apply_query(df, 'kjoeretoey != "fly"', null_safe=True).count() == 2
+    df = spark.createDataFrame([("air",), ("bus",), (None,)], "vehicle string")
+    assert filters.apply_query(df, "vehicle != 'air'").count() == 1
+    assert filters.apply_query(df, 'vehicle != "air"', null_safe=True).count() == 2
     assert filters.apply_query(df, "   ").count() == 3
 
 
@@ -282,9 +291,18 @@ def test_suggestions_and_budget(spark):
     assert not profile.exceeds_table_budget(df, "select * from df LIMIT 5", budget=1)
 
 
-def test_join_key_types(spark):
-    layers = {"a": spark.sql("SELECT 1 AS k, 'x' AS s, 1D AS f"), "b": spark.sql("SELECT 1L AS k, 2 AS s, 1D AS f"), "c": spark.sql("SELECT 9 AS z")}
-    assert [tuple(r) for r in profile.join_keys(layers).collect()] == [("a", "b", "k", 1, 1)]
+def test_join_keys(spark):
+    layers = {
+        "a": spark.sql("SELECT 1 AS k, 'x' AS s, 1D AS f"),
+        "b": spark.sql("SELECT 1L AS k, 2 AS s, 1D AS f, 'more' AS extra"),
+        "c": spark.sql("SELECT 9 AS z"),
+        "d": spark.sql("SELECT 5 AS k, 0 AS other"),
+    }
+    found = {(r["left"], r["right"], r["column"]): r for r in profile.join_keys(layers).collect()}
+    assert set(found) == {("a", "b", "k")}
+    row = found["a", "b", "k"]
+    assert (row["n_common_keys"], row["n_joined"]) == (1, 1)
+    assert run_sql(layers["a"], row["query"], layers).first()["extra"] == "more"
     assert profile.join_keys({"a": layers["a"], "c": layers["c"]}).count() == 0
 
 

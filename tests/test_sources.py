@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from geoquarry.functions import geometry as geo
 from geoquarry.functions.wkb import to_wkb
-from geoquarry.operators.prepare import with_unique_id
+from geoquarry.operators.prepare import prepare, with_unique_id
 from geoquarry.operators.profile import file_statistics
+from geoquarry.plans.view import ViewSpec, build_view
 from geoquarry.sources import inventory, readers, sinks
 from geoquarry.streaming import ingest
 
@@ -191,3 +192,50 @@ def test_attributes_and_colour_folders(spark, tmp_path):
     assert {p.name for p in (tmp_path / "c").glob("_color=*")} == {"_color=%23ff0000", "_color=__HIVE_DEFAULT_PARTITION__"}
     sinks.write_attributes(df, str(tmp_path / "t"))
     assert set(spark.read.json(str(tmp_path / "t")).columns) == {"id", "_color"}
+
+
+def test_files_to_drawn_view(spark, tmp_path):
+    """Two layers in metres on disk: prepare, number, join in SQL, colour, draw."""
+    grid = spark.range(100).select(
+        "id",
+        F.concat(F.lit("c"), (F.col("id") % 4).cast("string")).alias("county"),
+        F.element_at(F.array(F.lit("rail"), F.lit("bus"), F.lit("air")), (F.col("id") % 3 + 1).cast("int")).alias("kind"),
+        (262000.0 + F.col("id") * 10).alias("x"),
+        F.lit(6649000.0).alias("y"),
+    )
+    point = to_wkb(geo.point(F.col("x"), F.col("y")))
+    grid.select("county", "kind", point.alias("geometry")).repartition(3).write.parquet(str(tmp_path / "stops.parquet"))
+    areas = spark.range(4).select(
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("county"),
+        F.concat(F.lit("County "), F.col("id").cast("string")).alias("name"),
+        to_wkb(geo.box(F.lit(262000.0), F.lit(6648000.0), F.lit(263000.0) + F.col("id"), F.lit(6650000.0))).alias("geometry"),
+    )
+    areas.coalesce(1).write.parquet(str(tmp_path / "counties.parquet"))
+    stops, counties = (str(tmp_path / n) for n in ("stops.parquet", "counties.parquet"))
+
+    def load(path):
+        rows = prepare(readers.read_parquet(spark, path), crs=25833)
+        return with_unique_id(rows, inventory.search(inventory.list_files(spark, path), ".parquet"))
+
+    spec = ViewSpec(
+        layers={
+            stops: "SELECT _unique_id, kind, county, name FROM df JOIN counties USING (county) WHERE kind != 'air'",
+            counties: None,
+        },
+        column="kind",
+        color_dict={"rail": "darkgreen"},
+        bounds=[10.0, 59.0, 11.5, 60.5],
+        max_rows=30,
+    )
+    view = build_view(spec, load)
+    rows = view.features.collect()
+    assert len(rows) == 30 + 4
+    assert {r["_color"] for r in rows if r["kind"] == "rail"} == {"#006400"}
+    assert {r["area"] for r in rows if r["layer"] == "counties"} == {2e6, 2002000.0, 2004000.0, 2006000.0}
+    assert all(r["name"].startswith("County") for r in rows if r["layer"] == "stops")
+    assert {r["label"] for r in view.legend.collect()} == {"rail", "bus", "Missing"}
+    sinks.write_geojson_lines(view.features, str(tmp_path / "features"))
+    drawn = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "features")).collect()]
+    assert {d["geometry"]["type"] for d in drawn} == {"Point", "Polygon"}
+    x, y = next(d for d in drawn if d["geometry"]["type"] == "Point")["geometry"]["coordinates"]
+    assert 10 < x < 11.5 and 59 < y < 60.5
