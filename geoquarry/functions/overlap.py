@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..model import LINESTRING, MULTILINESTRING, MULTIPOINT, MULTIPOLYGON, POINT, POLYGON
-from .wkb import unnest
+from .wkb import decode_batch, unnest
 
 PAIRS_PER_CHUNK = 1_000_000
 POLYGONS = (POLYGON, MULTIPOLYGON)
@@ -26,7 +26,6 @@ class _Rows:
 
     def __init__(self, geoms: pa.Array):
         self.kinds, parts, rings, points, self.x, self.y = unnest(geoms)
-        self.valid = geoms.is_valid().to_numpy(zero_copy_only=False)
         part_row = np.repeat(np.arange(len(parts)), parts)
         ring_part = np.repeat(np.arange(len(rings)), rings)
         self.ring_row = part_row[ring_part]
@@ -64,31 +63,41 @@ class _Rows:
         return np.stack([self.x1[s], self.y1[s], self.x2[s], self.y2[s]])
 
 
-def shared_areas(a: _Rows, b: _Rows, rows: np.ndarray) -> np.ndarray:
-    """Area of the intersection of the polygons in each of the given rows."""
-    out = np.zeros(len(a.kinds))
-    use = np.zeros(len(a.kinds), dtype=bool)
-    use[rows] = True
-    edge_row = a.ring_row[a.edge_ring]
-    left = np.flatnonzero(use[edge_row])
-    partners = b.edges[edge_row[left]]
-    ends = np.cumsum(partners)
+def _runs(sizes: np.ndarray, limit: int):
+    """Slices of consecutive items whose sizes add up to about ``limit``."""
+    ends = np.cumsum(sizes)
     start = 0
-    while start < len(left):
+    while start < len(sizes):
         before = ends[start - 1] if start else 0
-        stop = max(np.searchsorted(ends, before + PAIRS_PER_CHUNK, side="right"), start + 1)
-        each = partners[start:stop]
-        i = np.repeat(left[start:stop], each)
-        row = edge_row[i]
-        step = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
-        out += np.bincount(row, _trapezoids(a, i, b, b.edge_at[row] + step, row), len(out))
+        stop = max(int(np.searchsorted(ends, before + limit, side="right")), start + 1)
+        yield slice(start, stop)
         start = stop
+
+
+def _expand(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items with ``sizes`` members from ``first`` on: the owner and number of each member."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return owner, first[owner] + step
+
+
+def shared_areas(a: _Rows, ai: np.ndarray, b: _Rows, bi: np.ndarray) -> np.ndarray:
+    """Area of the intersection of polygon ``ai[n]`` of ``a`` and ``bi[n]`` of ``b``."""
+    out = np.zeros(len(ai))
+    for part in _runs(a.edges[ai], PAIRS_PER_CHUNK):
+        owner, edge = _expand(a.edge_at[ai[part]], a.edges[ai[part]])
+        pair = owner + part.start
+        for run in _runs(b.edges[bi[pair]], PAIRS_PER_CHUNK):
+            p, e = pair[run], edge[run]
+            each, other = _expand(b.edge_at[bi[p]], b.edges[bi[p]])
+            sums = _trapezoids(a, e[each], ai[p][each], b, other, bi[p][each])
+            out += np.bincount(p[each], sums, len(out))
     return np.maximum(out, 0.0)
 
 
-def _trapezoids(a: _Rows, i, b: _Rows, j, row) -> np.ndarray:
+def _trapezoids(a: _Rows, i, a_row, b: _Rows, j, b_row) -> np.ndarray:
     """Signed area the trapezoids below edge ``i`` and edge ``j`` have in common."""
-    base_x, base_y = a.x1[a.edge_at[row]], np.minimum(a.low, b.low)[row]
+    base_x, base_y = a.x1[a.edge_at[a_row]], np.minimum(a.low[a_row], b.low[b_row])
 
     def line(g: _Rows, e):
         x1, x2 = g.x1[e] - base_x, g.x2[e] - base_x
@@ -127,11 +136,15 @@ def _on_segments(px, py, e) -> np.ndarray:
 def _in_polygon(px, py, e) -> np.ndarray:
     """Closed point in polygon: even-odd rule, or on an edge."""
     x1, y1, x2, y2 = (v[None, :] for v in e[:4])
-    x, y = px[:, None], py[:, None]
-    straddles = (y1 > y) != (y2 > y)
     height = np.where(y2 == y1, 1.0, y2 - y1)
-    hits = straddles & (x < x1 + (y - y1) * (x2 - x1) / height)
-    return (hits.sum(axis=1) % 2 == 1) | _on_segments(px, py, e)
+    out = np.zeros(len(px), dtype=bool)
+    rows = max(1, PAIRS_PER_CHUNK // max(e.shape[1], 1))
+    for start in range(0, len(px), rows):
+        part = slice(start, start + rows)
+        x, y = px[part, None], py[part, None]
+        hits = ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * (x2 - x1) / height)
+        out[part] = (hits.sum(axis=1) % 2 == 1) | _on_segments(px[part], py[part], e)
+    return out
 
 
 def _pieces(e, f) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,13 +179,13 @@ def _covered_length(e, f) -> tuple[float, float]:
     return float(length[along].sum()), float(length.sum())
 
 
-def _holds(this: _Rows, other: _Rows, row: int) -> bool:
+def _holds(this: _Rows, i: int, other: _Rows, j: int) -> bool:
     """For a geometry without area: the other one holds it, or both run along each other."""
-    kind, other_kind = this.kinds[row], other.kinds[row]
-    points = list(this.rings(row))
+    kind, other_kind = this.kinds[i], other.kinds[j]
+    points = list(this.rings(i))
     if not points:
         return False
-    e, f = this.segments(row), other.segments(row)
+    e, f = this.segments(i), other.segments(j)
     px, py = (np.concatenate(v) for v in zip(*points, strict=True))
     if kind in POINTS:
         if other_kind in POLYGONS:
@@ -180,7 +193,7 @@ def _holds(this: _Rows, other: _Rows, row: int) -> bool:
         if other_kind in LINES:
             return bool(f.size and _on_segments(px, py, f).all())
         own = set(zip(px, py, strict=True))
-        others = {p for x, y in other.rings(row) for p in zip(x, y, strict=True)}
+        others = {p for x, y in other.rings(j) for p in zip(x, y, strict=True)}
         return bool(own & others) and (own <= others or not others <= own)
     if kind not in LINES:
         return False
@@ -200,37 +213,65 @@ def _holds(this: _Rows, other: _Rows, row: int) -> bool:
     return False
 
 
-def relate_batch(left: pa.Array, right: pa.Array, min_ratio: float) -> np.ndarray:
-    """Share of the left geometry inside the right one above ``min_ratio``; for left
-    geometries without an area, whether the right one holds or overlaps them."""
-    this, other = _Rows(left), _Rows(right)
-    both = this.valid & other.valid
-    out = np.zeros(len(both), dtype=bool)
-    flat = np.flatnonzero(both & (this.area > 0) & np.isin(other.kinds, POLYGONS))
-    out[flat] = shared_areas(this, other, flat)[flat] / this.area[flat] > min_ratio
-    for row in np.flatnonzero(both & (this.area <= 0)):
-        out[row] = _holds(this, other, row)
+def relate(a: _Rows, ai, b: _Rows, bi, min_ratio: float) -> np.ndarray:
+    """Share of geometry ``ai[n]`` inside ``bi[n]`` above ``min_ratio``; for geometries
+    without an area, whether the other one holds or overlaps them."""
+    out = np.zeros(len(ai), dtype=bool)
+    area, to_polygon = a.area[ai], np.isin(b.kinds[bi], POLYGONS)
+    flat = np.flatnonzero((area > 0) & to_polygon)
+    out[flat] = shared_areas(a, ai[flat], b, bi[flat]) / area[flat] > min_ratio
+    filled = np.bincount(a.ring_row, minlength=len(a.kinds)) > 0
+    single = (a.kinds[ai] == POINT) & filled[ai] & to_polygon
+    first = np.zeros(len(a.kinds), dtype=np.int64)
+    first[a.ring_row[::-1]] = a.point_at[::-1]
+    for j in np.unique(bi[single]):
+        n = np.flatnonzero(single & (bi == j))
+        at = first[ai[n]]
+        out[n] = _in_polygon(a.x[at], a.y[at], b.segments(j))
+    for n in np.flatnonzero((area <= 0) & ~single):
+        out[n] = _holds(a, ai[n], b, bi[n])
     return out
 
 
+def _distinct(wkb: pa.Array) -> tuple[_Rows, np.ndarray, np.ndarray]:
+    """Each different geometry of a batch once, the one of each row, and which rows have one."""
+    encoded = wkb.dictionary_encode()
+    valid = encoded.is_valid().to_numpy(zero_copy_only=False)
+    index = encoded.indices.fill_null(0).to_numpy(zero_copy_only=False)
+    return _Rows(decode_batch(encoded.dictionary)), index.astype(np.int64), valid
+
+
 def geometries_relate(this, other, min_ratio: float = 0.01):
-    """Boolean column over two nested geometry columns; see :func:`relate_batch`."""
+    """Boolean column over two WKB columns; see :func:`relate`.
+
+    A geometry that is in many pairs of a batch is decoded once, and points are tested
+    together against each polygon.
+    """
 
     @F.arrow_udf("boolean")
-    def relate(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(relate_batch(a, b, min_ratio), type=pa.bool_())
+    def compare(left: pa.Array, right: pa.Array) -> pa.Array:
+        a, ai, a_valid = _distinct(left)
+        b, bi, b_valid = _distinct(right)
+        both = np.flatnonzero(a_valid & b_valid)
+        out = np.zeros(len(ai), dtype=bool)
+        out[both] = relate(a, ai[both], b, bi[both], min_ratio)
+        return pa.array(out, type=pa.bool_())
 
-    return relate(this, other)
+    return compare(this, other)
 
 
 def intersection_area(a, b):
-    """Shared area of two nested polygon columns; 0 where one is not a polygon."""
+    """Shared area of two WKB polygon columns; 0 where one is not a polygon."""
 
     @F.arrow_udf("double")
     def measure(left: pa.Array, right: pa.Array) -> pa.Array:
-        x, y = _Rows(left), _Rows(right)
-        both = x.valid & y.valid
-        rows = both & np.isin(x.kinds, POLYGONS) & np.isin(y.kinds, POLYGONS)
-        return pa.array(shared_areas(x, y, np.flatnonzero(rows)), mask=~both)
+        x, xi, x_valid = _distinct(left)
+        y, yi, y_valid = _distinct(right)
+        both = x_valid & y_valid
+        out = np.zeros(len(xi))
+        use = np.flatnonzero(both)
+        use = use[np.isin(x.kinds[xi[use]], POLYGONS) & np.isin(y.kinds[yi[use]], POLYGONS)]
+        out[use] = shared_areas(x, xi[use], y, yi[use])
+        return pa.array(out, mask=~both)
 
     return measure(a, b)

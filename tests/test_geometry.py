@@ -166,7 +166,7 @@ PAIR_SCHEMA = "a " + SCHEMA.split(" ", 3)[3] + ", b " + SCHEMA.split(" ", 3)[3]
 def test_intersection_area(spark):
     rows = [({"kind": a[0], "parts": a[1]}, {"kind": b[0], "parts": b[1]}, s) for a, b, s in PAIRS]
     df = spark.createDataFrame(rows, PAIR_SCHEMA).coalesce(1)
-    for found, expected in df.select(intersection_area(F.col("a"), F.col("b")), "area").collect():
+    for found, expected in df.select(intersection_area(to_wkb(F.col("a")), to_wkb(F.col("b"))), "area").collect():
         assert found == pytest.approx(expected, abs=1e-9)
 
 
@@ -193,7 +193,7 @@ def test_intersection_area_of_random_stars(spark):
     pairs = [(star(0, 0), star(*rng.uniform(-1, 1, 2))) for _ in range(12)]
     rows = [({"kind": 3, "parts": [[a]]}, {"kind": 3, "parts": [[b]]}, float((covered(a, x, y) & covered(b, x, y)).sum() / 1e4)) for a, b in pairs]
     df = spark.createDataFrame(rows, PAIR_SCHEMA)
-    for found, expected in df.select(intersection_area(F.col("a"), F.col("b")), "area").collect():
+    for found, expected in df.select(intersection_area(to_wkb(F.col("a")), to_wkb(F.col("b"))), "area").collect():
         assert found == pytest.approx(expected, abs=0.02)
 
 
@@ -226,10 +226,23 @@ RELATED = [
 def test_relations(spark):
     rows = [({"kind": a[0], "parts": a[1]}, {"kind": b[0], "parts": b[1]}, float(r)) for a, b, r in RELATED]
     df = spark.createDataFrame(rows, PAIR_SCHEMA).coalesce(1)
-    found = [r[0] for r in df.select(geometries_relate(F.col("a"), F.col("b"))).collect()]
+    found = [r[0] for r in df.select(geometries_relate(to_wkb(F.col("a")), to_wkb(F.col("b")))).collect()]
     assert found == [r for _, _, r in RELATED]
 
 
+def test_many_points_in_one_polygon(spark):
+    star = {"kind": 3, "parts": [[CONCAVE]]}
+    points = spark.range(1000).select(
+        geo.point((F.col("id") % 40) / 4, (F.col("id") / 100).cast("double")).alias("p"), "id"
+    )
+    polygon = spark.createDataFrame([(star,)], "b " + SCHEMA.split(" ", 3)[3]).select(to_wkb(F.col("b")).alias("b"))
+    rows = points.join(F.broadcast(polygon)).withColumn("hit", geometries_relate(to_wkb(F.col("p")), F.col("b")))
+    for r in rows.select("id", "hit").collect():
+        x, y = r["id"] % 40 / 4, r["id"] / 100
+        edge = 2 + 8 * abs(x - 5) / 5
+        assert r["hit"] == (0 <= x <= 10 and 0 <= y <= edge), (x, y)
+
+
 def test_zoom_of_points_and_lines(spark):
     df = spark.createDataFrame([(1.0, 2.0, 1.0, 2.0), (1.0, 2.0, 1.0, 3.0)], "minx double, miny double, maxx double, maxy double")
     b = {c: F.col(c) for c in df.columns}
