@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import colors
 from ..model import is_missing, without_nan
 from ..session import materialise
-from .relational import bucketize
+from .relational import bucketize, quantiles
 
 MAX_BINS = 1000
 CLASS, COLOR = "_class", "_color"
@@ -161,13 +161,11 @@ def natural_breaks(
     )
     if write_values:
         values = materialise(values, "values")
-    half = max_bins // 2
-    levels = ", ".join(f"{i / half}D" for i in range(1, half))
     first = values.agg(
         F.count("v").alias("n"),
         F.avg("v").alias("mean"),
         F.approx_count_distinct("v").alias("distinct"),
-        F.expr(f"percentile_approx(v, array({levels}), {5 * max_bins})").alias("edges"),
+        quantiles("v", max_bins // 2).alias("edges"),
     ).first()
     if not first["n"]:
         return []

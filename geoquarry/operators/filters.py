@@ -32,7 +32,8 @@ def in_bounds(bounds, keep_null: bool = True) -> Column:
 
 
 def filter_bounds(df: DataFrame, bounds) -> DataFrame:
-    return df.filter(in_bounds(bounds))
+    """Rows in the viewport; a table without bounds columns has no place and stays whole."""
+    return df.filter(in_bounds(bounds)) if "minx" in df.columns else df
 
 
 def is_select(query) -> bool:

@@ -3,6 +3,8 @@ and row ranks that never bring one group together in one task."""
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 SALTS = 32
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 22
+MAX_BLOCKS = 10_000
 
 
 def small_or_none(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
@@ -104,22 +107,27 @@ def integer_blocks(order: str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(order) / F.lit(rows))
 
 
-def with_quantile_blocks(
-    df: DataFrame, order: str, name: str, tie: str, blocks: int = 256
-) -> DataFrame:
+def quantiles(value: str, parts: int) -> Column:
+    """Approximate inner quantiles that cut a column into ``parts`` of about equal size."""
+    levels = json.dumps([i / parts for i in range(1, parts)])
+    return F.percentile_approx(
+        value, F.from_json(F.lit(levels), "array<double>"), F.lit(10 * parts)
+    )
+
+
+def with_quantile_blocks(df: DataFrame, order: str, name: str, tie: str) -> DataFrame:
     """Add blocks of about equal size along a numeric or time column, nulls first.
 
-    ``tie`` is added as the second sort key. Rows that share one value which holds several
-    quantiles, and nulls, are spread over 256 blocks along it.
+    There are as many blocks as keep each at a few million rows (256 to 10,000). ``tie`` is
+    added as the second sort key. Rows that share one value which holds several quantiles, and
+    nulls, are spread over 256 blocks along it.
     """
-    value = F.col(order).cast("double")
-    levels = ", ".join(f"{i / blocks}D" for i in range(1, blocks))
-    keyed = df.withColumn(tie, row_hash(df)).withColumn("__v", value)
-    quantiles = keyed.agg(
-        F.expr(f"percentile_approx(__v, array({levels}), {10 * blocks})").alias("q")
-    ).first()["q"] or []
-    edges = sorted(set(quantiles))
-    hot = [e for e in edges if quantiles.count(e) > 1]
+    keyed = df.withColumn(tie, row_hash(df)).withColumn("__v", F.col(order).cast("double"))
+    blocks = min(max(df.count() // BLOCK_ROWS, 256), MAX_BLOCKS)
+    found = keyed.agg(quantiles("__v", blocks).alias("q")).first()["q"] or []
+    edges = sorted(set(found))
+    seen = Counter(found)
+    hot = [e for e in edges if seen[e] > 1]
     spread = F.shiftright(F.col(tie), 56) + 128
     within = F.when(F.col("__v").isin(*hot), spread) if hot else F.when(F.lit(False), spread)
     position = F.when(F.col("__v").isNull(), spread - 512).otherwise(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geoquarry.functions import colors
 from geoquarry.functions import geometry as geo
+from geoquarry.functions.overlap import geometries_relate
 from geoquarry.functions.text import match_terms, stem
 from geoquarry.functions.wkb import to_wkb
 from geoquarry.model import Bounds, Layer
@@ -124,6 +125,29 @@ def test_bounds_join_equals_brute_force(spark, hot_rows):
     assert found == expected
 
 
+def test_overlap_join_of_polygons_equals_brute_force(spark):
+    """Triangles and points of mixed size against triangles, each pair measured on its own."""
+    rng = np.random.default_rng(21)
+
+    def shapes(n, seed):
+        rows = []
+        for i in range(n):
+            x, y, s = *rng.uniform(0, 20, 2), rng.choice([0.5, 2.0, 9.0])
+            corners = [(x, y), (x + s, y + rng.uniform(-s, s)), (x + rng.uniform(0, s), y + s)]
+            ring = [{"x": float(a), "y": float(b)} for a, b in [*corners, corners[0]]]
+            shape = {"kind": 1, "parts": [[ring[:1]]]} if i % 4 == 0 else {"kind": 3, "parts": [[ring]]}
+            rows.append((i, shape))
+        df = spark.createDataFrame(rows, "id int, g struct<kind:int,parts:array<array<array<struct<x:double,y:double>>>>>")
+        return df.withColumns({**geo.bounds(F.col("g")), "geometry": to_wkb(F.col("g"))}).drop("g")
+
+    a, b = shapes(80, 1), shapes(60, 2)
+    pairs = spatial.overlap_join(a, b, hot_rows=20)
+    found = sorted(map(tuple, pairs.select("l.id", F.col("r.id").alias("other")).collect()))
+    every = a.select("id", "geometry").crossJoin(b.select(F.col("id").alias("other"), F.col("geometry").alias("h")))
+    expected = every.filter(geometries_relate(F.col("geometry"), F.col("h"), 0.01)).select("id", "other")
+    assert found == sorted(map(tuple, expected.collect())) and len(found) > 50
+
+
 def test_join_with_an_empty_side(spark):
     a = random_boxes(spark, 1, 5)
     assert spatial.bounds_join(a, a.limit(0)).count() == 0
