@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,9 @@ COLUMNS = (
 )
 
 
-def line_fails(line: str, n_words: int) -> bool:
-    """Whether a line with ``n_words`` words fails a rule."""
+def line_fails(line: str, words: list[bytes]) -> bool:
+    """Whether a line with these words fails a rule."""
+    n_words = len(words)
     marks = sum(line.count(c) for c in SYMBOLS)
     if marks >= 2 and marks * 5 >= n_words:  # navigation bars, symbol clutter
         return True
@@ -45,10 +47,10 @@ def line_fails(line: str, n_words: int) -> bool:
         return True
     if n_words <= SHORT_LINE and not line.rstrip().endswith(TERMINAL):  # menu entries, headings
         return True
-    if n_words >= 5 and not line.islower():
-        upper = sum(map(str.isupper, line))
-        if upper * 2 > sum(map(str.isalpha, line)):
-            return True
+    if n_words >= 5 and sum(map(bytes.isupper, words)) * 2 > n_words:  # shouting
+        return True
+    if n_words >= 8 and sum(map(eq, words, words[1:])) * 2 > n_words:  # stuttering
+        return True
     return n_words <= FURNITURE_WORDS and FURNITURE.search(line) is not None
 
 
@@ -80,13 +82,13 @@ def judge(text: str, max_lost: float = MAX_LOST) -> tuple:
     seen: set[str] = set()
     kept_lines, lines, failed, words_failed = [], 0, 0, 0
     for line in text.split("\n"):
-        in_line = len(line.encode().split())
+        in_line = line.encode().split()
         if in_line:
             lines += 1
             seen.add(line)
             if line_fails(line, in_line):
                 failed += 1
-                words_failed += in_line
+                words_failed += len(in_line)
                 continue
         kept_lines.append(line)
     repeats = repeated_words(words)
@@ -110,8 +112,8 @@ def judge(text: str, max_lost: float = MAX_LOST) -> tuple:
 def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     """Judge every document of ``docs(doc_id, text)`` by its lines; one row per row.
 
-    A line fails with many symbols or separators for its words, with capitals or double exclamation
-    marks throughout, as a short line without an end mark, or with a phrase of page furniture.
+    A line fails with many symbols or separators for its words, with capitals, double exclamation
+    marks or the same word throughout, as a short line without an end mark, or with a phrase of page furniture.
     ``text`` is what is left. ``base_failed``: fewer than 20 words, or over 30 % of the words in
     8-word windows that occur twice. ``kept``: not ``base_failed``, and the failed lines hold at
     most ``max_lost`` of the words. Empty and null texts have no words and fail. Rows are judged
