@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mix as mixing
-from . import quality_rules, simhash
+from . import decontaminate, quality_rules, secret_scan, simhash, token_codes, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,38 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source",
         "copies",
     )
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(number, secret_scan.KINDS),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_codes.write_tokens(read(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+    return token_codes.read_tokens(files)
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
+    return leaks.drop("key")
