@@ -9,10 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+import suite
 from tests.conftest import SF
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = suite.QUERIES
+ORACLES = suite.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +58,5 @@ def test_entry_has_rows(spark):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
