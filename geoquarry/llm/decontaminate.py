@@ -102,7 +102,7 @@ def _frequencies(docs: DataFrame, held, grams: np.ndarray) -> dict[int, int]:
     """How often each of a block's grams occurs in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unique(held.value.grams)
+        known = np.unique(held.value["grams"])
         counts = np.zeros(len(known), np.int64)
         for batch in cuts(batches):
             words, _, _, rows = word_hashes(batch.column("text"))
@@ -220,7 +220,7 @@ MATCHES = "doc_id long, key long, item_id long, share double, start long, end lo
 
 def _scan(docs: DataFrame, held, min_share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value
+        block = Block(**held.value)
         for batch in cuts(batches):
             words, starts, ends, rows = word_hashes(batch.column("text"))
             grams, whole = gram_hashes(words, rows, SEED_WORDS)
@@ -274,9 +274,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE)
     for k in range(blocks):
         mine = parts.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == k)
         block = _block(mine.orderBy("item_id", "part").collect())  # about BLOCK_WORDS words
-        held = spark.sparkContext.broadcast(block)
+        held = spark.sparkContext.broadcast(vars(block))  # plain arrays need no import
         seeds = _seeds(block, _frequencies(rows, held, block.grams))
-        some = materialise(_scan(rows, spark.sparkContext.broadcast(seeds), min_share), "leaks")
+        seeded = spark.sparkContext.broadcast(vars(seeds))
+        some = materialise(_scan(rows, seeded, min_share), "leaks")
         found = some if found is None else found.union(some)
     if found is None:
         return spark.createDataFrame([], MATCHES)
