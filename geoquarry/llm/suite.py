@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mix as mixing
-from . import decontaminate, quality_rules, secret_scan, simhash, token_codes, token_counts
+from . import decontaminate, license_scan, line_dedup, quality_model, quality_rules, secret_scan, simhash, token_codes, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,28 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     )
     return leaks.drop("key")
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_runs(docs).select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        "n_words_removed",
+        F.length("text").cast("long").alias("n_chars_left"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    )
