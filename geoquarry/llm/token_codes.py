@@ -161,7 +161,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        encoder = Encoder(vocabulary, boundary)
+        encoder = Encoder.shared(vocabulary, boundary)
         files, inner = fs.FileSystem.from_uri(folder)
         files.create_dir(inner, recursive=True)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -229,5 +229,5 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = based.repartition("file")
+    spread = based.repartition(max(1, files.count()), "file")  # a task for a file
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -32,7 +32,7 @@ def count_tokens(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, boundary, chunk, overlap)
+        encoder = Encoder.shared(vocabulary, boundary, chunk, overlap)
         for batch in cuts(batches):
             whole = texts(batch)
             n_tokens = pa.array([len(ids) // 4 for ids in encoder.encode(whole)], pa.int64())

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
+from types import ModuleType
 
 import numpy as np
 
 #: Texts of more characters are encoded in overlapping chunks of about this size.
 CHUNK = 32_768
 OVERLAP = 1_024
-#: Distinct pieces whose ids a task remembers at once.
-REMEMBERED = 400_000
+#: Distinct pieces a worker remembers: at most twice as many, the ones it met last.
+REMEMBERED = 350_000
+#: Pieces that are given to the tokenizer in one text.
+TOGETHER = 200
 
 # A space is a stable boundary when nothing a tokenizer does on one side depends on the other.
 # "dropped": the tokenizer splits at white space and drops it, so every space is one.
@@ -21,6 +26,9 @@ BOUNDARIES = {
     "dropped": re.compile(" "),
     "leading": re.compile(r"(?<=[!-~\w]) (?=[!-~\w])"),
 }
+BLANK = re.compile(r"\s")
+#: A space that is no stable boundary of the kind "leading".
+UNSTABLE = re.compile(r"(?:\A|[^!-~\w]) | (?:\Z|[^!-~\w])")
 
 
 class NoBoundary(Exception):
@@ -38,6 +46,46 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+class Pieces(dict):
+    """Ids of pieces that follow ``before``; a generation that is full is kept for one more."""
+
+    def __init__(self, tokenizer, before: str):
+        super().__init__()
+        self.tokenizer, self.before = tokenizer, before
+        self.last: dict[str, bytes] = {}
+        vocabulary = tokenizer.get_vocab()
+        self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank_first[[k for t, k in vocabulary.items() if t.startswith("\u0120")]] = True
+
+    def learn(self, pieces: set[str]) -> None:
+        new = pieces - self.keys()
+        if len(self) + len(new) > REMEMBERED:
+            self.last = dict(self)
+            self.clear()
+            new = pieces
+        known = new & self.last.keys()
+        self.update(zip(known, map(self.last.__getitem__, known), strict=True))
+        rest = sorted(new - known, key=lambda p: BLANK.search(p) is not None)
+        for start in range(0, len(rest), TOGETHER):
+            some = rest[start : start + TOGETHER]
+            self.update(zip(some, self._encode([self.before + p for p in some]), strict=True))
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. Pieces that begin with their only blank are encoded as one text.
+
+        Such a text is cut where a token begins with a blank, once for each piece.
+        """
+        if self.before and not any(map(BLANK.search, [p[1:] for p in pieces])):
+            whole = self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)
+            ids = np.array(whole[0].ids, "<u4")
+            starts = np.flatnonzero(self.blank_first[ids])
+            if len(starts) == len(pieces):
+                raw, at = ids.tobytes(), (4 * starts).tolist()
+                return [raw[s:e] for s, e in zip(at, [*at[1:], len(raw)], strict=True)]
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+
 class Encoder:
     """Encodes texts; ``boundary`` names where the tokenizer's tokens never join.
 
@@ -52,34 +100,44 @@ class Encoder:
         self.boundary = BOUNDARIES[boundary]
         self.leading = boundary == "leading"
         self.chunk, self.overlap = chunk, overlap
-        self.known: dict[str, bytes] = {}
+        self.firsts = Pieces(self.tokenizer, "")
+        self.others = Pieces(self.tokenizer, " ") if self.leading else self.firsts
         self.widened = 0
 
+    @staticmethod
+    def shared(path: str, boundary: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Encoder:
+        """The encoder of this worker process, so that later tasks in it know its pieces."""
+        state = sys.modules.setdefault("_token_encoders", ModuleType("_token_encoders"))
+        held = state.__dict__.setdefault("encoders", {})
+        key = path, boundary, chunk, overlap
+        if key not in held:
+            held[key] = Encoder(*key)
+        return held[key]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [None if len(t) > self.chunk else self._pieces(t) for t in texts]
-        self._learn({p for each in parts if each for p in each})
-        known = self.known.__getitem__
+        short = [p for p in parts if p is not None]
+        firsts, others = {p[0] for p in short}, set()
+        for p in short:
+            others.update(p[1:])
+        if self.others is self.firsts:
+            firsts |= others
+        else:
+            self.others.learn(others)
+        self.firsts.learn(firsts)
+        first, other = self.firsts.__getitem__, self.others.__getitem__
         return [
-            self.spliced(t).astype("<u4").tobytes() if p is None else b"".join(map(known, p))
+            self.spliced(t).astype("<u4").tobytes()
+            if p is None
+            else first(p[0]) + b"".join(map(other, p[1:]))
             for t, p in zip(texts, parts, strict=True)
         ]
 
     def _pieces(self, text: str) -> list[str]:
-        if not self.leading:
-            return text.split(" ")
-        first, *rest = self.boundary.split(text)
-        return [first, *(" " + p for p in rest)]
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(pieces - self.known.keys())
-        for start in range(0, len(new), 10_000):
-            some = new[start : start + 10_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            for piece, encoding in zip(some, found, strict=True):
-                self.known[piece] = np.array(encoding.ids, "<u4").tobytes()
+        if self.leading and UNSTABLE.search(text):
+            return self.boundary.split(text)
+        return text.split(" ")
 
     def _tokens(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and the places in the whole text (from, to) of the tokens of a chunk."""
