@@ -12,8 +12,8 @@ def _star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours linked to the smallest node next to it (or itself)."""
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
     least = both.groupBy("a").agg(F.min("b").alias("least"))
-    least = least.select("a", F.least("a", "least").alias("least"))
-    # A node with many neighbours is one row on the side of the minima, so its rows can be split.
+    # Minima are written before they are joined, so that a node's many neighbours can be split.
+    least = materialise(least.select("a", F.least("a", "least").alias("least")), "least")
     return (
         both.join(least, "a")
         .where("b > a")
@@ -25,7 +25,7 @@ def _star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours linked to the smallest of them; links have a > b."""
-    least = links.groupBy("a").agg(F.min("b").alias("least"))
+    least = materialise(links.groupBy("a").agg(F.min("b").alias("least")), "least")
     moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     own = least.select("a", F.col("least").alias("b"))
     return moved.union(own).where("a != b").distinct()
@@ -48,7 +48,7 @@ def components(links: DataFrame) -> DataFrame:
     )
     size = _size(state)
     while True:
-        after = materialise(_small_star(_star(state)), "links")
+        after = materialise(_small_star(materialise(_star(state), "star")), "links")
         now = _size(after)
         if now == size:
             break

@@ -294,9 +294,11 @@ def keep_clean(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE)
 
     Rows go by id and text hash, so a row with a null id goes too, and so do all equal rows.
     """
-    gone = find_leaks(docs, items, min_share).select(
-        F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")
+    leaks = find_leaks(docs, items, min_share)
+    gone = materialise(
+        leaks.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(),
+        "gone",
     )
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     same_row = docs.doc_id.cast("long").eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key"))
-    return docs.join(gone.distinct(), same_row, "left_anti")
+    return docs.join(gone, same_row, "left_anti")

@@ -142,7 +142,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     lines = materialise(_lines(docs, min_words), "lines")
     prints = lines.select("doc_id", "key", F.explode("prints").alias("line"))
-    twice = prints.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
+    # Sums are written before they are joined, so that the rows of a frequent line can be split.
+    twice = materialise(
+        prints.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line"), "twice"
+    )
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
     shared = (
         prints.join(twice, "line")
@@ -152,11 +155,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     around = lines.alias("a").join(shared.alias("b"), same).select("a.*", "shared")
     spans = materialise(_matching(around, min_words), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key", "start")
-    firsts = (
+    firsts = materialise(
         spans.groupBy("window")
         .agg(F.min(place).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("window", "first")
+        .select("window", "first"),
+        "firsts",
     )
     later = spans.join(firsts, "window").where(place != F.col("first"))
     return later.groupBy("doc_id", "key").agg(
@@ -175,8 +179,13 @@ def remove_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     names. Lines without a word stay. Rows equal in id and text are one document: they lose the
     same lines, and none because of each other. Null and empty texts stay as they are.
     """
-    runs = repeated_runs(docs, min_words).select(
-        F.col("doc_id").alias("run_id"), F.col("key").alias("run_key"), F.col("runs").alias("run_spans")
+    runs = materialise(
+        repeated_runs(docs, min_words).select(
+            F.col("doc_id").alias("run_id"),
+            F.col("key").alias("run_key"),
+            F.col("runs").alias("run_spans"),
+        ),
+        "runs",
     )
     _, key = _text_key()
     same = docs.doc_id.cast("long").eqNullSafe(F.col("run_id")) & (key == F.col("run_key"))

@@ -101,9 +101,13 @@ def plan_mix(
         ),
         "sized",
     )
-    by_source = targets(
-        sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most
-    ).withColumnRenamed("source", "of")
+    # Written, so that Spark knows its size before it plans the join.
+    by_source = materialise(
+        targets(
+            sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most
+        ).withColumnRenamed("source", "of"),
+        "targets",
+    )
     rate = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
     copies = F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")
     return sized.join(by_source, F.col("source").eqNullSafe(F.col("of"))).select(
@@ -123,11 +127,16 @@ def mix(
     Rates depend on the sources alone, so rows are repeated where they are read; only the table of
     sources is joined with them.
     """
-    rates = (
-        plan_mix(docs, weights, share, most, seed)
-        .groupBy("source")
-        .agg(F.first("source_size").alias("mix_size"), F.first("target").alias("mix_target"))
-        .withColumnRenamed("source", "mix_of")
+    sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(
+        F.sum(word_count(F.col("text"))).cast("long").alias("source_size")
+    )
+    rates = materialise(
+        targets(sizes, weights, share, most).select(
+            F.col("source").alias("mix_of"),
+            F.col("source_size").alias("mix_size"),
+            F.col("target").alias("mix_target"),
+        ),
+        "targets",
     )
     rate = F.coalesce(
         F.col("mix_target") / F.when(F.col("mix_size") > 0, F.col("mix_size")), F.lit(0.0)

@@ -27,7 +27,11 @@ BROADCAST_IDS = 2_000_000
 #: Quantiles of the trusted documents' perplexity, by language, between which documents are kept,
 #: and the factor by which a document may lie outside.
 QUANTILES = (0.002, 0.998)
-SLACK = 1.1
+SLACK = 1.15
+#: One trusted document in so many is not in the model, but tells its limits.
+HELD_OUT = 5
+#: Text bytes whose n-grams are sorted at once.
+CUT_BYTES = 1 << 20
 #: Distinct n-grams a task holds before it passes counts on.
 HELD = 1_000_000
 #: Stands before the first character of a document; no character of a text.
@@ -63,29 +67,29 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """``(gram, n)``: all runs of ``order`` characters of ``docs(text)``, with pads before each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, size = [], 0
 
-        def out(held) -> pa.RecordBatch:
-            raw = np.ascontiguousarray(held[1]).view(f"<U{order}").ravel()
+        def out(part) -> pa.RecordBatch:
+            raw = np.ascontiguousarray(part[1]).view(f"<U{order}").ravel()
             return pa.RecordBatch.from_arrays(
-                [pa.array(raw.tolist(), pa.string()), pa.array(held[2])], names=["gram", "n"]
+                [pa.array(raw.tolist(), pa.string()), pa.array(part[2])], names=["gram", "n"]
             )
 
-        for batch in cuts(batches):
+        for batch in cuts(batches, limit=CUT_BYTES):
             points, at, _ = _points(batch, order)
             hashes, first, counts = np.unique(
                 _hash(points, at + 1, order), return_index=True, return_counts=True
             )
-            grams = points[at[first, None] + np.arange(1 - order, 1)]
-            new = hashes, grams, counts
-            if held is not None:
-                new = _distinct(*map(np.concatenate, zip(held, new, strict=True)))
-            held = new
-            if len(held[0]) > HELD:
-                yield out(held)
-                held = None
-        if held is not None:
-            yield out(held)
+            held.append((hashes, points[at[first, None] + np.arange(1 - order, 1)], counts))
+            size += len(hashes)
+            if size > HELD:
+                part = _distinct(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [part], len(part[0])
+                if size > HELD // 2:
+                    yield out(part)
+                    held, size = [], 0
+        if held:
+            yield out(_distinct(*map(np.concatenate, zip(*held, strict=True))))
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "gram string, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
@@ -196,7 +200,7 @@ def log_probabilities(model: tuple, points: np.ndarray, at: np.ndarray, order: i
 def _score(docs: DataFrame, held, order: int, shard: int, shards: int, chars) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in cuts(batches):
+        for batch in cuts(batches, limit=CUT_BYTES):
             points, at, row = _points(batch, order)
             if shards > 1:
                 own = np.isin(points[at - 1], chars)
@@ -212,7 +216,7 @@ def _score(docs: DataFrame, held, order: int, shard: int, shards: int, chars) ->
                 [
                     *(batch.column(c) for c in ("doc_id", "lang", "key")),
                     pa.array(np.bincount(row, minlength=batch.num_rows).astype(np.int64)),
-                    pa.array(np.bincount(row, logs, minlength=batch.num_rows)),
+                    pa.array(np.bincount(row, logs, minlength=batch.num_rows).astype(float)),
                 ],
                 names=["doc_id", "lang", "key", "n_chars", "log_p"],
             )
@@ -271,9 +275,10 @@ def classify(
     """``(doc_id, lang, n_chars, perplexity, low, high, kept)`` for each row of ``docs``.
 
     ``docs(doc_id, text, lang)``, ``labels(doc_id, quality, toxic)``. Trusted are documents with a
-    label of quality 1 and without one of toxic 1; the model has all their text. A document is kept
-    when its perplexity lies between two quantiles of those of its language, widened by ``slack``;
-    low and high are the limits. A language without trusted documents (null is one too) takes
+    label of quality 1 and without one of toxic 1; the model has their text. A document is kept
+    when its perplexity lies between two quantiles of its language, widened by ``slack``; low and
+    high are the limits. One trusted document in ``HELD_OUT``, by a hash of its id, is kept out of
+    the model and gives the upper quantile, which so is that of text the model hasn't seen. A language without trusted documents (null is one too) takes
     the limits over all. Without any trusted text limits are null and all with a character are kept.
     Texts that are empty or null have a null perplexity and are not kept. Repeated rows stay; a
     null id is never trusted.
@@ -283,18 +288,23 @@ def classify(
         .groupBy(F.col("doc_id").cast("long").alias("trusted_id"))
         .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
         .where("quality = 1 AND toxic = 0")
-        .select("trusted_id")
+        .select("trusted_id", (F.pmod(F.xxhash64("trusted_id"), F.lit(HELD_OUT)) == 0).alias("held_out"))
     )
     trusted = materialise(trusted, "trusted")
-    side = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted  # 8 bytes an id
+    side = trusted.where("NOT held_out").select("trusted_id")
+    if side.count() <= BROADCAST_IDS:
+        side = F.broadcast(side)  # 8 bytes an id
     same = docs.doc_id.cast("long") == F.col("trusted_id")
     counts = materialise(count_grams(docs.join(side, same, "left_semi"), order), "counts")
     scores = materialise(score(docs, train(counts, order), order), "scores")
-    limits = [F.percentile_approx("perplexity", q, 10_000) for q in quantiles]
-    bounds = [limits[0] / slack, limits[1] * slack]
-    good = scores.join(trusted, scores.doc_id == trusted.trusted_id, "left_semi").where(
-        "perplexity IS NOT NULL"
-    )
+    low_at, high_at = quantiles
+    good = scores.join(trusted, scores.doc_id == trusted.trusted_id).where("perplexity IS NOT NULL")
+    # What the model has seen is less perplexing, so the upper limit is that of the unseen.
+    unseen = F.when(F.col("held_out"), F.col("perplexity"))
+    bounds = [
+        F.percentile_approx("perplexity", low_at, 10_000) / slack,
+        F.percentile_approx(unseen, high_at, 10_000) * slack,
+    ]
     by_lang = good.groupBy(F.col("lang").alias("of")).agg(
         bounds[0].alias("low"), bounds[1].alias("high")
     )

@@ -242,6 +242,7 @@ def keep_one(
         .distinct()
         .select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
     )
+    gone = materialise(gone, "gone")
     same_row = (docs.doc_id.cast("long") == F.col("gone_id")) & (key == F.col("gone_key"))
     left = docs.join(gone, same_row, "left_anti")
     twice = grouped.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")

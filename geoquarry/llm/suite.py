@@ -108,3 +108,39 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     )
+
+
+ORACLES["op10_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(concat('mix|', coalesce(CAST(doc_id AS VARCHAR), ''), '|', coalesce(text, ''))), 1, 13) AS BIGINT)
+           / CAST(4503599627370496 AS DOUBLE) AS draw
+  FROM documents
+), sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, source_size,
+         CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
+  FROM sizes
+), levels AS (
+  SELECT *, 2.0 * source_size / w AS full_at,
+         (1.5 * (SELECT sum(source_size) FROM sizes)
+          - coalesce(sum(2 * source_size) OVER before, 0))
+         / ((SELECT sum(w) FROM weighed) - coalesce(sum(w) OVER before, 0)) AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY 2.0 * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), cut AS (
+  SELECT level AS flat FROM levels WHERE full_at >= level ORDER BY full_at LIMIT 1
+), goals AS (
+  SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), w * (SELECT flat FROM cut)) AS target FROM levels
+), rated AS (
+  SELECT s.doc_id, s.size, g.source_size, g.target, s.source, s.draw,
+         CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target, source,
+       CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS copies,
+       size * (CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+FROM rated
+"""

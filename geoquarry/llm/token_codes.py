@@ -33,6 +33,8 @@ BLOCK = 512
 #: A file is closed when it has so many tokens.
 FILE_TOKENS = 4_000_000
 END_ID = 0
+#: Texts of more characters are encoded in chunks, which bounds memory.
+CHUNK = 262_144
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -161,7 +163,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        encoder = Encoder.shared(vocabulary, boundary)
+        encoder = Encoder.shared(vocabulary, boundary, CHUNK)
         files, inner = fs.FileSystem.from_uri(folder)
         files.create_dir(inner, recursive=True)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex

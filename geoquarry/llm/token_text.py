@@ -26,7 +26,11 @@ BOUNDARIES = {
     "dropped": re.compile(" "),
     "leading": re.compile(r"(?<=[!-~\w]) (?=[!-~\w])"),
 }
-BLANK = re.compile(r"\s")
+#: Places in a piece where tokens part too: between a letter and a mark, and around a single line end
+#: between visible characters. (Two blanks in a row are one token or two by what follows.)
+INNER = re.compile(
+    r"(?<=[^\W\d_])(?=[.,;:!?]|\n[^\W\d_])|(?<=[.,;:!?])(?=\n[^\W\d_])|(?<=[^\s]\n)(?=[^\W\d_])"
+)
 #: A space that is no stable boundary of the kind "leading".
 UNSTABLE = re.compile(r"(?:\A|[^!-~\w]) | (?:\Z|[^!-~\w])")
 
@@ -47,43 +51,74 @@ def load(path: str):
 
 
 class Pieces(dict):
-    """Ids of pieces that follow ``before``; a generation that is full is kept for one more."""
+    """Ids of pieces that follow ``before``; a generation that is full is kept for one more.
 
-    def __init__(self, tokenizer, before: str):
+    A new piece is cut again where a letter meets a mark, or either a line's end: tokens part there
+    too, so words with and without a comma share theirs.
+    """
+
+    def __init__(self, tokenizer, before: str, inner: Pieces | None = None):
         super().__init__()
         self.tokenizer, self.before = tokenizer, before
+        self.inner = self if inner is None else inner
         self.last: dict[str, bytes] = {}
         vocabulary = tokenizer.get_vocab()
         self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank_first[[k for t, k in vocabulary.items() if t.startswith("\u0120")]] = True
 
     def learn(self, pieces: set[str]) -> None:
+        odd = (p for p in self._new(pieces) if not p.isalpha())
+        cut = [(p, parts) for p in odd if len(parts := INNER.split(p)) > 1]
+        heads = (pieces - self.keys()) - {p for p, _ in cut}
+        tails = {t for _, parts in cut for t in parts[1:]}
+        heads.update(parts[0] for _, parts in cut)
+        if self.inner is self:
+            self._add(heads | tails)
+        else:
+            self._add(heads)
+            self.inner._add(tails)
+        tail = self.inner.__getitem__
+        self.update((p, self[parts[0]] + b"".join(map(tail, parts[1:]))) for p, parts in cut)
+
+    def _new(self, pieces: set[str]) -> set[str]:
+        """Pieces that are not known; those of the last generation come back on the way."""
         new = pieces - self.keys()
-        if len(self) + len(new) > REMEMBERED:
-            self.last = dict(self)
-            self.clear()
-            new = pieces
         known = new & self.last.keys()
         self.update(zip(known, map(self.last.__getitem__, known), strict=True))
-        rest = sorted(new - known, key=lambda p: BLANK.search(p) is not None)
-        for start in range(0, len(rest), TOGETHER):
-            some = rest[start : start + TOGETHER]
-            self.update(zip(some, self._encode([self.before + p for p in some]), strict=True))
+        return new - known
+
+    def _add(self, pieces: set[str]) -> None:
+        new = self._new(pieces)
+        # Visible characters alone, so the blank before each piece is the only one.
+        plain = [p for p in new if self.before and p.isprintable() and " " not in p]
+        self._encode(plain, together=True)
+        self._encode(list(new.difference(plain)), together=False)
+
+    def turn(self) -> None:
+        """Begin a new generation when this one is full."""
+        if len(self) > REMEMBERED:
+            self.last = dict(self)
+            self.clear()
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece. Pieces that begin with their only blank are encoded as one text.
+    def _encode(self, pieces: list[str], together: bool) -> None:
+        """Add the ids of each piece; ``together`` gives many to the tokenizer in one text.
 
         Such a text is cut where a token begins with a blank, once for each piece.
         """
-        if self.before and not any(map(BLANK.search, [p[1:] for p in pieces])):
-            whole = self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)
-            ids = np.array(whole[0].ids, "<u4")
-            starts = np.flatnonzero(self.blank_first[ids])
-            if len(starts) == len(pieces):
-                raw, at = ids.tobytes(), (4 * starts).tolist()
-                return [raw[s:e] for s, e in zip(at, [*at[1:], len(raw)], strict=True)]
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        for start in range(0, len(pieces), TOGETHER):
+            some = pieces[start : start + TOGETHER]
+            parts = [self.before + p for p in some]
+            if together:
+                whole = self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)
+                ids = np.array(whole[0].ids, "<u4")
+                begin = np.flatnonzero(self.blank_first[ids])
+                if len(begin) == len(some):
+                    raw, at = ids.tobytes(), (4 * begin).tolist()
+                    ends = [*at[1:], len(raw)]
+                    self.update((p, raw[s:e]) for p, s, e in zip(some, at, ends, strict=True))
+                    continue
+            found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+            self.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, found, strict=True))
 
 
 class Encoder:
@@ -101,7 +136,7 @@ class Encoder:
         self.leading = boundary == "leading"
         self.chunk, self.overlap = chunk, overlap
         self.firsts = Pieces(self.tokenizer, "")
-        self.others = Pieces(self.tokenizer, " ") if self.leading else self.firsts
+        self.others = Pieces(self.tokenizer, " ", self.firsts) if self.leading else self.firsts
         self.widened = 0
 
     @staticmethod
@@ -121,9 +156,11 @@ class Encoder:
         firsts, others = {p[0] for p in short}, set()
         for p in short:
             others.update(p[1:])
+        self.firsts.turn()
         if self.others is self.firsts:
             firsts |= others
         else:
+            self.others.turn()
             self.others.learn(others)
         self.firsts.learn(firsts)
         first, other = self.firsts.__getitem__, self.others.__getitem__

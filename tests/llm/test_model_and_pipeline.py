@@ -119,16 +119,21 @@ def test_shards_change_nothing(model, make, monkeypatch):
         assert a[3] == b[3] or a[3] == pytest.approx(b[3])
 
 
-def test_classifier_on_labels(spark, sf):
+LARGER = "/root/testdata/sf0.01"
+
+
+def test_classifier_on_labels(spark):
+    sf = LARGER
     found = suite.op7_quality_classifier(spark, sf).toPandas()
     assert len(found) == len(pd.read_parquet(f"{sf}/documents.parquet"))
     labels = pd.read_parquet(f"{sf}/labels.parquet").merge(found, on="doc_id")
-    assert labels[labels.quality == 1].kept.mean() > 0.97
+    assert labels[labels.quality == 1].kept.mean() > 0.95
     assert labels[labels.quality == 0].kept.mean() < 0.25
 
 
-def test_held_out_documents(spark, sf):
+def test_held_out_documents(spark):
     """The model is fitted without every third labelled document and judged on these."""
+    sf = LARGER
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     found = quality_model.classify(docs, labels.where("doc_id % 3 != 0")).toPandas()
