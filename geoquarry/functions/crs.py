@@ -284,6 +284,12 @@ def reproject(geom: Column, source, target) -> Column:
     return F.get(F.transform(F.array(geom), moved), F.lit(0))
 
 
+def known_codes() -> list[int]:
+    """All EPSG codes that can be projected."""
+    utm = [base + zone for base in (25800, 32600, 32700) for zone in range(1, 61)]
+    return [c for c in (4326, 4258, 3035, 3857, *utm) if c in (4326, 4258, 3035, 3857) or _utm(c)]
+
+
 def reproject_xy(df: DataFrame, x: str, y: str, source, target) -> DataFrame:
     """Replace coordinate columns ``x`` and ``y`` by their projection."""
     out = df.withColumns({"__p_x": F.col(x), "__p_y": F.col(y)})

@@ -51,6 +51,63 @@ def box(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     return F.when(minx.isNotNull(), _geom(POLYGON, F.array(F.array(ring))))
 
 
+def dense_box(minx: Column, miny: Column, maxx: Column, maxy: Column, parts: int) -> Column:
+    """The rectangle with every edge cut into ``parts``, for projections that bend edges."""
+
+    def point(b: Column, k: Column) -> Column:
+        side, step = F.floor(k / parts), (k % parts) / parts
+        across, up = (b["x1"] - b["x0"]) * step, (b["y1"] - b["y0"]) * step
+        x = F.when(side == 0, b["x0"] + across).when(side == 1, b["x1"])
+        y = F.when(side == 1, b["y0"] + up).when(side == 2, b["y1"])
+        return _xy(
+            x.when(side == 2, b["x1"] - across).otherwise(b["x0"]),
+            y.when(side == 3, b["y1"] - up).otherwise(b["y0"]),
+        )
+
+    # Columns stand outside of the functions: inside, new columns of the same names would be meant.
+    corners = F.struct(minx.alias("x0"), miny.alias("y0"), maxx.alias("x1"), maxy.alias("y1"))
+    steps = F.sequence(F.lit(0), F.lit(4 * parts))
+    ring = let(corners, lambda b: F.transform(steps, lambda k: point(b, k)))
+    return F.when(minx.isNotNull(), _geom(POLYGON, F.array(F.array(ring))))
+
+
+EDGE_PARTS = 20
+
+
+def reproject_bounds(box: dict[str, Column], source, target) -> dict[str, Column]:
+    """Bounds that hold a box after it is moved to another CRS.
+
+    Edges bend, so each is followed in ``EDGE_PARTS`` steps. Between two steps a bend reaches at
+    most about 1/``EDGE_PARTS``² of itself further; the bounds are widened by twice that, and by
+    a rounding error. A pole or a seam inside the box is not looked for.
+    """
+    dense = reproject(dense_box(*[box[c] for c in BOUNDS_COLUMNS], EDGE_PARTS), source, target)
+    share = 2 / EDGE_PARTS**2
+
+    def ends(points: Column, axis: str) -> list[Column]:
+        values = F.transform(points, lambda p: p[axis])
+        return [F.array_min(values), F.array_max(values)]
+
+    def held(points: Column, corners: Column) -> Column:
+        fields = []
+        for axis in ("x", "y"):
+            # What the steps add to the corners is the bend.
+            (low, high), (low_c, high_c) = ends(points, axis), ends(corners, axis)
+            near = (F.abs(low) + F.abs(high)) * 1e-12
+            fields.append((low - (low_c - low) * share - near).alias(f"min{axis}"))
+            fields.append((high + (high - high_c) * share + near).alias(f"max{axis}"))
+        return F.struct(*fields)
+
+    corner_at = F.array(*[F.lit(k * EDGE_PARTS) for k in range(4)])
+    found = let(
+        points_of(dense),
+        lambda points: let(
+            F.transform(corner_at, lambda k: F.get(points, k)), lambda corners: held(points, corners)
+        ),
+    )
+    return {c: found[c] for c in BOUNDS_COLUMNS}
+
+
 def polygon(rings: Column) -> Column:
     """Polygon of an array of rings (arrays of ``struct<x,y>``), the first one outer."""
     return F.when(rings.isNotNull(), _geom(POLYGON, F.array(rings)))

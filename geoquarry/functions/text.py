@@ -73,3 +73,12 @@ def with_unique_stem(df: DataFrame, path: str, name: str) -> DataFrame:
         *[c for c in df.columns if c != name],
         F.when(F.col("__n") > 1, parent_stem(F.col(path))).otherwise(F.col(name)).alias(name),
     )
+
+
+def file_path(path: Column, encoded: bool = True) -> Column:
+    """A file's path as listings show it: no ``file:`` scheme, and blanks and letters as they are.
+
+    Paths in row metadata are URL-encoded, those of a listing are not.
+    """
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
+    return F.regexp_replace(plain, "^file:/+", "/")

@@ -157,7 +157,7 @@ def natural_breaks(
     compute.
     """
     values = df.select(without_nan(df, column).cast("double").alias("v")).filter(
-        F.col("v").isNotNull()
+        F.abs("v") < float("inf")  # infinite values fall into the outer classes
     )
     if write_values:
         values = materialise(values, "values")

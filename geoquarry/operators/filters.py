@@ -40,13 +40,20 @@ def is_select(query) -> bool:
     return isinstance(query, str) and re.match(r"\s*(select|with)\b", query, re.I) is not None
 
 
-_NOT_EQUAL = re.compile(r"(`[^`]+`|\b[A-Za-z_]\w*)\s*(?:!=|<>)\s*('[^']*'|\"[^\"]*\"|-?\d+(?:\.\d+)?)")
+_TEXT = r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\"\"|\\.)*\""
+_OPERAND = rf"(?:{_TEXT}|(?:`[^`]+`|[^\W\d]\w*)(?:\.(?:`[^`]+`|[^\W\d]\w*))*(?![\w(])|-?\d+(?:\.\d+)?)"
+# A comparison, or else a text, so that what texts hold is passed over.
+_NOT_EQUAL = re.compile(rf"({_OPERAND})\s*(?:!=|<>)\s*({_OPERAND})|{_TEXT}|`[^`]+`")
+
+
+def _null_safe(match: re.Match) -> str:
+    return f"NOT ({match[1]} <=> {match[2]})" if match[1] else match[0]
 
 
 def text_predicate(df: DataFrame, text: str, null_safe: bool = False) -> DataFrame:
     """Filter by SQL condition text. With ``null_safe``, ``x != value`` keeps null rows."""
     if null_safe:
-        text = _NOT_EQUAL.sub(r"NOT (\1 <=> \2)", text)
+        text = _NOT_EQUAL.sub(_null_safe, text)
     return df.where(text)
 
 

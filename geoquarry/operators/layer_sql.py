@@ -94,13 +94,28 @@ def _with_hidden_columns(df: DataFrame, text: str) -> str:
     match = re.match(r"\s*select\s+(distinct\s+)?", text, re.I)
     if not match:
         return text
-    listed = re.split(r"\bfrom\b", text, maxsplit=1, flags=re.I)[0]
-    if "*" in listed:
+    listed = _select_list(text[match.end() :])
+    if any(re.fullmatch(r"\s*(?:(?:`[^`]+`|\w+)\s*\.\s*)*\*.*", item, re.S) for item in listed):
         return text
+    listed = ", ".join(listed)
     added = [f"df.`{c}`" for c in ADDED_COLUMNS if c in df.columns and not mentions(listed, c)]
     return text[: match.end()] + "".join(f"{c}, " for c in added) + text[match.end() :]
 
 
+def _select_list(text: str) -> list[str]:
+    """Items of a select list: up to the first FROM, by commas, both outside of brackets and texts."""
+    items, depth, start = [], 0, 0
+    for part in re.finditer(r"'(?:[^'\\]|''|\\.)*'|\"[^\"]*\"|`[^`]*`|[(),]|\bfrom\b", text, re.I):
+        token = part[0].lower()
+        depth += (token == "(") - (token == ")")
+        if depth == 0 and token in (",", "from"):
+            items.append(text[start : part.start()])
+            start = part.end()
+            if token == "from":
+                return items
+    return [*items, text[start:]]
+
+
 def join_using(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
     """``other.*, df.*`` of an inner join on one shared column, without repeated columns."""
     extra = [c for c in other.columns if c not in df.columns]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,8 @@ from ..functions.crs import reproject
 from ..functions.text import stem
 from ..functions.wkb import from_wkb, to_wkb
 from ..model import AREA, BOUNDS_COLUMNS, FILE_PATH, GEOM, GEOMETRY, ROW_INDEX, UNIQUE_ID
-from .relational import BROADCAST_ROWS, integer_blocks, join_stats, ranked, with_quantile_blocks
+from ..session import materialise
+from .relational import BROADCAST_ROWS, integer_blocks, join_stats, ranked, row_hash, with_quantile_blocks
 
 INTEGER_AREA_FROM = 10
 
@@ -108,20 +109,34 @@ def with_geometry(df: DataFrame, geom: Column, crs=4326) -> DataFrame:
 
 
 def file_index(files: DataFrame, path: str = FILE_PATH) -> DataFrame:
-    """Number distinct file paths from 0 in path order, as column ``__file_index``."""
+    """Number distinct file paths from 0 in path order, as column ``__file_index``.
+
+    Null paths have no number. Many paths are sorted by range and written, then numbered within
+    each range after the counts of the ranges before.
+    """
+    files = files.filter(F.col(path).isNotNull())
     paths = [r[0] for r in files.limit(BROADCAST_ROWS + 1).collect()]
     if len(paths) <= BROADCAST_ROWS:
         numbers = pa.table(
             {
-                path: pa.array(sorted(p for p in paths if p is not None), pa.string()),
-                "__file_index": pa.array(range(len([p for p in paths if p is not None])), pa.int64()),
+                path: pa.array(sorted(paths, key=str.encode), pa.string()),
+                "__file_index": pa.array(range(len(paths)), pa.int64()),
             }
         )
         return files.sparkSession.createDataFrame(numbers)
-    edges = sorted(p for p in paths[:: len(paths) // 64] if p is not None)
-    block = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(path)))
-    numbered = ranked(files, [], [F.col(path)], block, "__file_index")
-    return numbered.withColumn("__file_index", F.col("__file_index") - 1)
+    placed = files.repartitionByRange(path).sortWithinPartitions(path)
+    kept = materialise(placed.withColumn("__at", F.monotonically_increasing_id()), "paths")
+    # The upper bits number the range, the lower ones the path in it.
+    part = F.shiftright("__at", 33)
+    counts = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    number = F.col("__shift") + F.col("__at").bitwiseAND((1 << 33) - 1)
+    return (
+        kept.withColumn("__part", part)
+        .join(F.broadcast(shifts), "__part")  # a row for each range
+        .select(path, number.alias("__file_index"))
+    )
 
 
 def with_unique_id(
@@ -148,6 +163,20 @@ def with_frame_ids(df: DataFrame, number: int, order: str) -> DataFrame:
     ).drop("__n", "id")
 
 
+def with_hash_ids(df: DataFrame, number: str = "h") -> DataFrame:
+    """Ids for rows of any source: ``"<number>.<hash>-<which>"``, the same on every rerun.
+
+    The hash is over all columns; rows that are equal in it are counted from 0. For sources that
+    report no row position: CSV, JSON, GeoJSON, frames.
+    """
+    hashed = df.withColumn("__hash", row_hash(df))
+    which = F.row_number().over(Window.partitionBy("__hash").orderBy("__hash")) - 1
+    return hashed.withColumn(
+        UNIQUE_ID,
+        F.concat(F.lit(f"{number}."), F.hex("__hash"), F.lit("-"), which.cast("string")),
+    ).drop("__hash", "id")
+
+
 def row_numbers(df: DataFrame, order: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """1-based row number along a numeric or time column, over the table or in each group.
 

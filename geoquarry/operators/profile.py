@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from itertools import permutations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,6 +136,21 @@ def exceeds_table_budget(df: DataFrame, query: str = "", budget: int = 1_000_000
     return df.limit(rows + 1).count() > rows
 
 
+_PLAIN_NAME = "^[A-Za-z_][A-Za-z0-9_]*$"
+
+
+def quoted(name: str) -> str:
+    """A name as SQL text, in backticks where it isn't a plain one."""
+    return name if re.match(_PLAIN_NAME, name) else f"`{name.replace('`', '``')}`"
+
+
+def _quoted_column(column: str) -> Column:
+    name = F.col(column)
+    tick = F.lit("`")
+    inside = F.replace(name, tick, F.lit("``"))
+    return F.when(name.rlike(_PLAIN_NAME), name).otherwise(F.concat(tick, inside, tick))
+
+
 def _quote(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -177,18 +193,18 @@ def suggest_queries(df: DataFrame) -> DataFrame:
     if area is not None and area["mean"] is not None and area["mean"] > area["min"]:
         where = f"WHERE area > {area['mean']} ORDER BY area DESC "
         rows = [("area", "default", str(area["mean"]), int(above[AREA]),
-                 f"SELECT {', '.join(['area', *rest])} FROM df {where}LIMIT 10000")]
+                 f"SELECT {', '.join(['area', *map(quoted, rest)])} FROM df {where}LIMIT 10000")]
     else:
         n = next(iter(stats.values()))["n_rows"] if stats else None
-        rows = [(None, "default", None, n, f"SELECT {', '.join(rest) or '*'} FROM df LIMIT 10000")]
+        rows = [(None, "default", None, n, f"SELECT {', '.join(map(quoted, rest)) or '*'} FROM df LIMIT 10000")]
     for c in shown:
-        picked = ", ".join([c, *[o for o in shown if o != c][:3]])
+        picked = ", ".join(map(quoted, [c, *[o for o in shown if o != c][:3]]))
         if c in means and stats[c]["min"] < stats[c]["max"] and above[c]:
-            query = f"SELECT {picked} FROM df WHERE {c} > {means[c]} ORDER BY {c} DESC"
+            query = f"SELECT {picked} FROM df WHERE {quoted(c)} > {means[c]} ORDER BY {quoted(c)} DESC"
             rows.append((c, "above mean", str(means[c]), int(above[c]), limited(query, above[c])))
         elif c in common and common[c]["n_distinct"] > 1:
             m = common[c]
-            query = f"SELECT {picked} FROM df WHERE {c} = {_quote(m['mode'])}"
+            query = f"SELECT {picked} FROM df WHERE {quoted(c)} = {_quote(m['mode'])}"
             rows.append((c, "mode", m["mode"], int(m["mode_rows"]), limited(query, m["mode_rows"])))
     return spark.createDataFrame(rows, SUGGESTION_SCHEMA)
 
@@ -281,15 +297,15 @@ def join_keys(layers: Mapping[str, DataFrame]) -> DataFrame:
     cells, valid = [], F.lit(False)
     for left, right in dict.fromkeys((a, b) for a, b, _ in suggested):
         i, j = sorted((index[left], index[right]))
-        extra = [f"{right}.{c}" for c in layers[right].columns if c not in layers[left].columns]
-        text = f"SELECT {', '.join(extra)}, df.* FROM df INNER JOIN {right} USING ("
+        extra = [f"{quoted(right)}.{quoted(c)}" for c in layers[right].columns if c not in layers[left].columns]
+        text = f"SELECT {', '.join(extra)}, df.* FROM df INNER JOIN {quoted(right)} USING ("
         cells.append(
             F.struct(
                 F.lit(left).alias("left"),
                 F.lit(right).alias("right"),
                 F.col(f"c{i}_{j}").alias("n_common_keys"),
                 F.col(f"r{i}_{j}").alias("n_joined"),
-                F.concat(F.lit(text), F.col("column"), F.lit(")")).alias("query"),
+                F.concat(F.lit(text), _quoted_column("column"), F.lit(")")).alias("query"),
             )
         )
         columns = [c for a, b, c in suggested if (a, b) == (left, right)]

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions.crs import reproject
-from ..model import Bounds
+from ..functions.geometry import reproject_bounds
+from ..model import BOUNDS_COLUMNS, Bounds
 from .relational import join_stats
 from .spatial import bounds_join
 
@@ -56,10 +56,9 @@ def raster_bounds(pixels: DataFrame, by: Sequence[str] = (RASTER,)) -> DataFrame
 def project_bounds(spark, bounds, crs) -> Bounds:
     """Viewport corners in the CRS of a raster, as bounds."""
     b = Bounds.parse(bounds)
-    corners = spark.range(1).select(
-        reproject(geo.box(*[F.lit(v) for v in b.as_list()]), 4326, crs).alias("g")
-    )
-    row = corners.select(*[c.alias(k) for k, c in geo.bounds(F.col("g")).items()]).first()
+    box = dict(zip(BOUNDS_COLUMNS, map(F.lit, b.as_list()), strict=True))
+    moved = reproject_bounds(box, 4326, crs)
+    row = spark.range(1).select(*[c.alias(k) for k, c in moved.items()]).first()
     return Bounds(row["minx"], row["miny"], row["maxx"], row["maxy"])
 
 
@@ -186,8 +185,14 @@ def from_wide(wide: DataFrame, ids: Sequence[str], bands: Sequence[str]) -> Data
     return wide.unpivot(list(ids), list(bands), "band", "value")
 
 
-def by_band(pixels: DataFrame, bands: Sequence[str], by: Sequence[str] = (RASTER, "y", "x")) -> DataFrame:
-    """One row per pixel with a column per band."""
+def _pixel(pixels: DataFrame) -> list[str]:
+    """What tells pixels apart: raster, place, and time where there is one."""
+    return [RASTER, *(["time"] if "time" in pixels.columns else []), "y", "x"]
+
+
+def by_band(pixels: DataFrame, bands: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:
+    """One row per pixel (and time) with a column per band."""
+    by = _pixel(pixels) if by is None else by
     return pixels.groupBy(*by).pivot("band", list(bands)).agg(F.first("value", ignorenulls=True))
 
 
@@ -196,12 +201,12 @@ def rgb(pixels: DataFrame, bands: Sequence[str] = RGB_BANDS) -> DataFrame:
     if len(bands) not in (1, 3):
         raise RasterError("Only one band or three bands can be drawn")
     wide = by_band(pixels, bands)
-    return wide.select(RASTER, "y", "x", F.array(*[F.col(f"`{b}`") for b in bands]).alias("rgb"))
+    return wide.select(*_pixel(pixels), F.array(*[F.col(f"`{b}`") for b in bands]).alias("rgb"))
 
 
 def band_math(pixels: DataFrame, bands: Sequence[str], expression: Column, name: str = "value") -> DataFrame:
     """A new single-band image computed from the bands of each pixel."""
-    return by_band(pixels, bands).select(RASTER, "y", "x", expression.alias(name))
+    return by_band(pixels, bands).select(*_pixel(pixels), expression.alias(name))
 
 
 def transform(pixels: DataFrame, function: Callable[[DataFrame], DataFrame]) -> DataFrame:

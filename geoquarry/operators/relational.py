@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
 SALTS = 32
@@ -119,19 +120,41 @@ def with_quantile_blocks(df: DataFrame, order: str, name: str, tie: str) -> Data
     """Add blocks of about equal size along a numeric or time column, nulls first.
 
     There are as many blocks as keep each at a few million rows (256 to 10,000). ``tie`` is
-    added as the second sort key. Rows that share one value which holds several quantiles, and
-    nulls, are spread over 256 blocks along it.
+    added as the second sort key. Values are put between quantiles as doubles, which keeps their
+    order even where several exact ones fall on one double. Exact values that hold more than a
+    block, and nulls, get blocks of their own, as many as their rows need, along ``tie``.
     """
-    keyed = df.withColumn(tie, row_hash(df)).withColumn("__v", F.col(order).cast("double"))
-    blocks = min(max(df.count() // BLOCK_ROWS, 256), MAX_BLOCKS)
+    day = isinstance(df.schema[order].dataType, T.DateType)
+    value = F.unix_date(order) if day else F.col(order)
+    keyed = df.withColumn(tie, row_hash(df)).withColumn("__v", value.cast("double"))
+    first = df.agg(
+        F.count("*").alias("n"), F.count_if(F.col(order).isNull()).alias("nulls")
+    ).first()
+    blocks = min(max(first["n"] // BLOCK_ROWS, 256), MAX_BLOCKS)
     found = keyed.agg(quantiles("__v", blocks).alias("q")).first()["q"] or []
     edges = sorted(set(found))
     seen = Counter(found)
-    hot = [e for e in edges if seen[e] > 1]
-    spread = F.shiftright(F.col(tie), 56) + 128
-    within = F.when(F.col("__v").isin(*hot), spread) if hot else F.when(F.lit(False), spread)
-    position = F.when(F.col("__v").isNull(), spread - 512).otherwise(
-        F.col(name) * 512 + within.otherwise(F.lit(256))
+    limit = max(first["n"] // blocks, 1)
+    hot: list = []
+    most = first["nulls"]
+    if many := [e for e in edges if seen[e] > 1]:
+        counts = keyed.filter(F.col("__v").isin(*many)).groupBy(order).agg(F.count("*").alias("n"))
+        # Each has more than 1/blocks of all rows, so there are fewer than blocks.
+        large = counts.filter(F.col("n") > limit).select(F.col(order).alias("value"), "n").collect()
+        hot = sorted(r["value"] for r in large)
+        most = max([most, *(r["n"] for r in large)])
+    bits = max(8, (2 * most // BLOCK_ROWS).bit_length())
+    part = F.shiftrightunsigned(F.col(tie).bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
+    if hot:
+        kind = df.schema[order].dataType
+        values = F.array(*[F.lit(v).cast(kind) for v in hot])
+        below = F.size(F.filter(values, lambda v: v < F.col(order)))
+        own = F.array_contains(values, F.col(order)).cast("int")
+    else:
+        below, own = F.lit(0), F.lit(0)
+    place = (F.col(name).cast("long") * (len(hot) + 1) + below) * 2 + own
+    position = F.when(F.col("__v").isNull(), part - (1 << bits)).otherwise(
+        place * (1 << bits) + F.when(own == 1, part).otherwise(0)
     )
     bucketed = bucketize(keyed, "__v", edges, name)
     return bucketed.withColumn(name, position.cast("long")).drop("__v")

@@ -37,11 +37,20 @@ def common_type(types: Sequence[T.DataType]) -> T.DataType:
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
-    """Union by name; absent columns are null and differing types are aligned first."""
+    """Union by name; absent columns are null and differing types are aligned first.
+
+    Names that differ in capitals alone are an error where the session takes them for one.
+    """
     types: dict[str, list[T.DataType]] = {}
     for df in frames:
         for field in df.schema.fields:
             types.setdefault(field.name, []).append(field.dataType)
+    if frames and frames[0].sparkSession.conf.get("spark.sql.caseSensitive") != "true":
+        spellings: dict[str, set[str]] = {}
+        for name in types:
+            spellings.setdefault(name.lower(), set()).add(name)
+        if unclear := [sorted(s) for s in spellings.values() if len(s) > 1]:
+            raise ValueError(f"Columns that differ in capitals alone, rename them first: {unclear}")
     target = {name: common_type(found) for name, found in types.items()}
 
     def align(df: DataFrame) -> DataFrame:
@@ -61,7 +70,8 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
 
 def first_per_key(df: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per key, the first by ``order``; combined before the shuffle."""
-    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order)
+    place = F.struct(order.isNull(), order)  # a key whose orders are all null keeps a row too
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), place)
     return df.groupBy(key).agg(row.alias("__row")).select("__row.*")
 
 

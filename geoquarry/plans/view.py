@@ -13,7 +13,8 @@ from ..functions.colors import NAN_COLOR, NAN_LABEL
 from ..model import UNIQUE_ID, Bounds, Layer, is_missing
 from ..operators import classify as cls
 from ..operators.filters import is_select
-from ..operators.sample import sample_per_layer
+from ..operators.prepare import with_hash_ids
+from ..operators.sample import hidden_rows, sample_per_layer
 from .layers import LAYER, LayerSet
 
 
@@ -29,7 +30,7 @@ class ViewSpec:
     color_dict: dict[str, str] = field(default_factory=dict)
     bounds: list[float] | None = None
     hidden: list[str] = field(default_factory=list)
-    max_rows: int = 10_000
+    max_rows: int | None = 10_000
     nan_color: str = NAN_COLOR
     nan_label: str = NAN_LABEL
     seed: int = 0
@@ -54,11 +55,15 @@ class ViewSpec:
 
 @dataclass
 class View:
-    """Plans of a drawn view: features with ``_color``, the legend, all visible rows."""
+    """Plans of a drawn view: features with ``_color``, the legend, all visible rows.
+
+    ``hidden`` has a row for each layer: its visible rows and whether the sample leaves some out.
+    """
 
     features: DataFrame
     legend: DataFrame
     union: DataFrame
+    hidden: DataFrame
 
 
 def build_view(
@@ -69,9 +74,15 @@ def build_view(
     """Layers, viewport, queries, union, colours, sample: one lazy plan.
 
     ``load`` gives the prepared table of a path. ``queries`` may add queries that are not text.
-    Breaks and palette come from all visible values, before the sample is taken.
+    Breaks and palette come from all visible values, before the sample is taken; ``max_rows``
+    None draws all rows. A layer without row ids gets them as hashes of its rows.
     """
-    get = load if callable(load) else load.__getitem__
+    load_one = load if callable(load) else load.__getitem__
+
+    def get(path: str) -> DataFrame:
+        rows = load_one(path)
+        return rows if UNIQUE_ID in rows.columns else with_hash_ids(rows)
+
     queries = queries or {}
     layers = LayerSet(
         Layer(path, get(path), queries.get(path, query), path not in spec.hidden)
@@ -99,8 +110,10 @@ def build_view(
         mapping = cls.category_colors(rows, column, named)
         legend = cls.category_legend(rows, column, mapping, None, nan_color, spec.nan_label)
         colored = cls.classify_categories(rows, column, mapping, nan_color)
+    if spec.max_rows is None:
+        return View(colored, legend, rows, hidden_rows(rows, LAYER, None))
     features = sample_per_layer(colored, LAYER, UNIQUE_ID, spec.max_rows, spec.seed)
-    return View(features, legend, rows)
+    return View(features, legend, rows, hidden_rows(rows, LAYER, spec.max_rows))
 
 
 def missing_rows(view: View, column: str) -> DataFrame:

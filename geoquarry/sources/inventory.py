@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import ends_with_any, match_terms, path_prefixes
+from ..functions.text import ends_with_any, file_path, match_terms, path_prefixes
 from ..operators.filters import belongs_to
 
 # File types a layer can be read from.
@@ -21,7 +21,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     )
     return files.select(
-        F.regexp_replace("path", "^file:/+", "/").alias("name"),
+        file_path(F.col("path"), encoded=False).alias("name"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("updated"),
         F.lit("file").alias("type"),

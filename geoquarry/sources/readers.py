@@ -3,44 +3,133 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import geometry as geo
-from ..functions.crs import reproject
+from ..functions.crs import known_codes
+from ..functions.geometry import reproject_bounds
+from ..functions.text import file_path
 from ..model import BOUNDS_COLUMNS, FILE_PATH, GEOM_TYPE, GEOMETRY, ROW_INDEX, Bounds
 from ..operators.prepare import prepare, without_geometry
-from ..operators.relational import BROADCAST_ROWS
+from ..operators.union import stack
+from .inventory import list_files
 
 FOOTER_SCHEMA = (
     "__file_path string, n_rows long, primary_column string, crs string, "
-    "minx double, miny double, maxx double, maxy double"
+    "minx double, miny double, maxx double, maxy double, error string"
 )
 
 
 def _located(reader, path, positions: bool = True) -> DataFrame:
     df = reader.load(path)
-    columns = {FILE_PATH: F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")}
+    columns = {FILE_PATH: file_path(F.col("_metadata.file_path"))}
     if positions:
         columns[ROW_INDEX] = F.col("_metadata.row_index")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     return df.select(*kept, *[c.alias(k) for k, c in columns.items()])
 
 
+def _listing(spark: SparkSession, path) -> DataFrame:
+    paths = [path] if isinstance(path, str) else list(path)
+    return reduce(DataFrame.union, [list_files(spark, p) for p in paths]).filter(
+        ~F.col("name").rlike(r"/[_.][^/]*$")
+    )
+
+
+def file_schemas(spark: SparkSession, path) -> DataFrame:
+    """``(name, size, columns, error)`` of parquet files: their columns and types, as text.
+
+    The footers are read by tasks. ``error`` names what is wrong with a file: it is empty, has no
+    parquet mark at its end, or can't be opened. Folders of other files are no parquet files.
+    """
+
+    def schemas(batches):
+        from pyarrow import parquet as pq
+
+        for batch in batches:
+            found, errors = [], []
+            for name, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                columns, error = None, None
+                try:
+                    system, inner = _open(name)
+                    with system.open_input_file(inner) as file:
+                        if not size or file.read_at(4, size - 4) != b"PAR1":
+                            error = "not a parquet file"
+                        else:
+                            columns = str(pq.read_schema(file).remove_metadata())
+                except (OSError, ValueError, pa.ArrowInvalid) as e:
+                    error = f"{type(e).__name__}: {e}"
+                found.append(columns)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, pa.string()), pa.array(errors, pa.string())],
+                names=["name", "size", "columns", "error"],
+            )
+
+    files = _listing(spark, path).select("name", "size")
+    tasks = max(spark.sparkContext.defaultParallelism, 1)
+    return files.repartition(tasks, "name").mapInArrow(
+        schemas, "name string, size long, columns string, error string"
+    )
+
+
+def _open(path: str):
+    """File system and inner path, for paths with and without a scheme."""
+    from pyarrow import fs
+
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def file_catalogue(spark: SparkSession, path) -> DataFrame:
+    """(layer, column, type) with each parquet file as a layer, from the footers."""
+    line = F.explode(F.split("columns", "\n")).alias("line")
+    lines = file_schemas(spark, path).filter("error IS NULL").select("name", line)
+    name = F.regexp_extract("line", r"^(\S[^:]*): ", 1)
+    kind = F.regexp_extract("line", r"^\S[^:]*: (.*?)(?: not null)?$", 1)
+    return lines.select(
+        F.col("name").alias("layer"), name.alias("column"), kind.alias("type")
+    ).filter("column != ''")
+
+
+def skipped_files(spark: SparkSession, path) -> DataFrame:
+    """``(name, size, error)`` of the files that ``read_parquet`` passes over: no parquet files.
+
+    Files of zero length hold no rows either; Spark's listing leaves them out.
+    """
+    found = file_schemas(spark, path).filter("error = 'not a parquet file'")
+    return found.select("name", "size", "error")
+
+
 def read_parquet(spark: SparkSession, path) -> DataFrame:
-    """Parquet file, directory or list of them; broken or empty files are passed over."""
-    reader = spark.read.format("parquet").option("ignoreCorruptFiles", True)
-    try:
-        return _located(reader.option("mergeSchema", False), path)
-    except AnalysisException as error:
-        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
-            raise
-        # The file Spark looked at is broken: take the schema from all footers.
+    """Parquet file, directory or list of them, whatever columns and types each file has.
+
+    Files of one schema are read as they are. Otherwise files are grouped by schema, each group is
+    read with its own, and the groups are stacked: absent columns are null, differing types are
+    aligned. Only files that are empty or have no parquet mark are passed over (``skipped_files``
+    lists them); a file that is damaged further in is an error when its rows are read.
+    """
+    reader = spark.read.format("parquet").option("mergeSchema", False)
+    groups = (
+        file_schemas(spark, path)
+        .groupBy("columns", "error")
+        .agg(F.collect_list("name").alias("names"))
+        .collect()  # the paths go into the scans
+    )
+    unread = [g for g in groups if g["error"] not in (None, "not a parquet file")]
+    readable = [g for g in groups if g["error"] is None]
+    if unread:  # a damaged footer, or a store that only Spark reads: Spark merges, or tells
         return _located(reader.option("mergeSchema", True), path)
+    if len(groups) <= 1 or not readable:
+        return _located(reader, path)
+    if isinstance(path, str) and any("=" in n[len(path) :] for g in readable for n in g["names"]):
+        reader = reader.option("basePath", path)
+    return stack([_located(reader, sorted(g["names"])) for g in sorted(readable, key=lambda g: g["columns"])])
 
 
 def row_slice(df: DataFrame, rows: int, batch: int) -> DataFrame:
@@ -91,7 +180,8 @@ def geojson_geometry(kind: Column, coordinates: Column) -> Column:
             parts = F.transform(value, lambda part: F.transform(part, lambda ring: F.transform(ring, xy)))
         geom = F.struct(F.lit(code).alias("kind"), parts.alias("parts")).cast(GEOM_TYPE)
         out = F.when(kind == name, geom) if out is None else out.when(kind == name, geom)
-    return out
+    other = F.raise_error(F.concat(F.lit("No reader for GeoJSON geometries of type "), kind))
+    return out.when(kind.isNotNull(), other.cast(GEOM_TYPE))
 
 
 def read_geojson(
@@ -124,21 +214,21 @@ def read_footers(spark: SparkSession, files: DataFrame, name: str = "name") -> D
     """Row count, geometry column, CRS and bounding box from the footers of parquet files.
 
     Each task opens the footers of its share of the paths; no data pages are read. Files
-    without the metadata have nulls.
+    without the metadata have nulls; ``error`` tells why a footer could not be read. A CRS without
+    an authority and code is ``unknown``.
     """
 
     def footers(batches):
-        from pyarrow import fs
         from pyarrow import parquet as pq
 
         for batch in batches:
             rows = []
             for path in batch.column(0).to_pylist():
                 row = dict.fromkeys(
-                    ["n_rows", "primary_column", "crs", "minx", "miny", "maxx", "maxy"]
+                    ["n_rows", "primary_column", "crs", "minx", "miny", "maxx", "maxy", "error"]
                 )
                 try:
-                    system, inner = fs.FileSystem.from_uri(path if ":" in path else f"file://{path}")
+                    system, inner = _open(path)
                     footer = pq.read_metadata(inner, filesystem=system)
                     row["n_rows"] = footer.num_rows
                     meta = json.loads((footer.metadata or {}).get(b"geo", b"{}"))
@@ -146,21 +236,23 @@ def read_footers(spark: SparkSession, files: DataFrame, name: str = "name") -> D
                     about = (meta.get("columns") or {}).get(column, {})
                     crs = about.get("crs")
                     if isinstance(crs, dict):
-                        crs = json.dumps(crs.get("id", crs))
+                        ident = crs.get("id") or {}
+                        known = {"authority", "code"} <= ident.keys()
+                        crs = f"{ident['authority']}:{ident['code']}" if known else "unknown"
                     row.update(primary_column=column, crs=crs)
                     box = about.get("bbox")
                     if box:
                         half = len(box) // 2
                         row.update(minx=box[0], miny=box[1], maxx=box[half], maxy=box[half + 1])
-                except (OSError, ValueError, KeyError):
-                    pass
+                except (OSError, ValueError, KeyError, pa.ArrowInvalid) as e:
+                    row["error"] = f"{type(e).__name__}: {e}"
                 rows.append({"__file_path": path, **row})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema(
         [("__file_path", pa.string()), ("n_rows", pa.int64()), ("primary_column", pa.string()),
          ("crs", pa.string()), ("minx", pa.float64()), ("miny", pa.float64()),
-         ("maxx", pa.float64()), ("maxy", pa.float64())]
+         ("maxx", pa.float64()), ("maxy", pa.float64()), ("error", pa.string())]
     )
     tasks = max(spark.sparkContext.defaultParallelism, 1)
     return files.select(name).repartition(tasks, name).mapInArrow(footers, FOOTER_SCHEMA)
@@ -176,45 +268,43 @@ def surviving_files(file_stats: DataFrame, bounds) -> DataFrame:
     return file_stats.filter(inside | F.col("minx").isNull())
 
 
-def read_in_bounds(
-    spark: SparkSession, path, file_stats: DataFrame, bounds, max_files: int = BROADCAST_ROWS
-) -> DataFrame:
+def read_in_bounds(spark: SparkSession, path, file_stats: DataFrame, bounds) -> DataFrame:
     """Prepared parquet layer in the viewport, reading only files that may hold rows of it.
 
-    Up to ``max_files`` surviving paths are named in the scan; beyond, the files are filtered
-    by a semi join on their path.
+    The scan names the surviving paths, as Spark's own file listing would; no other file is opened.
     """
     from ..operators.filters import filter_bounds
 
-    kept = surviving_files(file_stats, bounds).select(FILE_PATH)
-    paths = [r[0] for r in kept.limit(max_files + 1).collect()]
+    paths = [r[0] for r in surviving_files(file_stats, bounds).select(FILE_PATH).collect()]
     if not paths:
         return read_parquet(spark, path).limit(0)
-    if len(paths) <= max_files:
-        return filter_bounds(read_parquet(spark, paths), bounds)
-    return filter_bounds(read_parquet(spark, path).join(kept, FILE_PATH, "left_semi"), bounds)
+    return filter_bounds(read_parquet(spark, paths), bounds)
 
 
 def stats_to_4326(file_stats: DataFrame, crs) -> DataFrame:
-    """File bounding boxes of one CRS as bounding boxes in EPSG:4326."""
-    box = geo.box(*[F.col(c) for c in BOUNDS_COLUMNS])
-    moved = file_stats.withColumn("__g", reproject(box, crs, 4326))
-    return moved.withColumns(geo.bounds(F.col("__g"))).drop("__g")
+    """File bounding boxes of one CRS as bounding boxes in EPSG:4326 that hold all their rows."""
+    box = {c: F.col(c) for c in BOUNDS_COLUMNS}
+    return file_stats.withColumns(reproject_bounds(box, crs, 4326))
 
 
 def footer_boxes(footers: DataFrame) -> DataFrame:
     """Bounding boxes of files in EPSG:4326, each from the CRS its footer names.
 
-    Boxes without a CRS are taken as they are; files without a box have null bounds.
+    Boxes without a CRS are taken as they are. Files without a box, or with a CRS that is not
+    known here, have null bounds: they may hold any rows.
     """
-    code = F.regexp_extract("crs", r"(\d{4,6})\D*$", 1)
-    known = footers.withColumn("__code", code)
-    codes = [
-        r[0] for r in known.filter("__code != ''").select("__code").distinct().limit(500).collect()
-    ]
-    box = geo.box(*[F.col(c) for c in BOUNDS_COLUMNS])
-    moved = F.when(F.coalesce(F.col("__code"), F.lit("")) == "", box)
-    for c in codes:
-        moved = moved.when(F.col("__code") == c, reproject(box, c, 4326))
-    placed = known.withColumn("__g", moved)
-    return placed.withColumns(geo.bounds(F.col("__g"))).drop("__g", "__code")
+    code = F.regexp_extract(F.col("crs"), r"^\s*(?:EPSG:)?(\d{4,6})\s*$", 1)
+    text = F.upper(F.coalesce(F.col("crs"), F.lit("")))
+    plain = F.col("crs").isNull() | text.isin("", "OGC:CRS84", "EPSG:4326", "4326")
+    known = footers.withColumn("__code", F.when(plain, "4326").otherwise(code))
+    present = known.select("__code").distinct().filter(
+        F.col("__code").isin(*map(str, known_codes()))
+    )
+    codes = sorted(r[0] for r in present.collect())  # a few hundred that can be projected
+    box = {c: F.col(c) for c in BOUNDS_COLUMNS}
+    moved = {c: F.when(F.col("__code") == "4326", box[c]) for c in box}
+    for found in codes:
+        if found != "4326":
+            there = reproject_bounds(box, found, 4326)
+            moved = {c: v.when(F.col("__code") == found, there[c]) for c, v in moved.items()}
+    return known.withColumns(moved).drop("__code")

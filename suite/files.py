@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from geoquarry.functions import geometry as geo
+from geoquarry.functions.crs import reproject_xy
 from geoquarry.functions.text import match_terms
 from geoquarry.functions.wkb import to_wkb
+from geoquarry.operators.prepare import with_hash_ids
 from geoquarry.operators.profile import file_statistics
 from geoquarry.session import scratch_path
 from geoquarry.sources import inventory as op
@@ -16,6 +18,105 @@ from .base import VIEWPORT, layer, point_layer, query, table, with_layers
 LISTING = with_layers("listing")
 
 
+def mixed_folder(spark, sf_dir, blank=True):
+    """The customers in part files of other types and columns, an empty one and one of noise."""
+    target = scratch_path(spark, "my files" if blank else "mixed")
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")
+    text = df.filter("c_custkey % 3 = 1").withColumn("c_custkey", F.col("c_custkey").cast("string"))
+    small = df.filter("c_custkey % 3 = 2").withColumn("c_nationkey", F.col("c_nationkey").cast("short"))
+    for part in (
+        df.filter("c_custkey % 3 = 0").drop("c_acctbal"),
+        text,
+        small.withColumn("extra", F.col("c_custkey") % 5),
+    ):
+        part.coalesce(2).write.mode("append").parquet(target)
+    noise = spark.createDataFrame([("no parquet here",)], "value string")
+    noise.coalesce(1).write.mode("append").text(target)
+    return target
+
+
+@query(
+    "s8_mixed_files",
+    """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_mktsegment, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS c_acctbal,
+CAST(c_nationkey AS BIGINT) AS nation, CASE WHEN c_custkey % 3 = 2 THEN c_custkey % 5 END AS extra FROM customer""",
+)
+def s8_mixed_files(spark, sf_dir):
+    """Every row of files whose columns and types differ."""
+    rows = readers.read_parquet(spark, mixed_folder(spark, sf_dir))
+    return rows.select(
+        "c_custkey", "c_mktsegment", "c_acctbal", F.col("c_nationkey").cast("long").alias("nation"), "extra"
+    )
+
+
+@query("s11_skips_reported", "SELECT 'not a parquet file' AS error, count(DISTINCT 1) AS n_files, 1 AS has_rows FROM customer")
+def s11_skips_reported(spark, sf_dir):
+    """The file of noise is named, and the other files have their rows."""
+    target = mixed_folder(spark, sf_dir)
+    has_rows = readers.read_parquet(spark, target).agg(F.max(F.lit(1)).alias("has_rows"))
+    skipped = readers.skipped_files(spark, target).groupBy("error").agg(F.count("*").alias("n_files"))
+    return skipped.join(F.broadcast(has_rows))  # one row each
+
+
+@query(
+    "p7_file_path",
+    """SELECT CASE c_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS part, count(*) AS n_rows, TRUE AS is_listed
+FROM customer GROUP BY ALL""",
+)
+def p7_file_path(spark, sf_dir):
+    """Paths of rows are those of the listing, also below a folder with a blank in its name."""
+    target = scratch_path(spark, "my paths")
+    df = table(spark, sf_dir, "customer").withColumn(
+        "part", F.element_at(F.array(*map(F.lit, "abc")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    )
+    df.write.partitionBy("part").parquet(target)
+    rows = readers.read_parquet(spark, target)
+    listed = op.list_files(spark, target).select(F.col("name").alias("__file_path"), F.lit(True).alias("listed"))
+    found = rows.join(listed, "__file_path", "left")
+    return found.groupBy("part").agg(
+        F.count("*").alias("n_rows"), F.bool_and(F.coalesce("listed", F.lit(False))).alias("is_listed")
+    )
+
+
+@query(
+    "p6_ids_csv",
+    "SELECT count(*) AS n_rows, count(*) AS n_ids, 0 AS n_null FROM customer",
+)
+def p6_ids_csv(spark, sf_dir):
+    """Each row of a CSV folder has an id of its own."""
+    target = scratch_path(spark, "my csv") + ".csv"
+    table(spark, sf_dir, "customer").write.option("header", True).csv(target)
+    rows = with_hash_ids(readers.read_table(spark, target))
+    return rows.agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct("_unique_id").alias("n_ids"),
+        F.count_if(F.col("_unique_id").isNull()).alias("n_null"),
+    )
+
+
+@query("p10_conflicts", "SELECT 'c_custkey' AS \"column\", 2 AS n_types FROM customer LIMIT 1")
+def p10_conflicts(spark, sf_dir):
+    """Columns whose type differs between the files of a layer; the two widths of integers are one."""
+    catalogue = readers.file_catalogue(spark, mixed_folder(spark, sf_dir))
+    found = op.schema_conflicts(catalogue)
+    return found.filter("column = 'c_custkey'").select("column", F.size("types").alias("n_types"))
+
+
+@query(
+    "s15_prune_metric",
+    f"""{with_layers('points')} SELECT _unique_id FROM points WHERE x BETWEEN 8 AND 10 AND y BETWEEN 70 AND 71""",
+)
+def s15_prune_metric(spark, sf_dir):
+    """Files whose boxes are in metres and lie across the central meridian of their zone."""
+    target = scratch_path(spark, "metric")
+    rows = reproject_xy(point_layer(spark, sf_dir).selectExpr("*", "x AS mx", "y AS my"), "mx", "my", 4326, 25832)
+    sinks.write_layer(rows, target, cell=9.0, files=4)
+    metric = file_statistics(
+        readers.read_parquet(spark, target).withColumns({"minx": F.col("mx"), "maxx": F.col("mx"), "miny": F.col("my"), "maxy": F.col("my")})
+    )
+    stats = readers.stats_to_4326(metric, 25832)
+    return readers.read_in_bounds(spark, target, stats, (8, 70, 10, 71)).select("_unique_id")
+
+
 @query("s1_list_files", "SELECT DISTINCT concat('nation=', CAST(c_nationkey AS VARCHAR)) AS directory, 'file' AS type FROM customer")
 def s1_list_files(spark, sf_dir):
     """Write the points by nation and list what was written."""

@@ -106,6 +106,33 @@ WIDE = f"""{PIXELS}, wide AS (SELECT raster_id, y, x, max(value) FILTER (WHERE b
 max(value) FILTER (WHERE band = 'B4') AS b4 FROM pixels GROUP BY raster_id, y, x)"""
 
 
+TIMES = """, times AS (SELECT raster_id, band, t.time, y, x, value + t.time AS value FROM pixels, (SELECT 0 AS time UNION ALL SELECT 1) AS t)"""
+
+
+def timed(spark, sf_dir):
+    """Every pixel at two times."""
+    return layer(spark, sf_dir, "pixels").drop("time").selectExpr("*", "explode(array(0L, 1L)) AS time").withColumn("value", F.col("value") + F.col("time"))
+
+
+@query(
+    "r10_band_math_times",
+    f"""{PIXELS}{TIMES} SELECT raster_id, time, y, x, round(max(value) FILTER (WHERE band = 'B4') - max(value) FILTER (WHERE band = 'B3'), 6) AS value
+FROM times GROUP BY raster_id, time, y, x HAVING NOT isnan(max(value) FILTER (WHERE band = 'B4')) AND NOT isnan(max(value) FILTER (WHERE band = 'B3'))""",
+)
+def r10_band_math_times(spark, sf_dir):
+    image = op.band_math(timed(spark, sf_dir), ["B3", "B4"], F.round(F.col("B4") - F.col("B3"), 6))
+    return image.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+@query(
+    "r9_rgb_first_time",
+    f"{WIDE} SELECT raster_id, 0 AS time, y, x, b4 AS red, b3 AS green, b2 AS blue FROM wide",
+)
+def r9_rgb_first_time(spark, sf_dir):
+    colors = [F.col("rgb")[i].alias(n) for i, n in enumerate(("red", "green", "blue"))]
+    return op.rgb(op.first_time(timed(spark, sf_dir))).select("raster_id", "time", "y", "x", *colors)
+
+
 @query("r9_rgb", f"{WIDE} SELECT raster_id, y, x, b4 AS red, b3 AS green, b2 AS blue FROM wide")
 def r9_rgb(spark, sf_dir):
     colors = [F.col("rgb")[i].alias(n) for i, n in enumerate(("red", "green", "blue"))]
@@ -116,9 +143,9 @@ def r9_rgb(spark, sf_dir):
 def r10_band_math(spark, sf_dir):
     red, green = F.col("B4"), F.col("B3")
     index = F.round((red - green) / F.nullif(red + green, F.lit(0)), 6)
-    pixels = layer(spark, sf_dir, "pixels").filter("band != 'B2'")
+    pixels = layer(spark, sf_dir, "pixels")
     image = op.transform(pixels, lambda p: op.band_math(p, ["B3", "B4"], F.when(~F.isnan("B4") & ~F.isnan("B3"), index)))
-    return image.filter(F.col("value").isNotNull())
+    return image.filter(F.col("value").isNotNull()).drop("time")
 
 
 @query(

@@ -368,3 +368,80 @@ def test_view_round_trip(spark):
     view = build_view(spec, lambda path: df)
     assert view.legend.count() == 4
     assert {r["layer"] for r in view.features.collect()} == {"y"} and view.features.count() == view.union.count()
+
+
+def test_row_numbers_of_large_integers_dates_decimals_and_hot_values(spark):
+    from geoquarry.operators.prepare import row_numbers
+
+    df = spark.range(3000).selectExpr(
+        "id + (1L << 60) AS long", "date_add(DATE '2000-01-01', CAST(id AS INT)) AS day",
+        "CAST(id / 7 AS DECIMAL(20,3)) AS price", "IF(id % 2 = 0, (1L << 60) + 5, (1L << 60) + id) AS hot",
+    )
+    for order in ("long", "day", "price", "hot"):
+        rows = row_numbers(df, order, "n").select(order, "n").collect()
+        assert sorted(r["n"] for r in rows) == list(range(1, 3001))
+        by_number = [r[order] for r in sorted(rows, key=lambda r: r["n"])]
+        assert by_number == sorted(by_number)
+
+
+def test_first_row_of_a_key_without_orders(spark):
+    from geoquarry.operators.union import first_per_key, stack
+
+    df = spark.createDataFrame([("a", None, 1), ("b", 2, 2), ("b", None, 3)], "k string, o int, v int")
+    assert {tuple(r) for r in first_per_key(df, "k", F.col("o")).collect()} == {("a", None, 1), ("b", 2, 2)}
+    with pytest.raises(ValueError, match="capitals"):
+        stack([df, df.withColumnRenamed("k", "K")])
+
+
+def test_null_safe_text_leaves_literals_alone(spark):
+    from geoquarry.operators.filters import text_predicate
+
+    df = spark.createDataFrame([("size != 5", 1, None), ("x", None, 2), ("y", 5, 5)], "txt string, a int, b int")
+    def found(text):
+        return [r["txt"] for r in text_predicate(df, text, null_safe=True).collect()]
+    assert found("txt = 'size != 5'") == ["size != 5"]
+    assert found("5 != a") == ["size != 5", "x"]
+    assert found("a <> b") == ["size != 5", "x"]
+    assert found("txt != 'it''s != 3'") == ["size != 5", "x", "y"]
+
+
+def test_ids_of_select_lists_with_products(spark):
+    from geoquarry.operators.layer_sql import run_sql
+
+    df = spark.createDataFrame([("0.1", 3, "2020-01-02")], "_unique_id string, a int, d string")
+    found = run_sql(df, "SELECT a * 2 AS b, extract(YEAR FROM CAST(d AS DATE)) AS y FROM df", keep_ids=True)
+    assert set(found.columns) == {"_unique_id", "b", "y"} and found.first()["b"] == 6
+    assert run_sql(df, "SELECT df.* FROM df", keep_ids=True).columns == df.columns
+
+
+def test_suggestions_run_for_any_name(spark):
+    from geoquarry.operators.profile import suggest_queries
+
+    df = spark.createDataFrame([(1, 2.5, "a"), (2, 3.5, "a"), (9, 1.0, "b`")], "`kjøretøy` int, `min verdi` double, slag string")
+    for row in suggest_queries(df).collect():
+        assert spark.sql(row["query"].replace("FROM df", "FROM {df}"), df=df).count() == row["n_rows"]
+
+
+def test_infinite_values_and_boxes(spark):
+    from geoquarry.operators.classify import natural_breaks
+    from geoquarry.operators.spatial import bounds_join
+
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 10, 11, 50, "inf", "-inf", "nan")], "v double")
+    breaks = natural_breaks(df, "v", 3)
+    assert breaks[0] == 1 and breaks[-1] == 50
+    boxes = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0), (0.0, 0.0, float("inf"), 1.0)], "minx double, miny double, maxx double, maxy double")
+    with_map = boxes.withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    assert bounds_join(with_map.union(with_map), boxes.union(boxes), hot_rows=1).count() == 4
+
+
+def test_sample_with_null_and_equal_ids(spark):
+    from geoquarry.operators.sample import sample_per_layer
+
+    df = spark.range(2000).selectExpr("'one' AS layer", "CAST(NULL AS STRING) AS key", "id")
+    some = [r["id"] for r in sample_per_layer(df, "layer", "key", 200, 3).collect()]
+    assert len(set(some)) == 200 and 700 < sum(some) / 200 < 1300
+    assert sample_per_layer(df, "layer", "key", 5000, 3).count() == 2000
+    equal = df.withColumn("key", F.lit("k"))
+    assert sample_per_layer(equal, "layer", "key", 200, 3).count() == 200
+    text = sample_per_layer(df, "layer", "key", 200, 3)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in text

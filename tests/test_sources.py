@@ -74,15 +74,18 @@ def test_footers(spark, tmp_path):
     (tmp_path / "c.parquet").write_bytes(b"no")
     files = inventory.list_files(spark, str(tmp_path))
     rows = {r["__file_path"].rsplit("/")[-1]: r for r in readers.read_footers(spark, files).collect()}
-    assert tuple(rows["a.parquet"])[1:3] == (2, "geom") and tuple(rows["a.parquet"])[4:] == (1, 2, 3, 4)
-    assert rows["a.parquet"]["crs"].endswith("25833}")
+    assert tuple(rows["a.parquet"])[1:3] == (2, "geom") and tuple(rows["a.parquet"])[4:8] == (1, 2, 3, 4)
+    assert rows["a.parquet"]["crs"] == "EPSG:25833" and rows["a.parquet"]["error"] is None
     assert rows["b.parquet"]["n_rows"] == 1 and rows["b.parquet"]["minx"] is None
-    assert rows["c.parquet"]["n_rows"] is None
+    assert rows["c.parquet"]["n_rows"] is None and rows["c.parquet"]["error"]
 
 
 def test_footer_boxes(spark):
     rows = [
-        ("a", '{"authority":"EPSG","code":25833}', 262000.0, 6649000.0, 263000.0, 6650000.0),
+        ("a", "EPSG:25833", 262000.0, 6649000.0, 263000.0, 6650000.0),
+        ("e", "EPSG:2056", 1.0, 2.0, 3.0, 4.0),
+        ("f", "unknown", 1.0, 2.0, 3.0, 4.0),
+        ("g", "OGC:CRS84", 1.0, 2.0, 3.0, 4.0),
         ("b", None, 1.0, 2.0, 3.0, 4.0),
         ("c", "EPSG:3857", 0.0, 0.0, 111319.49079327358, 0.0),
         ("d", "EPSG:3857", None, None, None, None),
@@ -92,6 +95,7 @@ def test_footer_boxes(spark):
     assert 10 < found["a"]["minx"] < found["a"]["maxx"] < 11
     assert tuple(found["b"])[2:] == (1, 2, 3, 4)
     assert found["c"]["maxx"] == pytest.approx(1.0) and found["d"]["minx"] is None
+    assert found["e"]["minx"] is None and found["f"]["maxy"] is None and found["g"]["maxx"] == 3
 
 
 def test_pruned_read(spark, tmp_path):
@@ -103,7 +107,6 @@ def test_pruned_read(spark, tmp_path):
     view = (0, 0, 3, 2)
     whole = layer(spark).filter("minx <= 3 AND miny <= 2").count()
     assert readers.read_in_bounds(spark, target, stats, view).count() == whole
-    assert readers.read_in_bounds(spark, target, stats, view, max_files=1).count() == whole
     assert readers.read_in_bounds(spark, target, stats, (500, 500, 501, 501)).count() == 0
 
 
@@ -239,3 +242,78 @@ def test_files_to_drawn_view(spark, tmp_path):
     assert {d["geometry"]["type"] for d in drawn} == {"Point", "Polygon"}
     x, y = next(d for d in drawn if d["geometry"]["type"] == "Point")["geometry"]["coordinates"]
     assert 10 < x < 11.5 and 59 < y < 60.5
+
+
+def test_files_of_other_types_and_columns_lose_nothing(spark, tmp_path):
+    target = tmp_path / "my data"
+    target.mkdir()
+    pq.write_table(pa.table({"a": [1, 2, 3], "b": ["x", "y", "z"]}), target / "1.parquet")
+    pq.write_table(pa.table({"a": ["4", "5", "6", "7"], "extra": [1.5] * 4}), target / "2.parquet")
+    (target / "3.parquet").write_bytes(b"no parquet at all")
+    (target / "4.parquet").write_bytes(b"")
+    df = readers.read_parquet(spark, str(target))
+    assert sorted(r["a"] for r in df.collect()) == list("1234567")
+    assert df.filter("extra = 1.5").count() == 4 and df.filter("b IS NOT NULL").count() == 3
+    skipped = readers.skipped_files(spark, str(target)).collect()
+    # Spark lists no files of zero length.
+    assert [r["name"][-9:] for r in skipped] == ["3.parquet"]
+    ids = with_unique_id(df, inventory.list_files(spark, str(target)))
+    assert ids.filter("_unique_id IS NULL").count() == 0
+    kinds = {r["column"]: r["types"] for r in inventory.schema_conflicts(readers.file_catalogue(spark, str(target))).collect()}
+    assert kinds == {"a": ["int64", "string"]}
+
+
+def test_a_damaged_page_is_an_error(spark, tmp_path):
+    file = tmp_path / "a.parquet"
+    pq.write_table(pa.table({"a": list(range(200_000))}), file, compression="NONE", use_dictionary=False)
+    raw = bytearray(file.read_bytes())
+    raw[4:400] = bytes(396)
+    file.write_bytes(raw)
+    with pytest.raises(Exception, match="(?i)parquet|corrupt|read|page"):
+        readers.read_parquet(spark, str(file)).agg(F.sum("a")).collect()
+
+
+def test_boxes_across_the_central_meridian_hold_their_rows(spark):
+    schema = "__file_path string, minx double, miny double, maxx double, maxy double"
+    stats = spark.createDataFrame([("a", 100000.0, 7800000.0, 900000.0, 7900000.0)], schema)
+    row = readers.stats_to_4326(stats, 25833).first()
+    assert 71.194 < row["maxy"] < 71.3
+    from geoquarry.operators.raster import project_bounds
+
+    b = project_bounds(spark, (5, 70, 25, 71), 25833)
+    from geoquarry.functions.crs import reproject_xy
+
+    inside = reproject_xy(spark.createDataFrame([(15.0, 70.0001), (10.0, 70.01)], "x double, y double"), "x", "y", 4326, 25833)
+    assert all(b.minx <= r["x"] <= b.maxx and b.miny <= r["y"] <= b.maxy for r in inside.collect())
+
+
+def test_many_paths_are_numbered_as_few(spark, monkeypatch):
+    from geoquarry.operators import prepare as op
+
+    files = spark.range(3000).select(F.concat(F.lit("/d/ü "), F.hash("id")).alias("__file_path")).union(
+        spark.sql("SELECT CAST(NULL AS STRING)")
+    )
+    few = {r[0]: r[1] for r in op.file_index(files).collect()}
+    monkeypatch.setattr(op, "BROADCAST_ROWS", 10)
+    assert {r[0]: r[1] for r in op.file_index(files).collect()} == few
+    assert sorted(few.values()) == list(range(3000))
+
+
+def test_view_over_a_geojson_layer(spark, tmp_path):
+    features = [{"type": "Feature", "properties": {"v": i}, "geometry": {"type": "Point", "coordinates": [i, i]}} for i in (1, 2, 3, 3)]
+    (tmp_path / "my layer.geojson").write_text("\n".join(map(json.dumps, features)))
+    path = str(tmp_path / "my layer.geojson")
+    view = build_view(ViewSpec({path: None}, column="v"), {path: readers.read_geojson(spark, path, "v int", lines=True)})
+    ids = [r["_unique_id"] for r in view.features.collect()]
+    assert len(ids) == len(set(ids)) == 4 and None not in ids
+    hidden = view.hidden.first()
+    assert hidden["n_rows"] == 4 and not hidden["rows_are_hidden"]
+    everything = build_view(ViewSpec({path: None}, column="v", max_rows=None), {path: readers.read_geojson(spark, path, "v int", lines=True)})
+    assert everything.features.count() == 4
+
+
+def test_geometry_collections_raise(spark, tmp_path):
+    shape = {"type": "GeometryCollection", "geometries": []}
+    (tmp_path / "c.geojson").write_text(json.dumps({"type": "Feature", "properties": {"v": 1}, "geometry": shape}))
+    with pytest.raises(Exception, match="GeometryCollection"):
+        readers.read_geojson(spark, str(tmp_path / "c.geojson"), "v int", lines=True).collect()
