@@ -217,9 +217,10 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     raw = file.read()  # every document is read, so the file is read at once
                 tokens = TokenFile(lambda place, size, raw=raw: raw[place : place + size])
                 doc_ids, starts = tokens.documents()
+                ids = memoryview(tokens.tokens(0, tokens.n_tokens).astype("<u4")).cast("B")
+                places = (4 * starts).tolist()
                 crc = [
-                    zlib.crc32(tokens.tokens(s, e).astype("<u4").tobytes())
-                    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)
+                    zlib.crc32(ids[s:e]) for s, e in zip(places[:-1], places[1:], strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -28,6 +28,13 @@ BOUNDARIES = {
 }
 #: Places in a piece where tokens part too: between a letter and a mark, and around a single line end
 #: between visible characters. (Two blanks in a row are one token or two by what follows.)
+MARKS = frozenset(".,;:!?")
+INNER = re.compile(
+    r"(?<=[^\W\d_])(?=[.,;:!?]|\n[^\W\d_])|(?<=[.,;:!?])(?=\n[^\W\d_])|(?<=[^\s]\n)(?=[^\W\d_])"
+)
+#: Places in a piece where tokens part too: between a letter and a mark, and around a single line end
+#: between visible characters. (Two blanks in a row are one token or two by what follows.)
+MARKS = frozenset(".,;:!?")
 INNER = re.compile(
     r"(?<=[^\W\d_])(?=[.,;:!?]|\n[^\W\d_])|(?<=[.,;:!?])(?=\n[^\W\d_])|(?<=[^\s]\n)(?=[^\W\d_])"
 )
@@ -35,6 +42,22 @@ INNER = re.compile(
 UNSTABLE = re.compile(r"(?:\A|[^!-~\w]) | (?:\Z|[^!-~\w])")
 
 
+def _spaces_part_words(text: str) -> bool:
+    """Whether every space stands alone between visible characters, so that all are boundaries.
+
+    Blanks and line ends are the only white space that is looked at in detail; any other, and
+    characters that are not printable, give False.
+    """
+    return not (
+        text[:1] == " "
+        or text[-1:] == " "
+        or "  " in text
+        or " \n" in text
+        or "\n " in text
+        or not text.replace("\n", "").isprintable()
+    )
+
+
 class NoBoundary(Exception):
     """The overlap of two chunks has no stable boundary on which both agree."""
 
@@ -50,6 +73,14 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def _parts(piece: str) -> list[str] | None:
+    """The parts of a piece by ``INNER``, where there is more than one."""
+    if piece[-1:] in MARKS and piece[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    parts = INNER.split(piece)
+    return parts if len(parts) > 1 else None
+
+
 class Pieces(dict):
     """Ids of pieces that follow ``before``; a generation that is full is kept for one more.
 
@@ -67,18 +98,21 @@ class Pieces(dict):
         self.blank_first[[k for t, k in vocabulary.items() if t.startswith("\u0120")]] = True
 
     def learn(self, pieces: set[str]) -> None:
-        odd = (p for p in self._new(pieces) if not p.isalpha())
-        cut = [(p, parts) for p in odd if len(parts := INNER.split(p)) > 1]
-        heads = (pieces - self.keys()) - {p for p, _ in cut}
-        tails = {t for _, parts in cut for t in parts[1:]}
+        new = self._new(pieces)
+        cut = [(p, parts) for p in new if not p.isalpha() and (parts := _parts(p))]
+        heads = new.difference([p for p, _ in cut])
         heads.update(parts[0] for _, parts in cut)
+        tails = {t for _, parts in cut for t in parts[1:]}
         if self.inner is self:
             self._add(heads | tails)
         else:
             self._add(heads)
             self.inner._add(tails)
         tail = self.inner.__getitem__
-        self.update((p, self[parts[0]] + b"".join(map(tail, parts[1:]))) for p, parts in cut)
+        self.update(
+            (p, self[parts[0]] + (tail(parts[1]) if len(parts) == 2 else b"".join(map(tail, parts[1:]))))
+            for p, parts in cut
+        )
 
     def _new(self, pieces: set[str]) -> set[str]:
         """Pieces that are not known; those of the last generation come back on the way."""
@@ -172,7 +206,7 @@ class Encoder:
         ]
 
     def _pieces(self, text: str) -> list[str]:
-        if self.leading and UNSTABLE.search(text):
+        if self.leading and not _spaces_part_words(text):
             return self.boundary.split(text)
         return text.split(" ")
 
