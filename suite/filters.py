@@ -23,6 +23,13 @@ def f1_viewport(spark, sf_dir):
     return found.select("_unique_id", "c_custkey", "x", "y")
 
 
+@query("f8_failed_query", f"{POINTS} SELECT _unique_id, TRUE AS has_message FROM points")
+def f8_failed_query(spark, sf_dir):
+    """A query that names a column the layer lacks leaves the layer as it is."""
+    found, message = op.try_query(layer(spark, sf_dir, "points"), "no_such_column > 1")
+    return found.select("_unique_id", F.lit("no_such_column" in message).alias("has_message"))
+
+
 @query("f1_viewport_non_geo", f"{with_layers('nongeo')} SELECT _unique_id, event_type, value FROM nongeo")
 def f1_viewport_non_geo(spark, sf_dir):
     found = op.filter_bounds(layer(spark, sf_dir, "nongeo"), VIEWPORT)

@@ -74,13 +74,35 @@ def p4_laea_roundtrip(spark, sf_dir):
 
 @query(
     "p4_reproject_geometry",
-    f"""{with_layers('boxes')} SELECT s_suppkey, round(6378137 * radians(minx), 2) AS minx,
+    f"""{with_layers('boxes')} SELECT s_suppkey, round(6378137 * radians(minx), 2) AS minx, round(6378137 * radians(maxx), 2) AS maxx,
+round(6378137 * ln(tan(pi() / 4 + radians(miny) / 2)), 2) AS miny,
 round(6378137 * ln(tan(pi() / 4 + radians(maxy) / 2)), 2) AS maxy FROM boxes""",
 )
 def p4_reproject_geometry(spark, sf_dir):
     df = layer(spark, sf_dir, "boxes").select("s_suppkey", reproject(box(), 4326, 3857).alias("g"))
     b = geo.bounds(F.col("g"))
-    return df.select("s_suppkey", F.round(b["minx"], 2).alias("minx"), F.round(b["maxy"], 2).alias("maxy"))
+    return df.select("s_suppkey", *[F.round(b[c], 2).alias(c) for c in b])
+
+
+@query(
+    "s12_frame_ids",
+    "SELECT o_orderkey, concat('5.', CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS VARCHAR)) AS _unique_id FROM orders",
+)
+def s12_frame_ids(spark, sf_dir):
+    """Ids of a table without a file, numbered along keys beyond what doubles tell apart."""
+    large = F.col("o_orderkey") + F.lit(1 << 60)
+    df = table(spark, sf_dir, "orders").select("o_orderkey", large.alias("key"))
+    return op.with_frame_ids(df, 5, "key").select("o_orderkey", "_unique_id")
+
+
+@query(
+    "p11_colour_columns",
+    "SELECT count(*) AS n_rows, 'area,c_custkey,few,segment,v' AS columns FROM customer",
+)
+def p11_colour_columns(spark, sf_dir):
+    df = op.without_geometry(layer(spark, sf_dir, "dirty").drop("c_mktsegment"))
+    names = ",".join(op.colour_columns(df))
+    return df.agg(F.count("*").alias("n_rows")).withColumn("columns", F.lit(names))
 
 
 @query("p5_drop_nested", "SELECT vec_id, label FROM embeddings")

@@ -140,11 +140,23 @@ UNION ALL SELECT 'o_totalprice', 'above mean', (SELECT count(*) FROM orders, m W
 UNION ALL SELECT 'o_custkey', 'above mean', (SELECT count(*) FROM orders, m WHERE o_custkey > c)
 UNION ALL SELECT 'o_orderkey', 'above mean', (SELECT count(*) FROM orders, m WHERE o_orderkey > k)
 UNION ALL SELECT 'o_orderstatus', 'mode', (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus) AS t)
+UNION ALL SELECT 'o_orderdate', 'mode', (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderdate) AS t)
 UNION ALL SELECT 'o_orderpriority', 'mode', (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority) AS t)""",
 )
 def a14_suggestions(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").drop("o_orderdate")
-    return op.suggest_queries(df).select("column", "rule", "n_rows")
+    return op.suggest_queries(table(spark, sf_dir, "orders")).select("column", "rule", "n_rows")
+
+
+@query("o2_table_budget", "SELECT TRUE AS over_small, count(*) * 3 > 500000000 AS over_large, FALSE AS with_limit FROM lineitem")
+def o2_table_budget(spark, sf_dir):
+    """Whether a table view of three columns may hold a table, and a query with a limit."""
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax")
+    found = {
+        "over_small": op.exceeds_table_budget(df, budget=3000),
+        "over_large": op.exceeds_table_budget(df, budget=500_000_000),
+        "with_limit": op.exceeds_table_budget(df, "SELECT * FROM df LIMIT 5", budget=3000),
+    }
+    return df.limit(1).select(*[F.lit(v).alias(k) for k, v in found.items()])
 
 
 @query(

@@ -25,14 +25,15 @@ def r2_clip(spark, sf_dir):
 
 @query(
     "r3_bands",
-    f"""{PIXELS}, all_bands AS (SELECT * FROM pixels WHERE raster_id % 2 = 0 OR band <> 'B2'),
+    f"""{PIXELS}, all_bands AS (SELECT * REPLACE (CASE WHEN raster_id % 2 = 1 AND band = 'B2' THEN 'B3' ELSE band END AS band) FROM pixels),
 sizes AS (SELECT raster_id, band, count(*) AS n FROM all_bands GROUP BY ALL),
 found AS (SELECT raster_id, count(*) AS n_bands, arg_min(band, (-n, band)) AS largest FROM sizes GROUP BY ALL)
 SELECT p.raster_id, p.band, count(*) AS n FROM all_bands p JOIN found f ON p.raster_id = f.raster_id
 WHERE n_bands = 3 OR p.band = largest GROUP BY ALL""",
 )
 def r3_bands(spark, sf_dir):
-    pixels = layer(spark, sf_dir, "pixels").filter("raster_id % 2 = 0 OR band <> 'B2'")
+    band = F.expr("CASE WHEN raster_id % 2 = 1 AND band = 'B2' THEN 'B3' ELSE band END")
+    pixels = layer(spark, sf_dir, "pixels").withColumn("band", band)
     return op.select_bands(pixels).groupBy("raster_id", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -46,16 +47,17 @@ def r4_first_time(spark, sf_dir):
 
 @query(
     "r5_normalise",
-    f"""{PIXELS}, kept AS (SELECT * FROM pixels WHERE raster_id % 2 = 0 OR band = 'B4'),
+    f"""{PIXELS}, kept AS (SELECT * REPLACE (CASE WHEN raster_id % 2 = 1 THEN 'B4' ELSE band END AS band) FROM pixels),
 ends AS (SELECT min(value) AS lo, max(value) AS hi FROM kept WHERE NOT isnan(value)),
 singles AS (SELECT raster_id, count(DISTINCT band) = 1 AS single FROM kept GROUP BY raster_id)
-SELECT kept.raster_id, band, y, x, round(CASE WHEN single THEN (value - lo) / (hi - lo) ELSE value END, 9) AS value
-FROM kept JOIN singles ON kept.raster_id = singles.raster_id, ends WHERE NOT isnan(value)""",
+SELECT kept.raster_id, band, y, x, CASE WHEN NOT isnan(value) THEN round(CASE WHEN single THEN (value - lo) / (hi - lo) ELSE value END, 9) END AS value
+FROM kept JOIN singles ON kept.raster_id = singles.raster_id, ends""",
 )
 def r5_normalise(spark, sf_dir):
-    kept = layer(spark, sf_dir, "pixels").filter("raster_id % 2 = 0 OR band = 'B4'")
-    out = op.normalise(kept).filter(~F.isnan("value"))
-    return out.select("raster_id", "band", "y", "x", F.round("value", 9).alias("value"))
+    band = F.expr("CASE WHEN raster_id % 2 = 1 THEN 'B4' ELSE band END")
+    out = op.normalise(layer(spark, sf_dir, "pixels").withColumn("band", band))
+    value = F.when(~F.isnan("value"), F.round("value", 9))
+    return out.select("raster_id", "band", "y", "x", value.alias("value"))
 
 
 @query(
