@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at once.
-CUT_BYTES = 4 << 20
+CUT_BYTES = 1 << 20
 
 #: ASCII whitespace, as ``bytes.split`` has it: space and 0x09 to 0x0D.
 WHITESPACE = " \t\n\x0b\x0c\r"

@@ -20,6 +20,8 @@ BITS = 64
 SEED = 42
 #: Fingerprints of a bucket that are compared at once; larger buckets are split by further masks.
 BUCKET = 8192
+#: A bucket with so few bits free has 64 fingerprints at most, and is never split.
+FREE_BITS = 6
 
 _SET = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
@@ -152,14 +154,15 @@ def covering_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -
         )
         near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
         parts.append(sizes.where("n = 2").where(near).select("a", "b"))
-        middle = sizes.where(F.col("n").between(3, bucket)).select("mask", "key")
+        large_bucket = (F.col("n") > bucket) & (BITS - F.bit_count("mask") > FREE_BITS)
+        middle = sizes.where((F.col("n") > 2) & ~large_bucket).select("mask", "key")
         gathered = (
             rows.join(middle, ["mask", "key"])
             .groupBy("mask", "key")
             .agg(F.collect_list("fp").alias("fps"))
         )
         parts.append(_links_of_buckets(gathered, radius))
-        large = sizes.where(F.col("n") > bucket).select("mask", "key")
+        large = sizes.where(large_bucket).select("mask", "key")
         if large.isEmpty():
             break
         hot = materialise(rows.join(large, ["mask", "key"]).select("mask", "fp"), "hot")
@@ -181,11 +184,11 @@ def near_groups(
     Repeated rows stay. Equal fingerprints are one node, so exact copies make no links.
     """
     prints = materialise(fingerprints(docs, shingle), "prints")
-    return _grouped(prints, radius, bucket)
+    return _grouped(prints, radius, bucket).drop("root")
 
 
 def _grouped(prints: DataFrame, radius: int, bucket: int) -> DataFrame:
-    """``prints(doc_id, fp, ...)`` with ``component_id``."""
+    """``prints(doc_id, fp, ...)`` with ``component_id``, and a fingerprint of the group as ``root``."""
     nodes = materialise(
         prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes"
     )
@@ -196,10 +199,13 @@ def _grouped(prints: DataFrame, radius: int, bucket: int) -> DataFrame:
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     )
     low = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    shared = groups.join(low, "root").select("fp", "component_id")
+    shared = groups.join(low, "root").select("fp", "root", "component_id")
     # ``shared`` has a fingerprint once, so the rows of a frequent one can be split.
-    return prints.join(shared, "fp", "left").withColumn(
-        "component_id", F.coalesce("component_id", "doc_id")
+    return prints.join(shared, "fp", "left").withColumns(
+        {
+            "component_id": F.coalesce("component_id", "doc_id"),
+            "root": F.coalesce("root", "fp"),
+        }
     )
 
 
@@ -227,16 +233,18 @@ def keep_one(
     grouped = materialise(
         _grouped(prints, radius, bucket).where("doc_id IS NOT NULL").drop("fp"), "grouped"
     )
-    first = grouped.where("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("low"))
-    several = first.join(
-        grouped.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "doc_id"
-    ).drop("n")
+    several = (
+        grouped.where("doc_id = component_id")
+        .groupBy("root", "doc_id")
+        .agg(F.min("key").alias("low"), F.max("key").alias("high"))
+        .where("low != high")
+    )
     gone = (
         grouped.where("doc_id != component_id")
         .select("doc_id", "key")
         .union(
-            grouped.join(several, "doc_id")
-            .where("doc_id = component_id AND key != low")
+            grouped.join(several, ["root", "doc_id"])
+            .where("key != low")
             .select("doc_id", "key")
         )
         .distinct()

@@ -31,7 +31,7 @@ MAGIC = b"DACTOK1\n"
 #: Bits of a bitmap for each entry of its directory.
 BLOCK = 512
 #: A file is closed when it has so many tokens.
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 END_ID = 0
 #: Texts of more characters are encoded in chunks, which bounds memory.
 CHUNK = 262_144
@@ -195,6 +195,7 @@ def write_tokens(
                     held, doc_ids, size, seq = [], [], 0, seq + 1
         if held:
             yield close()
+        encoder.rest()
 
     return materialise(ordered.mapInArrow(run, MANIFEST), "files")
 

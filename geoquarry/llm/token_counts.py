@@ -47,6 +47,7 @@ def count_tokens(
                 ],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_chars"],
             )
+        encoder.rest()
 
     ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return ids.mapInArrow(

@@ -9,12 +9,13 @@ from array import array
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts of more characters are encoded in overlapping chunks of about this size.
 CHUNK = 32_768
 OVERLAP = 1_024
 #: Distinct pieces a worker remembers: at most twice as many, the ones it met last.
-REMEMBERED = 350_000
+REMEMBERED = 250_000
 #: Pieces that are given to the tokenizer in one text.
 TOGETHER = 200
 
@@ -183,6 +184,12 @@ class Encoder:
             held[key] = Encoder(*key)
         return held[key]
 
+    def rest(self) -> None:
+        """Give up what is only kept for speed, between tasks."""
+        for pieces in (self.firsts, self.others):
+            pieces.last = {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts = [None if len(t) > self.chunk else self._pieces(t) for t in texts]
