@@ -26,13 +26,16 @@ def roots(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("shape", ["random", "path", "star", "none"])
+@pytest.mark.parametrize("shape", ["many", "none"])
 def test_components(spark, shape):
+    """Random links, a path and a star around the largest node, all apart."""
     chance = random.Random(7)
     links = {
-        "random": [(chance.randrange(120) - 60, chance.randrange(120) - 60) for _ in range(70)],
-        "path": [(k, k + 1) for k in chance.sample(range(60), 60)],
-        "star": [(99, k) for k in range(50)],
+        "many": [
+            *((chance.randrange(120) - 60, chance.randrange(120) - 60) for _ in range(70)),
+            *((200 + k, 201 + k) for k in chance.sample(range(24), 24)),
+            *((399, 300 + k) for k in range(50)),
+        ],
         "none": [],
     }[shape]
     rows = [*links, *links[:5], (None, 3), (4, None)]
@@ -70,7 +73,7 @@ def test_masks_cover_all_differences():
             assert any(not m & changed for m in masks)
 
 
-@pytest.mark.parametrize("bucket", [3, 8192])
+@pytest.mark.parametrize("bucket", [25, 8192])
 def test_links_join_what_all_pairs_would(spark, bucket):
     """A dense cloud of fingerprints, with buckets split again or compared at once."""
     chance = random.Random(5)
@@ -279,7 +282,7 @@ def plain_runs(rows, least):
     return {u: g for u, g in zip(unique, gone, strict=True)}
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_repeated_runs(make, seed):
     chance = random.Random(seed)
     pool = [filler(chance, chance.randint(1, 5)) for _ in range(6)]
@@ -320,7 +323,7 @@ def plain_targets(sizes, share=1.5, most=2):
         full |= above
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(4))
 def test_targets(spark, seed):
     chance = random.Random(seed)
     sizes = {f"s{chance.randrange(1000)}": chance.choice([0, 1, 10, 100, 5000, 90000]) for _ in range(9)}
