@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment of passages."""
+"""Benchmark decontamination: every shared gram is a seed, Smith-Waterman aligns the passages."""
 
 from __future__ import annotations
 
@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .batches import cuts, gram_hashes, word_hashes
+from .batches import cuts, gram_hashes, mix, word_hashes
 
 #: Words of a seed.
 SEED_WORDS = 3
-#: In every so many seeds of an item in a row, the rarest one is used.
-SEED_WINDOW = 4
 #: Items of more words are aligned in parts of so many words that overlap by half.
 PART_WORDS = 256
 #: Least score of an alignment, as a share of what the whole part would score.
@@ -26,6 +24,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 4_000_000
 #: Alignments that are computed side by side.
 LANES = 512
+#: Places of seeds that are followed at once.
+PLACES = 500_000
 
 
 @dataclass
@@ -38,6 +38,7 @@ class Block:
     grams: np.ndarray  # hashes of seeds, sorted
     gram_part: np.ndarray
     gram_at: np.ndarray
+    members: np.ndarray  # hashes of (part, word), sorted
 
 
 def _parts(items: DataFrame) -> DataFrame:
@@ -78,11 +79,17 @@ def _block(rows: list) -> Block:
     part = np.searchsorted(starts, at, side="right") - 1
     order = np.argsort(grams[at], kind="stable")
     at, part = at[order], part[order]
+    members = np.unique(_members(np.repeat(np.arange(len(rows)), np.diff(starts)), flat))
     return Block(
-        flat, starts, [r["item_id"] for r in rows], grams[at], part, at - starts[:-1][part]
+        flat, starts, [r["item_id"] for r in rows], grams[at], part, at - starts[:-1][part], members
     )
 
 
+def _members(parts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A hash for each word of a part."""
+    return mix(words + mix(parts.astype(np.uint64)))
+
+
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys occur among the sorted ones."""
     if not len(sorted_keys):
@@ -98,55 +105,6 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def _frequencies(docs: DataFrame, held, grams: np.ndarray) -> dict[int, int]:
-    """How often each of a block's grams occurs in all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unique(held.value["grams"])
-        counts = np.zeros(len(known), np.int64)
-        for batch in cuts(batches):
-            words, _, _, rows = word_hashes(batch.column("text"))
-            found, whole = gram_hashes(words, rows, SEED_WORDS)
-            hits = found[whole][_find(known, found[whole])]
-            counts += np.bincount(np.searchsorted(known, hits), minlength=len(known))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(known[some].view(np.int64)), pa.array(counts[some])], names=["gram", "n"]
-        )
-
-    counted = docs.select("text").mapInArrow(run, "gram long, n long")
-    sums = counted.groupBy("gram").agg(F.sum("n").alias("n"))
-    return dict(sums.toPandas().itertuples(index=False))  # at most the grams of the block
-
-
-def _seeds(block: Block, counts: dict[int, int]) -> Block:
-    """The block with seeds alone: the rarest gram of every window of grams of a part.
-
-    So a stretch of ``SEED_WINDOW + SEED_WORDS - 1`` words that a text shares with a part holds a
-    seed, however frequent the part's grams are. Rare means few joins: occurrences in the documents
-    times places in the block.
-    """
-    signed = block.grams.view(np.int64)
-    keys, inverse, places = np.unique(signed, return_inverse=True, return_counts=True)
-    cost = np.array([counts.get(k, 0) for k in keys.tolist()], np.float64) * places
-    order = np.lexsort((block.gram_at, block.gram_part))
-    rank = np.lexsort((keys[inverse], cost[inverse])).argsort()
-    chosen = np.zeros(len(signed), bool)
-    sizes = np.bincount(block.gram_part, minlength=len(block.items))
-    ends = np.cumsum(sizes)
-    for first, last in zip(ends - sizes, ends, strict=True):
-        mine = order[first:last]
-        window = min(SEED_WINDOW, len(mine))
-        if window:
-            views = np.lib.stride_tricks.sliding_window_view(rank[mine], window)
-            chosen[mine[np.arange(len(views)) + views.argmin(axis=1)]] = True
-    keep = np.flatnonzero(chosen)
-    return Block(
-        block.words, block.starts, block.items,
-        block.grams[keep], block.gram_part[keep], block.gram_at[keep],
-    )
-
-
 def align(parts: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     """Smith-Waterman of each part with its passage, all side by side.
 
@@ -186,20 +144,29 @@ def align(parts: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return np.stack([best // base, best % base, best_end], axis=1)
 
 
-def _passages(block: Block, grams: np.ndarray, whole: np.ndarray, rows: np.ndarray):
+def _passages(
+    block: Block, grams: np.ndarray, whole: np.ndarray, rows: np.ndarray, min_share: float = MIN_SHARE
+) -> Iterator[np.ndarray]:
     """(row, part, first word, last word) of the stretches of a batch to be aligned."""
     hits = np.flatnonzero(whole)[_find(block.grams, grams[whole])]
     if not len(hits):
-        return np.empty((0, 4), np.int64)
+        return
     low = np.searchsorted(block.grams, grams[hits], side="left")
-    high = np.searchsorted(block.grams, grams[hits], side="right")
-    times = high - low
+    times = np.searchsorted(block.grams, grams[hits], side="right") - low
+    group = (np.cumsum(times) - times) // PLACES
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], len(hits)], strict=True):
+        yield _stretches(block, hits[a:b], low[a:b], times[a:b], rows, min_share)
+
+
+def _stretches(block: Block, hits, low, times, rows, min_share: float) -> np.ndarray:
     at = np.repeat(hits, times)
     seed = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     part = block.gram_part[seed]
     size = np.diff(block.starts)[part]
     row = np.searchsorted(rows, at, side="right") - 1
-    slack = size // 4 + 4
+    # More words put in than this cost more than a share of ``min_share`` leaves.
+    slack = np.floor(MATCH * (1 - min_share) * size / -GAP + 1e-6).astype(np.int64)
     first = np.maximum(at - block.gram_at[seed] - slack, rows[row])
     last = np.minimum(at - block.gram_at[seed] + size + slack, rows[row + 1])
     # Passages of one part that begin within its size of each other are one, up to four times it.
@@ -215,6 +182,15 @@ def _passages(block: Block, grams: np.ndarray, whole: np.ndarray, rows: np.ndarr
     return np.array(found, np.int64).reshape(-1, 4)
 
 
+def _worth(block: Block, words: np.ndarray, spots: np.ndarray, min_share: float) -> np.ndarray:
+    """Which passages hold so many words of their part that an alignment can reach the share."""
+    sizes = spots[:, 3] - spots[:, 2]
+    before = np.cumsum(sizes) - sizes
+    at = np.arange(sizes.sum()) + np.repeat(spots[:, 2] - before, sizes)
+    held = _find(block.members, _members(np.repeat(spots[:, 1], sizes), words[at]))
+    return np.add.reduceat(held, before, dtype=np.int64) >= min_share * np.diff(block.starts)[spots[:, 1]] - 1e-6
+
+
 MATCHES = "doc_id long, key long, item_id long, share double, start long, end long"
 
 
@@ -224,18 +200,19 @@ def _scan(docs: DataFrame, held, min_share: float) -> DataFrame:
         for batch in cuts(batches):
             words, starts, ends, rows = word_hashes(batch.column("text"))
             grams, whole = gram_hashes(words, rows, SEED_WORDS)
-            spots = _passages(block, grams, whole, rows)
             out = []
-            spots = spots[np.argsort(spots[:, 3] - spots[:, 2], kind="stable")]
-            for some in np.array_split(spots, max(1, -(-len(spots) // LANES))):
-                if not len(some):
-                    continue
-                parts = [block.words[block.starts[p] : block.starts[p + 1]] for p in some[:, 1]]
-                found = align(parts, [words[f:e] for f, e in some[:, 2:]])
-                share = found[:, 0] / (MATCH * np.array([len(p) for p in parts]))
-                for k in np.flatnonzero(share >= min_share):
-                    first, last = some[k, 2] + found[k, 1:]
-                    out.append((some[k, 0], block.items[some[k, 1]], share[k], starts[first], ends[last - 1]))
+            for spots in _passages(block, grams, whole, rows, min_share):
+                spots = spots[np.argsort(spots[:, 3] - spots[:, 2], kind="stable")]
+                for some in np.array_split(spots, max(1, -(-len(spots) // LANES))):
+                    some = some[_worth(block, words, some, min_share)]
+                    if not len(some):
+                        continue
+                    parts = [block.words[block.starts[p] : block.starts[p + 1]] for p in some[:, 1]]
+                    found = align(parts, [words[f:e] for f, e in some[:, 2:]])
+                    share = found[:, 0] / (MATCH * np.array([len(p) for p in parts]))
+                    for k in np.flatnonzero(share >= min_share):
+                        first, last = some[k, 2] + found[k, 1:]
+                        out.append((some[k, 0], block.items[some[k, 1]], share[k], starts[first], ends[last - 1]))
             rows_ = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -255,11 +232,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE)
 
     ``docs(doc_id, text)``, ``items(item_id, text)``; ``key`` is a hash of the document's text,
     ``share`` the alignment's part of the full score, start and end are bytes of the lower-case
-    text. Words are runs of letters and digits. All 3-word grams of an item are counted over all
-    documents; the rarest of every four in a row are its seeds, and every passage with a seed is
-    aligned. A document and an item make one row, with the best alignment. The items are taken in
-    blocks of a bounded number of words, each in two passes over the documents, so no text is
-    shuffled and a frequent passage is met where it stands. Null and empty texts hold nothing, items
+    text. Words are runs of letters and digits. Every 3-word gram of an item is a seed, however
+    frequent. The passage around a seed is as wide as an alignment of the least share can be, and is
+    aligned unless it holds too few of the item's words to reach that share. A document and an item
+    make one row, with the best alignment. The items are taken in blocks of a bounded number of
+    words, each in one pass over the documents, so no text is shuffled and a frequent passage is met
+    where it stands. Null and empty texts hold nothing, items
     of fewer words than a seed neither; repeated rows and ids give one row per different text.
     """
     spark = docs.sparkSession
@@ -275,9 +253,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE)
         mine = parts.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == k)
         block = _block(mine.orderBy("item_id", "part").collect())  # about BLOCK_WORDS words
         held = spark.sparkContext.broadcast(vars(block))  # plain arrays need no import
-        seeds = _seeds(block, _frequencies(rows, held, block.grams))
-        seeded = spark.sparkContext.broadcast(vars(seeds))
-        some = materialise(_scan(rows, seeded, min_share), "leaks")
+        some = materialise(_scan(rows, held, min_share), "leaks")
         found = some if found is None else found.union(some)
     if found is None:
         return spark.createDataFrame([], MATCHES)

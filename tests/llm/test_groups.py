@@ -184,6 +184,41 @@ def test_edited_copies_are_found(spark, make):
     assert {r[0] for r in rows_of(kept)} == {50 + k for k in range(8)} | {90, 91}
 
 
+@pytest.mark.parametrize("intact_too", [False, True])
+def test_copies_with_many_edits_are_found(spark, make, intact_too):
+    """Edits at every 4th to 6th word and at random, held against alignments of whole documents."""
+    chance = random.Random(11)
+    items = [(k, filler(chance, n)) for k, n in enumerate((15, 22, 31, 40))]
+    rows = []
+    for _, text in items:
+        for step in (4, 5, 6):
+            for first in range(step):
+                words = text.split()
+                words[first::step] = ["edited"] * len(words[first::step])
+                rows.append(" ".join(words))
+        for _ in range(12):
+            words = []
+            for w in text.split():
+                edit = chance.choice("swdi") if chance.random() < 0.25 else ""
+                words += {"s": ["other"], "w": [w], "d": [], "i": [*["put", "in"] * chance.randint(1, 2), w]}.get(edit, [w])
+            rows.append(" ".join(words))
+        rows.append(" ".join(w for k, v in enumerate(text.split()) for w in ([v] if k < 3 or k % 2 else ["put", v])))
+    rows = [(k, f"{filler(chance, 9)} {r} {filler(chance, 9)}") for k, r in enumerate(rows)]
+    if intact_too:
+        rows += [(1000 + k, text) for k, text in items]
+    expected = set()
+    for doc, text in rows:
+        words = text.split()
+        grams = set(zip(words, words[1:], words[2:]))
+        for item, wanted in items:
+            part = wanted.split()
+            if grams & set(zip(part, part[1:], part[2:])) and plain_local(part, words) >= 0.6 * 2 * len(part):
+                expected.add((doc, item))
+    found = decontaminate.find_leaks(make(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == expected
+    assert 100 < len(expected) < len(rows)
+
+
 def test_blocks_of_items_change_nothing(spark, make, monkeypatch):
     chance = random.Random(9)
     items = spark.createDataFrame([(k, filler(chance, 25)) for k in range(12)], "item_id long, text string")
