@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +26,24 @@ FREE_BITS = 6
 _SET = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The 64 majority bits of the hashes of all runs of ``shingle`` words; 0 without words."""
+def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all runs of ``shingle`` words; a text of fewer words is one run."""
     words = text.encode().lower().split()  # bytes.lower changes A-Z alone
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-    found = np.array([digest(joined[s:e], SEED) for s, e in spans], np.uint64)
+    return np.array([digest(joined[s:e], SEED) for s, e in spans], np.uint64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The 64 majority bits of the hashes of all runs of ``shingle`` words; 0 without words."""
+    found = shingles(text, shingle)
+    if len(found) < 2:
+        return int(found[0]) if len(found) else 0
     octets = found.view(np.uint8).reshape(-1, 8)  # little-endian
     ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _SET for k in range(8)])
     bits = (2 * ones > len(found)).astype(np.uint8)
@@ -184,15 +189,18 @@ def near_groups(
     Repeated rows stay. Equal fingerprints are one node, so exact copies make no links.
     """
     prints = materialise(fingerprints(docs, shingle), "prints")
-    return _grouped(prints, radius, bucket).drop("root")
+    return grouped(prints, lambda fps: covering_links(fps, radius, bucket)).drop("root")
+
 
+def grouped(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``prints(doc_id, fp, ...)`` with ``component_id``, and a fingerprint of the group as ``root``.
 
-def _grouped(prints: DataFrame, radius: int, bucket: int) -> DataFrame:
-    """``prints(doc_id, fp, ...)`` with ``component_id``, and a fingerprint of the group as ``root``."""
+    ``links`` gives links ``(a, b)`` between the distinct fingerprints ``(fp)``.
+    """
     nodes = materialise(
         prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes"
     )
-    roots = materialise(components(covering_links(nodes.select("fp"), radius, bucket)), "roots")
+    roots = materialise(components(links(nodes.select("fp"))), "roots")
     groups = (
         nodes.join(roots, nodes.fp == roots.node, "left")
         .where("n > 1 OR root IS NOT NULL")
@@ -209,6 +217,11 @@ def _grouped(prints: DataFrame, radius: int, bucket: int) -> DataFrame:
     )
 
 
+def text_key():
+    """Hash of a row's text."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def keep_one(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET
 ) -> DataFrame:
@@ -218,7 +231,7 @@ def keep_one(
     A row with a null id can't be named in a group's decision; it stays. Only the ids and text
     hashes of what goes are joined with the documents.
     """
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    key = text_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cuts(batches):
@@ -230,20 +243,24 @@ def keep_one(
 
     ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), key.alias("key"))
     prints = materialise(ids.mapInArrow(run, "doc_id long, key long, fp long"), "prints")
-    grouped = materialise(
-        _grouped(prints, radius, bucket).where("doc_id IS NOT NULL").drop("fp"), "grouped"
-    )
+    return first_rows(docs, grouped(prints, lambda fps: covering_links(fps, radius, bucket)))
+
+
+def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, by ``groups(doc_id, key, root, component_id, fp)``."""
+    key = text_key()
+    groups = materialise(groups.where("doc_id IS NOT NULL").drop("fp"), "grouped")
     several = (
-        grouped.where("doc_id = component_id")
+        groups.where("doc_id = component_id")
         .groupBy("root", "doc_id")
         .agg(F.min("key").alias("low"), F.max("key").alias("high"))
         .where("low != high")
     )
     gone = (
-        grouped.where("doc_id != component_id")
+        groups.where("doc_id != component_id")
         .select("doc_id", "key")
         .union(
-            grouped.join(several, ["root", "doc_id"])
+            groups.join(several, ["root", "doc_id"])
             .where("key != low")
             .select("doc_id", "key")
         )
@@ -253,7 +270,7 @@ def keep_one(
     gone = materialise(gone, "gone")
     same_row = (docs.doc_id.cast("long") == F.col("gone_id")) & (key == F.col("gone_key"))
     left = docs.join(gone, same_row, "left_anti")
-    twice = grouped.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    twice = groups.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         return left
     twice = twice.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
