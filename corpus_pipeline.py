@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoquarry.llm import decontaminate, jaccard, mix, quality_rules, token_codes
+from geoquarry.llm import decontaminate, mix, quality_rules, simhash, token_codes
 from geoquarry.session import materialise
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard of 0.8 or more."""
-    return jaccard.keep_one(docs)
+    """One document of each group of near-duplicates: three-word SimHash, three bits at most."""
+    return simhash.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
