@@ -53,14 +53,16 @@ def _word_bytes() -> np.ndarray:
     return table
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of a text column, and where they are.
 
     Words are runs of letters and digits in lower case; other ASCII characters part them, all
     others belong to words. Returns the 64-bit hashes in order, the byte starts and ends in each
-    word's text, and for each row the index of its first word, with the total at the end.
+    word's text, and for each row the index of its first word, with the total at the end. Without
+    ``fold`` only A-Z are lowered.
     """
-    column = pc.fill_null(pc.utf8_lower(pc.fill_null(column, "")), "").cast(pa.large_binary())
+    column = pc.fill_null(column, "")
+    column = (pc.fill_null(pc.utf8_lower(column), "") if fold else column).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
     first, last = int(offsets[0]), int(offsets[-1])
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[first:last]
