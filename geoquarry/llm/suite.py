@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mix as mixing
-from . import decontaminate, license_scan, line_dedup, quality_model, quality_rules, secret_scan, simhash, token_codes, token_counts
+from . import decontaminate, filter_audit, lexical, license_scan, line_dedup, patricia, quality_model, quality_rules, secret_scan, simhash, token_codes, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,6 +110,118 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH filters(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM filters a, filters b, filters c, filters d, filters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+), steps AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0) AS before
+  FROM orders, range(1, 6) AS r(s)
+), texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS whole,
+         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words
+  FROM documents
+), judged AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * list_unique(words) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (length(whole) - length(regexp_replace(whole, '[A-Z]', '', 'g'))) > 3 * length(whole) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(whole, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY whole) THEN 16 ELSE 0 END AS mask
+  FROM texts
+), labelled AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad
+  FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, CAST(mask AS INTEGER) AS mask, bit_count(CAST(mask AS INTEGER)) AS failed, count(*) AS n,
+         count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad
+  FROM judged LEFT JOIN labelled USING (doc_id) GROUP BY part, mask
+)
+SELECT part, filter_order, step,
+       CAST(sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+       CAST(sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+       CAST(sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+       CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+       CAST(sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+       CAST(sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN bad ELSE 0 END) AS BIGINT) AS toxic_lost,
+       CAST(sum(CASE WHEN mask & bit > 0 THEN n * 120 // failed ELSE 0 END) AS BIGINT) AS shapley
+FROM counts, steps
+GROUP BY part, filter_order, step
+"""
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patricia.exact_groups(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_exact_dedup"] = """
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents
+)
+SELECT doc_id,
+       max(doc_id) OVER same AS keep_id,
+       count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY low ORDER BY doc_id DESC NULLS LAST, r) = 1 AS kept,
+       sha256(low) AS text_sha256
+FROM texts
+WINDOW same AS (PARTITION BY low)
+"""
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    )
+
+
+ORACLES["op13_ranked_search"] = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), sizes AS (
+  SELECT doc_id, r, CAST(len(terms) AS BIGINT) AS n FROM texts WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes
+), wanted AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (
+    SELECT item_id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)
+  )
+  GROUP BY item_id, term
+), occurrences AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM texts)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM occurrences, totals GROUP BY term, docs
+), scores AS (
+  SELECT item_id, doc_id, r,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // all_terms))))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN occurrences USING (term) JOIN sizes USING (r), totals
+  GROUP BY item_id, doc_id, r
+), ranked AS (
+  SELECT item_id, doc_id, score,
+         CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
 ORACLES["op10_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source,

@@ -14,9 +14,12 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from geoquarry.llm import (
     decontaminate,
+    filter_audit,
+    lexical,
     license_scan,
     line_dedup,
     mix,
+    patricia,
     quality_model,
     quality_rules,
     secret_scan,
@@ -150,7 +153,7 @@ def test_classifier_without_trusted_text(spark, make):
 
 # --- all operators: empty tables, nulls everywhere, columns of clashing names ---------------
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, n_words int, copies string, spans int, kept string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, n_words int, copies string, spans int, kept string, gone_id string, gone_key int, run_id int, run_key string, run_spans string, row int"
 ITEMS = "item_id long, text string, doc_id string, key int"
 LABELS = "doc_id long, quality int, toxic int, lang string, kept int"
 
@@ -169,8 +172,12 @@ OPERATORS = {
     "runs": lambda d, i, la: line_dedup.remove_runs(d),
     "plan": lambda d, i, la: mix.plan_mix(d),
     "mix": lambda d, i, la: mix.mix(d),
+    "audit": lambda d, i, la: filter_audit.audit(d, la),
+    "flags": lambda d, i, la: filter_audit.document_flags(d),
+    "exact": lambda d, i, la: patricia.exact_groups(d),
+    "ranked": lambda d, i, la: lexical.rank_documents(d, i),
 }
-ROW_EACH = {"secrets", "codes", "counts", "lines", "perplexity", "groups", "runs", "plan"}
+ROW_EACH = {"secrets", "codes", "counts", "lines", "perplexity", "groups", "runs", "plan", "exact", "flags"}
 COLUMNS_OF_DOCS = {"without_leaks", "clean", "one_each", "mix"}
 
 
@@ -184,11 +191,12 @@ def test_empty_tables(spark, make, name):
 def test_nulls_repeats_and_clashing_columns(make, name):
     long = "One sentence follows the next. " * 4000
     some = [
-        (1, "A text of some words in a line.", "en", "s", 3, "k", "f", 1, "c", 2, "t"),
-        (2, "", "de", None, None, None, None, None, None, None, None),
-        (3, long, None, "s", 1, "k", "f", 1, "c", 2, "t"),
+        (1, "A text of some words in a line.", "en", "s", 3, "k", "f", 1, "c", 2, "t", "g", 4, 5, "r", "s", 6),
+        (2, "", "de", *[None] * 14),
+        (3, long, None, "s", 1, "k", "f", 1, "c", 2, "t", "g", 4, 5, "r", "s", 6),
     ]
-    rows = [*some, some[0], (None,) * 11, (None, "A text of some words in a line.") + (None,) * 9, (4,) + (None,) * 10, (None,) * 11]
+    none = [None] * 17
+    rows = [*some, some[0], tuple(none), (None, some[0][1], *none[2:]), (4, *none[1:]), tuple(none)]
     docs = make(rows, DOCS)
     items = make([(1, "nothing like this is in there", "x", 1), (None, None, None, None), (2, "", None, None)], ITEMS)
     labels = make([(1, 1, 0, "x", 1), (None, None, None, None, None), (3, None, None, None, None), (1, 1, None, None, 1)], LABELS)
@@ -210,8 +218,8 @@ def test_queries_equal_sql(spark, name):
     expected = con.execute(suite.ORACLES[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)
     order = sorted(found.columns)
-    a = found.toPandas()[order].sort_values("doc_id", ignore_index=True)
-    b = expected[order].sort_values("doc_id", ignore_index=True)
+    a = found.toPandas()[order].sort_values(order, ignore_index=True)
+    b = expected[order].sort_values(order, ignore_index=True)
     for c in order:
         if a[c].dtype.kind == "f":
             assert np.allclose(a[c], b[c])

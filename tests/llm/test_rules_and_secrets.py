@@ -30,7 +30,10 @@ def plain_rules(text):
     )
 
 
-CLEAN = "A plain sentence has its words in order, and it ends with a mark as it should. " * 2
+CLEAN = (
+    "A plain sentence has its words in order, and it ends with a mark as it should. "
+    "The next one goes on from there and says what else a reader of such lines may want to know."
+)
 TEXTS = [
     None,
     "",
