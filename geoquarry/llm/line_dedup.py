@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialise
 from .batches import cuts, mix, texts
+from .keys import parted
 
 #: Words of a run of whole lines from which a repetition counts.
 MIN_WORDS = 50
@@ -57,8 +58,8 @@ def window_hashes(hashes: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def _text_key():
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _text_key(text: str = "text"):
+    text = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return text, F.xxhash64(text)
 
 
@@ -168,6 +169,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+#: The runs of a row on their way; a column of that name is not passed on.
+SPANS = "__runs"
 OUT = "n_lines long, n_removed long, n_words_removed long"
 
 
@@ -187,16 +190,24 @@ def remove_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ),
         "runs",
     )
-    _, key = _text_key()
-    same = docs.doc_id.cast("long").eqNullSafe(F.col("run_id")) & (key == F.col("run_key"))
+    _, key = _text_key("d.text")
+    id_ = F.col("d.doc_id").cast("long")
+    same = id_.eqNullSafe(F.col("g.run_id")) & (key == F.col("g.run_key"))
     extra = [c.split()[0] for c in OUT.split(", ")]
-    columns = [c for c in docs.columns if c.lower() not in extra]
-    joined = docs.join(runs, same, "left").select(*[docs[f"`{c}`"] for c in columns], "run_spans")
+    taken = [*extra, SPANS]
+    columns = [c for c in docs.columns if c.lower() not in taken]
+    # Texts without a run are not shuffled.
+    apart, near = parted(docs, F.xxhash64(id_, key), runs.select(F.xxhash64("run_id", "run_key").alias("hash")))
+    whole = near.alias("d").join(runs.alias("g"), same, "left")
+    own = [F.col(f"d.`{c}`") for c in columns]
+    joined = whole.select(*own, F.col("g.run_spans").alias(SPANS)).union(
+        apart.alias("d").select(*own, F.lit(None).cast(runs.schema["run_spans"].dataType))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cuts(batches):
             left, counts = [], []
-            spans = batch.column("run_spans").to_pylist()
+            spans = batch.column(SPANS).to_pylist()
             for text, found in zip(batch.column("text").to_pylist(), spans, strict=True):
                 lines = (text or "").split("\n")
                 real = [k for k, ln in enumerate(lines) if ln.strip()]
@@ -207,13 +218,13 @@ def remove_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 counts.append((len(real), len(gone), words))
             place = batch.schema.get_field_index("text")
             whole = batch.set_column(place, "text", pa.array(left, pa.string()))
-            whole = whole.drop_columns(["run_spans"])
+            whole = whole.drop_columns([SPANS])
             yield pa.RecordBatch.from_arrays(
                 [*whole.columns, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3))],
                 names=[*whole.schema.names, *extra],
             )
 
-    fields = [f for f in joined.schema.fields if f.name != "run_spans"]
+    fields = [f for f in joined.schema.fields if f.name != SPANS]
     return joined.mapInArrow(
         run, StructType([*fields, *(StructField(n, LongType()) for n in extra)])
     )
