@@ -275,6 +275,6 @@ def keep_clean(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE)
         leaks.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(),
         "gone",
     )
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    same_row = docs.doc_id.cast("long").eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key"))
-    return docs.join(gone, same_row, "left_anti")
+    key = F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit("")))
+    same_row = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.gone_id")) & (key == F.col("g.gone_key"))
+    return docs.alias("d").join(gone.alias("g"), same_row, "left_anti")

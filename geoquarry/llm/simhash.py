@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .batches import cuts, texts
 from .components import components
+from .keys import parted
 
 SHINGLE = 3
 RADIUS = 3
@@ -217,9 +218,9 @@ def grouped(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataF
     )
 
 
-def text_key():
+def text_key(text: str = "text"):
     """Hash of a row's text."""
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def keep_one(
@@ -248,7 +249,6 @@ def keep_one(
 
 def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, by ``groups(doc_id, key, root, component_id, fp)``."""
-    key = text_key()
     groups = materialise(groups.where("doc_id IS NOT NULL").drop("fp"), "grouped")
     several = (
         groups.where("doc_id = component_id")
@@ -268,16 +268,19 @@ def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
     )
     gone = materialise(gone, "gone")
-    same_row = (docs.doc_id.cast("long") == F.col("gone_id")) & (key == F.col("gone_key"))
-    left = docs.join(gone, same_row, "left_anti")
+    id_, key = F.col("d.doc_id").cast("long"), text_key("d.text")
+    same_row = (id_ == F.col("g.gone_id")) & (key == F.col("g.gone_key"))
+    # Only texts of rows that may go are shuffled.
+    apart, near = parted(docs, F.xxhash64(id_, key), gone.select(F.xxhash64("gone_id", "gone_key").alias("hash")))
+    left = apart.union(near.alias("d").join(gone.alias("g"), same_row, "left_anti")).alias("d")
     twice = groups.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         return left
-    twice = twice.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
-    row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    twice = twice.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).alias("g")
+    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns])
     firsts = (
         left.join(twice, same_row, "left_semi")
-        .groupBy("doc_id", key.alias("key"))
+        .groupBy(F.col("d.doc_id"), key)
         .agg(F.first(row).alias("row"))
         .select("row.*")
     )

@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 import xxhash
 
-import corpus_pipeline
-from geoquarry.llm import components, decontaminate, license_scan, line_dedup, mix, simhash, suite
+from pyspark.sql import functions as F
+
+from geoquarry.llm import components, decontaminate, keys, license_scan, line_dedup, mix, simhash, suite
 from geoquarry.llm.batches import gram_hashes, word_hashes
 
 from .conftest import rows_of
@@ -125,49 +126,6 @@ def test_one_of_each_group_stays(make):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
-def plain_shingles(text):
-    words = (text or "").lower().split()
-    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-
-
-def plain_similar_groups(texts):
-    """Groups of ids by all pairs of a 5-word Jaccard of 0.8 or more."""
-    sets = {d: plain_shingles(t) for d, t in texts.items()}
-    near = []
-    for b, of_b in sets.items():
-        for a, of_a in sets.items():
-            shared = len(of_a & of_b)
-            if a < b and 5 * shared >= 4 * (len(of_a) + len(of_b) - shared):
-                near.append((a, b))
-    return roots(list(sets), near)
-
-
-def test_stage_keeps_one_of_similar_documents(spark, make):
-    """Copies with a few words changed, in chains and a dense group, against all pairs."""
-    chance = random.Random(3)
-    bases = [filler(chance, n) for n in (40, 60, 90, 150, 400)] * 8 + [filler(chance, 200)] * 60
-    rows = []
-    for base in bases:
-        words = base.split()
-        for k in chance.sample(range(len(words)), chance.randint(0, max(1, len(words) // 35))):
-            words[k] = "changed"
-        rows.append(" ".join(words))
-    rows += [filler(chance, 30) for _ in range(20)] + [" ", None, "one two", "One  two", "one two three"]
-    chance.shuffle(rows)
-    texts = dict(enumerate(rows))
-    expected = set(plain_similar_groups(texts).values())
-    found = {r[0] for r in rows_of(corpus_pipeline.near_duplicates(spark, make(list(texts.items())), ""))}
-    assert found == expected
-    assert 30 < len(expected) < 100
-
-
-def test_stage_on_given_documents(spark, sf):
-    docs = pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id", "text"])
-    expected = set(plain_similar_groups(dict(docs.values)).values())
-    found = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
-    assert {r["doc_id"] for r in found.collect()} == expected
-
-
 def plain_local(part, passage):
     table = np.zeros((len(part) + 1, len(passage) + 1), int)
     for i, a in enumerate(part, 1):
@@ -431,3 +389,17 @@ def test_mix(spark, sf, make, tmp_path):
     for doc, text, source, _ in rows_of(mixed):
         counts[doc, source, len((text or "").split(" "))] = 1
     assert mixed.count() == 2 * sum(plan.values())
+
+
+@pytest.mark.parametrize("largest", [1 << 26, 64])
+def test_filter_parts_rows_without_a_partner(spark, monkeypatch, largest):
+    """No row with a partner is parted from it, and a full filter only keeps more rows."""
+    monkeypatch.setattr(keys, "LARGEST", largest)
+    rows = spark.createDataFrame([(k, f"f{k}") for k in range(3000)] + [(None, "n")], "k long, f string")
+    hashes = spark.range(0, 3000, 7).select(F.xxhash64("id").alias("hash"))
+    apart, near = keys.parted(rows, F.xxhash64("d.k"), hashes)
+    assert apart.columns == near.columns == rows.columns
+    far, close = ([r["k"] for r in x.collect()] for x in (apart, near))
+    assert len(far) + len(close) == 3001
+    assert set(range(0, 3000, 7)) <= set(close)
+    assert len(close) < 700 if largest > 64 else len(close) > 700
