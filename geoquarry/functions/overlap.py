@@ -16,6 +16,9 @@ from ..model import LINESTRING, MULTILINESTRING, MULTIPOINT, MULTIPOLYGON, POINT
 from .wkb import decode_batch, unnest
 
 PAIRS_PER_CHUNK = 1_000_000
+#: Pairs of edges from which two polygons are compared strip by strip, and edge ends in a strip.
+SWEEP_PAIRS = 65_536
+EDGES_PER_STRIP = 16
 POLYGONS = (POLYGON, MULTIPOLYGON)
 LINES = (LINESTRING, MULTILINESTRING)
 POINTS = (POINT, MULTIPOINT)
@@ -83,6 +86,16 @@ def _expand(first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def shared_areas(a: _Rows, ai: np.ndarray, b: _Rows, bi: np.ndarray) -> np.ndarray:
     """Area of the intersection of polygon ``ai[n]`` of ``a`` and ``bi[n]`` of ``b``."""
+    out = np.zeros(len(ai))
+    work = a.edges[ai].astype(np.int64) * b.edges[bi]
+    for n in np.flatnonzero(work > SWEEP_PAIRS):
+        out[n] = swept_area(a, int(ai[n]), b, int(bi[n]))
+    few = np.flatnonzero(work <= SWEEP_PAIRS)
+    out[few] = _all_pairs_areas(a, ai[few], b, bi[few])
+    return np.maximum(out, 0.0)
+
+
+def _all_pairs_areas(a: _Rows, ai: np.ndarray, b: _Rows, bi: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ai))
     for part in _runs(a.edges[ai], PAIRS_PER_CHUNK):
         owner, edge = _expand(a.edge_at[ai[part]], a.edges[ai[part]])
@@ -92,11 +105,95 @@ def shared_areas(a: _Rows, ai: np.ndarray, b: _Rows, bi: np.ndarray) -> np.ndarr
             each, other = _expand(b.edge_at[bi[p]], b.edges[bi[p]])
             sums = _trapezoids(a, e[each], ai[p][each], b, other, bi[p][each])
             out += np.bincount(p[each], sums, len(out))
-    return np.maximum(out, 0.0)
+    return out
+
+
+def _edges_between(g: _Rows, row: int, low: float, high: float) -> tuple[np.ndarray, ...]:
+    """Edges of a polygon that have a width between two places, with their ends along x."""
+    edges = np.arange(g.edge_at[row], g.edge_at[row] + g.edges[row])
+    left = np.minimum(g.x1[edges], g.x2[edges])
+    right = np.maximum(g.x1[edges], g.x2[edges])
+    use = (right > left) & (right > low) & (left < high)
+    return edges[use], left[use], right[use]
+
+
+def _in_strips(cuts: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First strip of each edge, and the number of strips it reaches into."""
+    last = len(cuts) - 2
+    first = np.clip(np.searchsorted(cuts, left, side="right") - 1, 0, last)
+    return first, np.clip(np.searchsorted(cuts, right, side="left") - 1, 0, last) - first + 1
+
 
+def _met(cuts: np.ndarray, sides) -> float:
+    """Pairs of edges that share a strip."""
+    counts = []
+    for left, right in sides:
+        first, n = _in_strips(cuts, left, right)
+        steps = np.bincount(first, minlength=len(cuts)) - np.bincount(first + n, minlength=len(cuts) + 1)[: len(cuts)]
+        counts.append(np.cumsum(steps)[:-1].astype(float))
+    return float(counts[0] @ counts[1])
 
-def _trapezoids(a: _Rows, i, a_row, b: _Rows, j, b_row) -> np.ndarray:
-    """Signed area the trapezoids below edge ``i`` and edge ``j`` have in common."""
+
+def swept_area(a: _Rows, i: int, b: _Rows, j: int, part: int = 0, parts: int = 1) -> float:
+    """Shared area of two polygons, or the ``part``-th of ``parts`` stretches of it along x.
+
+    Only edges above the same stretch of the x axis have a part in it. The axis is cut into strips
+    of about equally many edges, edges are paired within strips, and what a pair shares is counted
+    between the ends of the strip. Strips are made wider while that makes fewer pairs, as it does
+    where edges reach through many strips.
+    """
+    if not a.edges[i] or not b.edges[j]:
+        return 0.0
+    spans = []
+    for g, row in ((a, i), (b, j)):
+        x = g.x1[g.edge_at[row] : g.edge_at[row] + g.edges[row]]
+        spans.append((x.min(), x.max()))
+    low, high = max(s[0] for s in spans), min(s[1] for s in spans)
+    if low >= high:
+        return 0.0
+    (ea, la, ra), (eb, lb, rb) = (_edges_between(g, row, low, high) for g, row in ((a, i), (b, j)))
+    ends = np.sort(np.clip(np.concatenate((la, ra, lb, rb)), low, high))
+    # The stretches depend on the edges alone, so all tasks of a pair agree on them.
+    stretch = np.unique(ends[np.linspace(0, len(ends) - 1, parts + 1).astype(np.int64)])
+    if part >= len(stretch) - 1:
+        return 0.0
+    low, high = stretch[part], stretch[part + 1]
+    (ea, la, ra), (eb, lb, rb) = (_edges_between(g, row, low, high) for g, row in ((a, i), (b, j)))
+    ends = ends[(ends > low) & (ends < high)]
+    best, step = np.array([low, high]), EDGES_PER_STRIP
+    least = _met(best, ((la, ra), (lb, rb)))
+    while step < len(ends):
+        cuts = np.unique(np.concatenate(([low], ends[::step], [high])))
+        found = _met(cuts, ((la, ra), (lb, rb))) + 2.0 * len(cuts)
+        if found < least:
+            best, least = cuts, found
+        step *= 8
+    first_a, n_a = _in_strips(best, la, ra)
+    first_b, n_b = _in_strips(best, lb, rb)
+    owner_a, strip_a = _expand(first_a, n_a)
+    owner_b, strip_b = _expand(first_b, n_b)
+    order = np.argsort(strip_b, kind="stable")
+    owner_b, strip_b = owner_b[order], strip_b[order]
+    start = np.searchsorted(strip_b, strip_a, side="left")
+    size = np.searchsorted(strip_b, strip_a, side="right") - start
+    total = 0.0
+    rows = (np.full(1, i), np.full(1, j))
+    for run in _runs(size, PAIRS_PER_CHUNK):
+        each, other = _expand(start[run], size[run])
+        if not len(each):
+            continue
+        strip = strip_a[run][each]
+        total += _trapezoids(
+            a, ea[owner_a[run][each]], rows[0], b, eb[owner_b[other]], rows[1], best[strip], best[strip + 1]
+        ).sum()
+    return float(total)
+
+
+def _trapezoids(a: _Rows, i, a_row, b: _Rows, j, b_row, low=None, high=None) -> np.ndarray:
+    """Signed area the trapezoids below edge ``i`` and edge ``j`` have in common.
+
+    With ``low`` and ``high`` only what lies between these places along x.
+    """
     base_x, base_y = a.x1[a.edge_at[a_row]], np.minimum(a.low[a_row], b.low[b_row])
 
     def line(g: _Rows, e):
@@ -108,6 +205,8 @@ def _trapezoids(a: _Rows, i, a_row, b: _Rows, j, b_row) -> np.ndarray:
     a_low, a_high, ax, ay, a_slope, a_sign = line(a, i)
     b_low, b_high, bx, by, b_slope, b_sign = line(b, j)
     left, right = np.maximum(a_low, b_low), np.minimum(a_high, b_high)
+    if low is not None:
+        left, right = np.maximum(left, low - base_x), np.minimum(right, high - base_x)
     width = np.maximum(right - left, 0.0)
     a0, a1 = ay + a_slope * (left - ax), ay + a_slope * (right - ax)
     b0, b1 = by + b_slope * (left - bx), by + b_slope * (right - bx)
@@ -260,18 +359,24 @@ def geometries_relate(this, other, min_ratio: float = 0.01):
     return compare(this, other)
 
 
-def intersection_area(a, b):
-    """Shared area of two WKB polygon columns; 0 where one is not a polygon."""
+def is_polygon(wkb):
+    """Whether a WKB column (little-endian or big-endian) holds polygons."""
+    little = F.substring(wkb, 1, 1) == F.lit(b"\x01")
+    code = F.when(little, F.substring(wkb, 2, 1)).otherwise(F.substring(wkb, 5, 1))
+    return code.isin(*[F.lit(bytes([k])) for k in POLYGONS])
+
+
+def strip_share(this, other, part, parts):
+    """Share of a polygon that lies in another one and in one of ``parts`` vertical strips."""
 
     @F.arrow_udf("double")
-    def measure(left: pa.Array, right: pa.Array) -> pa.Array:
-        x, xi, x_valid = _distinct(left)
-        y, yi, y_valid = _distinct(right)
-        both = x_valid & y_valid
-        out = np.zeros(len(xi))
-        use = np.flatnonzero(both)
-        use = use[np.isin(x.kinds[xi[use]], POLYGONS) & np.isin(y.kinds[yi[use]], POLYGONS)]
-        out[use] = shared_areas(x, xi[use], y, yi[use])
-        return pa.array(out, mask=~both)
-
-    return measure(a, b)
+    def measure(left: pa.Array, right: pa.Array, part: pa.Array, parts: pa.Array) -> pa.Array:
+        a, ai, _ = _distinct(left)
+        b, bi, _ = _distinct(right)
+        shares = [
+            swept_area(a, i, b, j, k, n) / a.area[i] if a.area[i] > 0 and b.area[j] > 0 else 0.0
+            for i, j, k, n in zip(ai.tolist(), bi.tolist(), part.to_pylist(), parts.to_pylist(), strict=True)
+        ]
+        return pa.array(shares, pa.float64())
+
+    return measure(this, other, part, parts)

@@ -18,6 +18,11 @@ from ..operators.prepare import prepare, without_geometry
 from ..operators.union import stack
 from .inventory import list_files
 
+NOT_PARQUET = "not a parquet file"
+#: Files whose names a plan may hold; beyond that Spark merges the schemas itself.
+MAX_NAMES = 100_000
+#: Schema groups by path, with what the listing was when the footers were read.
+_SEEN: dict = {}
 FOOTER_SCHEMA = (
     "__file_path string, n_rows long, primary_column string, crs string, "
     "minx double, miny double, maxx double, maxy double, error string"
@@ -33,7 +38,8 @@ def _located(reader, path, positions: bool = True) -> DataFrame:
     return df.select(*kept, *[c.alias(k) for k, c in columns.items()])
 
 
-def _listing(spark: SparkSession, path) -> DataFrame:
+def layer_listing(spark: SparkSession, path) -> DataFrame:
+    """The files of a layer; names that begin with a dot or an underscore are no data."""
     paths = [path] if isinstance(path, str) else list(path)
     return reduce(DataFrame.union, [list_files(spark, p) for p in paths]).filter(
         ~F.col("name").rlike(r"/[_.][^/]*$")
@@ -55,10 +61,10 @@ def file_schemas(spark: SparkSession, path) -> DataFrame:
             for name, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 columns, error = None, None
                 try:
-                    system, inner = _open(name)
+                    system, inner = open_path(name)
                     with system.open_input_file(inner) as file:
                         if not size or file.read_at(4, size - 4) != b"PAR1":
-                            error = "not a parquet file"
+                            error = NOT_PARQUET
                         else:
                             columns = str(pq.read_schema(file).remove_metadata())
                 except (OSError, ValueError, pa.ArrowInvalid) as e:
@@ -70,14 +76,14 @@ def file_schemas(spark: SparkSession, path) -> DataFrame:
                 names=["name", "size", "columns", "error"],
             )
 
-    files = _listing(spark, path).select("name", "size")
+    files = layer_listing(spark, path).select("name", "size")
     tasks = max(spark.sparkContext.defaultParallelism, 1)
     return files.repartition(tasks, "name").mapInArrow(
         schemas, "name string, size long, columns string, error string"
     )
 
 
-def _open(path: str):
+def open_path(path: str):
     """File system and inner path, for paths with and without a scheme."""
     from pyarrow import fs
 
@@ -102,10 +108,30 @@ def skipped_files(spark: SparkSession, path) -> DataFrame:
 
     Files of zero length hold no rows either; Spark's listing leaves them out.
     """
-    found = file_schemas(spark, path).filter("error = 'not a parquet file'")
+    found = file_schemas(spark, path).filter(F.col("error") == NOT_PARQUET)
     return found.select("name", "size", "error")
 
 
+def _schema_groups(spark: SparkSession, path) -> list | None:
+    """Files by schema and error, or None where no footer needs to be read: there is one file.
+
+    A listing is one job. The footers of a path are read again only when a name, size or time in its
+    listing has changed.
+    """
+    files = layer_listing(spark, path)
+    state = files.agg(
+        F.count("*").alias("n"),
+        F.sum(F.xxhash64("name", "size", "updated").cast("decimal(20,0)")).alias("hash"),
+    ).first()
+    if state["n"] <= 1:
+        return None
+    key = spark.sparkContext.applicationId, path if isinstance(path, str) else tuple(path)
+    if key not in _SEEN or _SEEN[key][0] != state:
+        found = file_schemas(spark, path).groupBy("columns", "error").agg(F.collect_list("name").alias("names"))
+        _SEEN[key] = state, found.collect()  # the paths go into the scans
+    return _SEEN[key][1]
+
+
 def read_parquet(spark: SparkSession, path) -> DataFrame:
     """Parquet file, directory or list of them, whatever columns and types each file has.
 
@@ -114,22 +140,26 @@ def read_parquet(spark: SparkSession, path) -> DataFrame:
     aligned. Only files that are empty or have no parquet mark are passed over (``skipped_files``
     lists them); a file that is damaged further in is an error when its rows are read.
     """
-    reader = spark.read.format("parquet").option("mergeSchema", False)
-    groups = (
-        file_schemas(spark, path)
-        .groupBy("columns", "error")
-        .agg(F.collect_list("name").alias("names"))
-        .collect()  # the paths go into the scans
-    )
-    unread = [g for g in groups if g["error"] not in (None, "not a parquet file")]
-    readable = [g for g in groups if g["error"] is None]
-    if unread:  # a damaged footer, or a store that only Spark reads: Spark merges, or tells
+    groups = _schema_groups(spark, path)
+    reader = spark.read.format("parquet")
+    if groups is None:
+        return _located(reader.option("mergeSchema", False), path)
+    readable = {g["columns"]: g["names"] for g in groups if g["error"] is None}
+    unread = [g for g in groups if g["error"] not in (None, NOT_PARQUET)]
+    # A damaged footer, or a store that only Spark reads: Spark merges, or tells.
+    if unread or sum(map(len, readable.values())) > MAX_NAMES:
         return _located(reader.option("mergeSchema", True), path)
     if len(groups) <= 1 or not readable:
-        return _located(reader, path)
-    if isinstance(path, str) and any("=" in n[len(path) :] for g in readable for n in g["names"]):
+        return _located(reader.option("mergeSchema", False), path)
+    return read_groups(spark, readable, path)
+
+
+def read_groups(spark: SparkSession, groups: dict[str, list[str]], path) -> DataFrame:
+    """Files by schema, each group read with its own, stacked; ``path`` is the layer they are of."""
+    reader = spark.read.format("parquet").option("mergeSchema", False)
+    if isinstance(path, str) and any("=" in n[len(path) :] for names in groups.values() for n in names):
         reader = reader.option("basePath", path)
-    return stack([_located(reader, sorted(g["names"])) for g in sorted(readable, key=lambda g: g["columns"])])
+    return stack([_located(reader, sorted(groups[g])) for g in sorted(groups)])
 
 
 def row_slice(df: DataFrame, rows: int, batch: int) -> DataFrame:
@@ -228,7 +258,7 @@ def read_footers(spark: SparkSession, files: DataFrame, name: str = "name") -> D
                     ["n_rows", "primary_column", "crs", "minx", "miny", "maxx", "maxy", "error"]
                 )
                 try:
-                    system, inner = _open(path)
+                    system, inner = open_path(path)
                     footer = pq.read_metadata(inner, filesystem=system)
                     row["n_rows"] = footer.num_rows
                     meta = json.loads((footer.metadata or {}).get(b"geo", b"{}"))

@@ -9,6 +9,7 @@ from geoquarry.functions.wkb import to_wkb
 from geoquarry.operators.prepare import with_hash_ids
 from geoquarry.operators.profile import file_statistics
 from geoquarry.session import scratch_path
+from geoquarry.sources import zones as zone
 from geoquarry.sources import inventory as op
 from geoquarry.sources import readers, sinks
 from geoquarry.streaming import ingest
@@ -252,3 +253,34 @@ HAVING min(x) <= 4.5 AND max(x) >= 4.0 AND min(y) <= 57.5 AND max(y) >= 57""",
 def s15_surviving_files(spark, sf_dir):
     stats = file_statistics(point_layer(spark, sf_dir))
     return readers.surviving_files(stats, (4.0, 57.0, 4.5, 57.5)).select("__file_path")
+
+
+@query(
+    "s15_zone_map",
+    f"{with_layers('points')} SELECT _unique_id, c_custkey FROM points WHERE x <= 14 AND x >= 9 AND y <= 62 AND y >= 59",
+)
+def s15_zone_map(spark, sf_dir):
+    """The viewport from files with a row group in it, as the zone map of the layer knows them."""
+    target = scratch_path(spark, "zoned")
+    sinks.write_layer(point_layer(spark, sf_dir), target, cell=2.0, files=8)
+    zones = zone.zone_map(spark, target, scratch_path(spark, "zones"))
+    return zone.read_in_zones(spark, target, zones, VIEWPORT).select("_unique_id", "c_custkey")
+
+
+@query(
+    "s14_zone_statistics",
+    f"""{with_layers('points')} SELECT CAST(c_nationkey % 5 AS INTEGER) AS part, count(*) AS n_rows, min(x) AS minx, min(y) AS miny,
+max(x) AS maxx, max(y) AS maxy FROM points GROUP BY ALL""",
+)
+def s14_zone_statistics(spark, sf_dir):
+    """Rows and boxes of folders, from the footers of their files, without reading a row."""
+    target = scratch_path(spark, "by part")
+    rows = point_layer(spark, sf_dir).withColumn("part", (F.col("c_nationkey") % 5).cast("int"))
+    rows.write.partitionBy("part").parquet(target)
+    stats = zone.zone_statistics(zone.zone_map(spark, target, scratch_path(spark, "zones")))
+    part = F.regexp_extract("__file_path", r"part=(\d+)/", 1).cast("int").alias("part")
+    return stats.groupBy(part).agg(
+        F.sum("n_rows").alias("n_rows"),
+        *[F.min(c).alias(c) for c in ("minx", "miny")],
+        *[F.max(c).alias(c) for c in ("maxx", "maxy")],
+    )
