@@ -8,11 +8,12 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 from math import factorial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -28,37 +29,49 @@ CAPITALS = re.compile(r"[A-Z]")
 #: Documents of a shard, and bytes of their texts, whichever comes first.
 SHARD_DOCS = 2048
 SHARD_BYTES = 16 << 20
-#: Words of a part of the dictionary, which is numbered in one task.
-PART_WORDS = 100_000
+#: Documents for each part of the dictionary, whose words are numbered in one task; and parts at most.
+PART_DOCS = 1024
+MOST_PARTS = 4096
 
-SHARDS = "shard long, doc_ids array<long>, parts array<string>, digests array<binary>, flags array<int>, indptr array<int>, indices array<int>, counts array<int>, words array<binary>"
-ROWS = "shard long, doc_id long, part string, digest binary, mask int, n_words long, n_distinct long"
+SHARDS = "shard long, doc_ids array<long>, langs array<string>, digests binary, flags binary, indptr binary, indices binary, counts binary, slots binary, words array<binary>"
+ROWS = "doc_id long, part string, digest binary, mask int, n_words long, n_distinct long"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 AUDIT = "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
-def _shards(docs: DataFrame) -> DataFrame:
+def _shards(docs: DataFrame, parts: int) -> DataFrame:
     """``SHARDS``: a CSR block of documents by the words of the shard, which are listed once.
 
-    Document k has the entries from ``indptr[k]`` to ``indptr[k + 1]``: places in ``words`` and how
-    often the word occurs. ``flags`` has the bits of filters that need no words.
+    Document k has the entries from ``indptr[k]`` to ``indptr[k + 1]``: numbers of words and how
+    often the word occurs. ``words`` has the words of each part of the dictionary, with a blank
+    between two, and ``slots`` their numbers in that order. ``flags`` has the bits of filters that
+    need no words. Numbers are little-endian in 32 bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 33
-        ids, parts, digests, flags, indptr, indices, counts, words = [], [], [], [], [0], [], [], {}
+        ids, langs, digests, flags, indptr, indices, counts, words = [], [], [], [], [0], [], [], {}
         n_bytes = 0
 
         def close() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.binary(), *[pa.int32()] * 4, pa.binary()]
-            lists = [ids, parts, digests, flags, indptr, indices, counts, list(words)]
+            dealt = [[] for _ in range(parts)]
+            for word in words:
+                dealt[crc32(word) % parts].append(word)
+            slots = [words[w] for some in dealt for w in some]
+            numbers = [np.array(x, "<i4").tobytes() for x in (flags, indptr, indices, counts, slots)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard]), *(pa.array([x], pa.list_(k)) for x, k in zip(lists, kinds, strict=True))],
+                [
+                    pa.array([shard]),
+                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([langs], pa.list_(pa.string())),
+                    *(pa.array([x], pa.binary()) for x in (b"".join(digests), *numbers)),
+                    pa.array([[b" ".join(some) for some in dealt]], pa.list_(pa.binary())),
+                ],
                 names=[c.split()[0] for c in SHARDS.split(", ")],
             )
 
         for batch in cuts(batches):
-            for doc, part, text in zip(
+            for doc, lang, text in zip(
                 batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), texts(batch), strict=True
             ):
                 raw = text.encode()
@@ -69,12 +82,12 @@ def _shards(docs: DataFrame) -> DataFrame:
                 capitals = 100 * len(CAPITALS.findall(text)) > MAX_CAPITALS * len(text)
                 flags.append(4 * capitals + 8 * bool(SYMBOLS.search(text)))
                 ids.append(doc)
-                parts.append(part)
+                langs.append(lang)
                 digests.append(hashlib.sha256(raw).digest())
                 n_bytes += len(raw)
                 if len(ids) >= SHARD_DOCS or n_bytes >= SHARD_BYTES:
                     yield close()
-                    ids, parts, digests, flags, indptr, indices, counts, words = [], [], [], [], [0], [], [], {}
+                    ids, langs, digests, flags, indptr, indices, counts, words = [], [], [], [], [0], [], [], {}
                     n_bytes, shard = 0, shard + 1
         if ids:
             yield close()
@@ -82,61 +95,91 @@ def _shards(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SHARDS)
 
 
-def dictionary(words: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
-    """``(word, code)`` for each distinct ``words(word)``, numbered from 0 without gaps.
+def _coded(shards: DataFrame, parts: int) -> DataFrame:
+    """``(shard, codes)``: the dictionary's codes of the shard's words, part after part.
 
-    Words are dealt by hash to parts of about ``part_words``, numbered within each, and shifted by
-    the sizes of the parts before, of which there is one row each.
+    The dictionary is dealt by a hash of the word. A task numbers the words of a part in the order
+    in which shards ask for them; a shard asks once for each of its words, all of a part together,
+    however many documents hold them. Codes of part k are k, k + ``parts``, k + 2 ``parts`` and so on.
     """
-    distinct = materialise(words.select("word").distinct(), "words")
-    parts = max(1, -(-distinct.count() // part_words))
-    dealt = distinct.withColumn("deal", F.pmod(F.xxhash64("word"), F.lit(parts)))
-    sizes = dealt.groupBy("deal").agg(F.count("*").alias("n"))
-    before = Window.orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    inside = F.row_number().over(Window.partitionBy("deal").orderBy("word"))
-    numbered = dealt.withColumn("inside", inside).join(F.broadcast(shifts), "deal")
-    return numbered.select("word", (F.col("shift") + F.col("inside") - 1).alias("code"))
-
-
-def _coded(shards: DataFrame) -> DataFrame:
-    """``(shard, codes)``: the dictionary's numbers of the shard's words, in their order.
-
-    A shard asks for each of its words once, however many documents hold it, so a word that is in
-    all documents has one row a shard.
-    """
-    listed = shards.select("shard", F.posexplode("words").alias("at", "word"))
-    codes = materialise(dictionary(listed), "dictionary")
-    pairs = listed.join(codes, "word").groupBy("shard").agg(
-        F.array_sort(F.collect_list(F.struct("at", "code"))).alias("pairs")  # words of one shard
+    asked = shards.select("shard", F.posexplode("words").alias("part", "words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = {}, None
+        for batch in batches:
+            out = []
+            for part, words in zip(batch.column("part").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if part != current:
+                    held, current = {}, part
+                found = np.array([held.setdefault(w, len(held)) for w in words.split()], "<i8")
+                out.append((found * parts + part).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("shard"), batch.column("part"), pa.array(out, pa.binary())],
+                names=["shard", "part", "codes"],
+            )
+
+    dealt = asked.repartition("part").sortWithinPartitions("part")
+    codes = dealt.mapInArrow(run, "shard long, part int, codes binary")
+    pairs = codes.groupBy("shard").agg(
+        F.array_sort(F.collect_list(F.struct("part", "codes"))).alias("pairs")  # words of one shard
     )
-    return pairs.select("shard", F.col("pairs.code").alias("codes"))
+    return pairs.select("shard", F.col("pairs.codes").alias("codes"))
+
+
+MATRIX = "shard long, doc_ids array<long>, langs array<string>, digests binary, flags binary, indptr binary, columns binary, counts binary"
+
+
+def matrix(docs: DataFrame) -> DataFrame:
+    """``MATRIX``: the document-term matrix of ``docs(doc_id, text, part)`` as CSR shards.
+
+    ``columns`` are codes of a dictionary over all documents, little-endian in 64 bits.
+    """
+    rows = docs.count()
+    parts = min(max(1 << max(rows // PART_DOCS, 1).bit_length(), 16), MOST_PARTS)
+    shards = materialise(_shards(docs, parts), "shards")
+    codes = materialise(_coded(shards, parts), "codes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = []
+            for k in range(batch.num_rows):
+                found = np.frombuffer(b"".join(batch.column("codes")[k].as_py()), "<i8")
+                slots, indices = (np.frombuffer(batch.column(c)[k].as_py(), "<i4") for c in ("slots", "indices"))
+                own = np.empty(len(found), np.int64)
+                own[slots] = found
+                columns.append(own[indices].tobytes())
+            kept = [batch.column(c.split()[0]) for c in MATRIX.split(", ") if c != "columns binary"]
+            kept.insert(6, pa.array(columns, pa.binary()))
+            yield pa.RecordBatch.from_arrays(kept, names=[c.split()[0] for c in MATRIX.split(", ")])
+
+    return shards.drop("words").join(codes, "shard").mapInArrow(run, MATRIX)
 
 
 def _judged(matrix: DataFrame) -> DataFrame:
-    """``ROWS``: row sums and numbers of distinct columns decide the filters over words."""
+    """``ROWS``: row sums and numbers of nonzero columns decide the filters over words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                indptr, indices, counts, flags, codes = (
-                    np.asarray(batch.column(c)[k].values) if batch.column(c)[k].is_valid else np.empty(0, np.int64)
-                    for c in ("indptr", "indices", "counts", "flags", "codes")
+                indptr, counts, flags, columns = (
+                    np.frombuffer(batch.column(c)[k].as_py(), kind)
+                    for c, kind in (("indptr", "<i4"), ("counts", "<i4"), ("flags", "<i4"), ("columns", "<i8"))
                 )
-                columns = codes[indices]
                 sums = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
                 n_words = sums[indptr[1:]] - sums[indptr[:-1]]
-                # A row's entries are in distinct columns if no code comes twice in it.
-                row = np.repeat(np.arange(len(flags)), np.diff(indptr))
+                # An entry whose column the row has already is no further one.
+                n = len(flags)
+                row = np.repeat(np.arange(n), np.diff(indptr))
                 order = np.lexsort((columns, row))
                 again = (np.diff(columns[order]) == 0) & (np.diff(row[order]) == 0)
-                distinct = np.diff(indptr) - np.bincount(row[order][1:][again], minlength=len(flags))
+                distinct = np.diff(indptr) - np.bincount(row[order][1:][again], minlength=n)
                 mask = flags + (n_words < MIN_WORDS) + 2 * (100 * distinct < MIN_DISTINCT * n_words)
-                n = len(flags)
+                digests = batch.column("digests")[k].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n, batch.column("shard")[k].as_py())),
-                        *(batch.column(c)[k].values for c in ("doc_ids", "parts", "digests")),
+                        batch.column("doc_ids")[k].values,
+                        batch.column("langs")[k].values,
+                        pa.array([digests[d : d + 32] for d in range(0, 32 * n, 32)], pa.binary()),
                         pa.array(mask.astype(np.int32)),
                         pa.array(n_words.astype(np.int64)),
                         pa.array(distinct.astype(np.int64)),
@@ -154,7 +197,7 @@ def document_flags(docs: DataFrame) -> DataFrame:
     is an empty one.
 
     1. Tasks write CSR shards of their documents over the words of the shard.
-    2. All shards' words make one dictionary, and its numbers replace the shards' own.
+    2. All shards' words make one dictionary, and its codes replace the shards' own numbers.
     3. Row sums give the words, distinct columns the distinct words of a document.
     4. Copies fail by the smallest id of their text, found by SHA-256 of the bytes. A row with a null
        id is no copy of another, and no other row of it; rows of the smallest id itself don't fail.
@@ -164,10 +207,7 @@ def document_flags(docs: DataFrame) -> DataFrame:
         F.col("text").cast("string"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
     )
-    shards = materialise(_shards(rows), "shards")
-    codes = materialise(_coded(shards), "codes")
-    matrix = shards.drop("words").join(codes, "shard", "left")
-    judged = materialise(_judged(matrix), "judged")
+    judged = materialise(_judged(matrix(rows)), "judged")
     # Only texts that two rows have can decide; sums are written before they are joined.
     least = materialise(
         judged.groupBy("digest")

@@ -1,7 +1,9 @@
 import random
 import re
+from collections import Counter
 from itertools import permutations
 
+import numpy as np
 import pytest
 
 from geoquarry.llm import filter_audit
@@ -82,12 +84,27 @@ def test_audit_equals_brute_force(spark, make, monkeypatch, shard):
     assert sorted(rows_of(found)) == sorted(plain_audit(docs, labels))
 
 
-@pytest.mark.parametrize("part_words", [100_000, 7])
-def test_dictionary_has_no_gaps(spark, part_words):
-    words = [(f"w{k % 50}".encode(),) for k in range(300)] + [(b"\xff\xfe",), (b"",)]
-    found = rows_of(filter_audit.dictionary(spark.createDataFrame(words, "word binary"), part_words))
-    assert sorted(code for _, code in found) == list(range(52))
-    assert {bytes(w) for w, _ in found} == {w for (w,) in words}
+def test_matrix_has_one_code_a_word(make, monkeypatch):
+    """Shards of different tasks give a word the same code, and no other word has it."""
+    monkeypatch.setattr(filter_audit, "SHARD_DOCS", 7)
+    chance = random.Random(1)
+    rows = [(k, " ".join(f"w{chance.randint(0, 60)}" for _ in range(k % 40)), "x") for k in range(90)]
+    docs = make(rows, "doc_id long, text string, part string").repartition(4)
+    texts, codes, cells = {k: t for k, t, _ in rows}, {}, {}
+    for r in filter_audit.matrix(docs).collect():
+        indptr, counts = (np.frombuffer(r[c], "<i4") for c in ("indptr", "counts"))
+        columns = np.frombuffer(r["columns"], "<i8")
+        for k, doc in enumerate(r["doc_ids"]):
+            for c, n in zip(columns[indptr[k] : indptr[k + 1]].tolist(), counts[indptr[k] : indptr[k + 1]].tolist()):
+                cells[doc, c] = n
+    for doc, text in texts.items():
+        words = Counter(text.split())
+        mine = {c: n for (d, c), n in cells.items() if d == doc}
+        assert sorted(mine.values()) == sorted(words.values())
+        for c in mine:
+            codes[c] = codes.get(c, set(words)) & set(words)
+    assert len(codes) == len({w for t in texts.values() for w in t.split()})
+    assert all(codes.values())
 
 
 def test_matrix_counts_words(make):
