@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path
 from .batches import cuts, texts
-from .token_text import Encoder
+from .token_text import CUT_BYTES, Encoder
 
 MAGIC = b"DACTOK1\n"
 #: Bits of a bitmap for each entry of its directory.
@@ -183,7 +183,7 @@ def write_tokens(
                 names=[c.split()[0] for c in MANIFEST.split(", ")],
             )
 
-        for batch in cuts(batches):
+        for batch in cuts(batches, limit=CUT_BYTES):
             for doc, ids in zip(
                 batch.column("doc_id").to_pylist(), encoder.encode(texts(batch)), strict=True
             ):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import cuts, texts
-from .token_text import CHUNK, OVERLAP, Encoder
+from .token_text import CHUNK, CUT_BYTES, OVERLAP, Encoder
 
 LIMIT = 2048
 
@@ -33,7 +33,7 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(vocabulary, boundary, chunk, overlap)
-        for batch in cuts(batches):
+        for batch in cuts(batches, limit=CUT_BYTES):
             whole = texts(batch)
             n_tokens = pa.array([len(ids) // 4 for ids in encoder.encode(whole)], pa.int64())
             n_bytes = pc.fill_null(pc.binary_length(batch.column("text")), 0)

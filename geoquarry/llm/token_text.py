@@ -6,14 +6,19 @@ import os
 import re
 import sys
 from array import array
+from itertools import filterfalse
 from types import ModuleType
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts of more characters are encoded in overlapping chunks of about this size.
 CHUNK = 32_768
 OVERLAP = 1_024
+#: Bytes of texts that are encoded together.
+CUT_BYTES = 4 << 20
 #: Distinct pieces a worker remembers: at most twice as many, the ones it met last.
 REMEMBERED = 250_000
 #: Pieces that are given to the tokenizer in one text.
@@ -33,12 +38,6 @@ MARKS = frozenset(".,;:!?")
 INNER = re.compile(
     r"(?<=[^\W\d_])(?=[.,;:!?]|\n[^\W\d_])|(?<=[.,;:!?])(?=\n[^\W\d_])|(?<=[^\s]\n)(?=[^\W\d_])"
 )
-#: Places in a piece where tokens part too: between a letter and a mark, and around a single line end
-#: between visible characters. (Two blanks in a row are one token or two by what follows.)
-MARKS = frozenset(".,;:!?")
-INNER = re.compile(
-    r"(?<=[^\W\d_])(?=[.,;:!?]|\n[^\W\d_])|(?<=[.,;:!?])(?=\n[^\W\d_])|(?<=[^\s]\n)(?=[^\W\d_])"
-)
 #: A space that is no stable boundary of the kind "leading".
 UNSTABLE = re.compile(r"(?:\A|[^!-~\w]) | (?:\Z|[^!-~\w])")
 
@@ -75,7 +74,13 @@ def load(path: str):
 
 
 def _parts(piece: str) -> list[str] | None:
-    """The parts of a piece by ``INNER``, where there is more than one."""
+    """The parts of a piece by ``INNER``, where there is more than one.
+
+    A tokenizer may compose characters and lower them first. Where that makes more or fewer of them a
+    letter may end in a mark, as U+0130 and U+0958 do, which joins what follows: no parts then.
+    """
+    if not piece.isascii() and len(normalize("NFC", piece).lower()) != len(piece):
+        return None
     if piece[-1:] in MARKS and piece[:-1].isalpha():
         return [piece[:-1], piece[-1]]
     parts = INNER.split(piece)
@@ -99,11 +104,15 @@ class Pieces(dict):
         self.blank_first[[k for t, k in vocabulary.items() if t.startswith("\u0120")]] = True
 
     def learn(self, pieces: set[str]) -> None:
-        new = self._new(pieces)
-        cut = [(p, parts) for p in new if not p.isalpha() and (parts := _parts(p))]
-        heads = new.difference([p for p, _ in cut])
-        heads.update(parts[0] for _, parts in cut)
-        tails = {t for _, parts in cut for t in parts[1:]}
+        heads, tails, cut = set(), set(), []
+        for piece in self._new(pieces):
+            parts = None if piece.isalpha() else _parts(piece)
+            if parts is None:
+                heads.add(piece)
+            else:
+                cut.append((piece, parts))
+                heads.add(parts[0])
+                tails.update(parts[1:])
         if self.inner is self:
             self._add(heads | tails)
         else:
@@ -117,7 +126,7 @@ class Pieces(dict):
 
     def _new(self, pieces: set[str]) -> set[str]:
         """Pieces that are not known; those of the last generation come back on the way."""
-        new = pieces - self.keys()
+        new = set(filterfalse(self.__contains__, pieces))
         known = new & self.last.keys()
         self.update(zip(known, map(self.last.__getitem__, known), strict=True))
         return new - known
@@ -192,30 +201,54 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [None if len(t) > self.chunk else self._pieces(t) for t in texts]
-        short = [p for p in parts if p is not None]
-        firsts, others = {p[0] for p in short}, set()
-        for p in short:
-            others.update(p[1:])
-        self.firsts.turn()
-        if self.others is self.firsts:
-            firsts |= others
-        else:
-            self.others.turn()
-            self.others.learn(others)
-        self.firsts.learn(firsts)
-        first, other = self.firsts.__getitem__, self.others.__getitem__
-        return [
-            self.spliced(t).astype("<u4").tobytes()
-            if p is None
-            else first(p[0]) + b"".join(map(other, p[1:]))
-            for t, p in zip(texts, parts, strict=True)
-        ]
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.leading and not _spaces_part_words(text):
-            return self.boundary.split(text)
-        return text.split(" ")
+        for pieces in {id(p): p for p in (self.firsts, self.others)}.values():
+            pieces.turn()
+        found: list[bytes] = [b""] * len(texts)
+        plain = []
+        for k, text in enumerate(texts):
+            if len(text) > self.chunk:
+                found[k] = self.spliced(text).astype("<u4").tobytes()
+            elif self.leading and not _spaces_part_words(text):
+                found[k] = self._joined(self.boundary.split(text))
+            else:
+                plain.append(k)
+        for k, ids in zip(plain, self._words([texts[k] for k in plain]), strict=True):
+            found[k] = ids
+        return found
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        self.others.learn(set(pieces[1:]))
+        self.firsts.learn({pieces[0]})
+        return self.firsts[pieces[0]] + b"".join(map(self.others.__getitem__, pieces[1:]))
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts in which every space is a boundary, word by word.
+
+        Each different word is looked up once, and the ids are gathered by place.
+        """
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        words, offsets = lists.flatten(), lists.offsets.to_numpy()
+        rest = np.ones(len(words), bool)
+        rest[offsets[:-1]] = False
+        firsts = words.take(pa.array(offsets[:-1])).to_pylist()
+        coded = words.filter(pa.array(rest)).dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.others.learn(set(names))
+        self.firsts.learn(set(firsts))
+        held = [*map(self.others.__getitem__, names), *map(self.firsts.__getitem__, firsts)]
+        which = np.empty(len(words), np.int64)
+        which[rest] = coded.indices.to_numpy()
+        which[~rest] = len(names) + np.arange(len(firsts))
+        sizes = np.array([len(h) // 4 for h in held])
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        places = np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(held), "<u4")[places]
+        cut = ends[offsets].tolist()
+        return [ids[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
 
     def _tokens(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and the places in the whole text (from, to) of the tokens of a chunk."""

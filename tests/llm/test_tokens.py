@@ -1,5 +1,6 @@
 import random
 import zlib
+from unicodedata import category
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,20 @@ def test_chunks_and_pieces_give_the_ids_of_the_whole(name, boundary):
     assert Encoder(path, boundary).encode(odd_texts()) == expected
 
 
+@pytest.mark.parametrize(("name", "boundary"), FILES)
+def test_every_letter_before_a_mark(name, boundary):
+    """All letters, digits and marks of Unicode, in shapes in which pieces are cut again."""
+    signs = [c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() or category(c)[0] == "M"]
+    shapes = ("x {}.", "{}!c\n{}d ok", "y {}e;f{}\ng")
+    path = public_tokenizers.path(name)
+    tokenizer, encoder = Tokenizer.from_file(path), Encoder(path, boundary)
+    for start in range(0, len(signs), 20_000):
+        texts = [s.format(*[c] * s.count("{}")) for c in signs[start : start + 20_000] for s in shapes]
+        whole = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        found = encoder.encode(texts)
+        assert [t for t, e, f in zip(texts, whole, found, strict=True) if np.array(e.ids, "<u4").tobytes() != f] == []
+
+
 def test_counts(spark, make):
     rows = [(k, t) for k, t in enumerate(odd_texts())] + [(1, None), (None, "a b"), (1, "a b"), (1, "a b")]
     found = rows_of(token_counts.count_tokens(make(rows), "word_bpe_49k.json", limit=100, chunk=500, overlap=50))
