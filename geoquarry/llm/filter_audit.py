@@ -27,8 +27,8 @@ MAX_CAPITALS = 3
 SYMBOLS = re.compile(r"[#$%&*|]")
 CAPITALS = re.compile(r"[A-Z]")
 #: Documents of a shard, and bytes of their texts, whichever comes first.
-SHARD_DOCS = 2048
-SHARD_BYTES = 16 << 20
+SHARD_DOCS = 1024
+SHARD_BYTES = 8 << 20
 #: Documents for each part of the dictionary, whose words are numbered in one task; and parts at most.
 PART_DOCS = 1024
 MOST_PARTS = 4096
@@ -129,41 +129,50 @@ def _coded(shards: DataFrame, parts: int) -> DataFrame:
 MATRIX = "shard long, doc_ids array<long>, langs array<string>, digests binary, flags binary, indptr binary, columns binary, counts binary"
 
 
+def _shards_with_codes(docs: DataFrame) -> DataFrame:
+    rows = docs.count()
+    parts = min(max(1 << max(rows // PART_DOCS, 1).bit_length(), 16), MOST_PARTS)
+    shards = materialise(_shards(docs, parts), "shards")
+    codes = materialise(_coded(shards, parts), "codes")
+    return shards.drop("words").join(codes, "shard")
+
+
+def _columns(row: dict) -> np.ndarray:
+    """The dictionary's code of each entry of a shard."""
+    found = np.frombuffer(b"".join(row["codes"]), "<i8")
+    slots, indices = (np.frombuffer(row[c], "<i4") for c in ("slots", "indices"))
+    own = np.empty(len(found), np.int64)
+    own[slots] = found
+    return own[indices]
+
+
 def matrix(docs: DataFrame) -> DataFrame:
     """``MATRIX``: the document-term matrix of ``docs(doc_id, text, part)`` as CSR shards.
 
     ``columns`` are codes of a dictionary over all documents, little-endian in 64 bits.
     """
-    rows = docs.count()
-    parts = min(max(1 << max(rows // PART_DOCS, 1).bit_length(), 16), MOST_PARTS)
-    shards = materialise(_shards(docs, parts), "shards")
-    codes = materialise(_coded(shards, parts), "codes")
+    names = [c.split()[0] for c in MATRIX.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = []
-            for k in range(batch.num_rows):
-                found = np.frombuffer(b"".join(batch.column("codes")[k].as_py()), "<i8")
-                slots, indices = (np.frombuffer(batch.column(c)[k].as_py(), "<i4") for c in ("slots", "indices"))
-                own = np.empty(len(found), np.int64)
-                own[slots] = found
-                columns.append(own[indices].tobytes())
-            kept = [batch.column(c.split()[0]) for c in MATRIX.split(", ") if c != "columns binary"]
-            kept.insert(6, pa.array(columns, pa.binary()))
-            yield pa.RecordBatch.from_arrays(kept, names=[c.split()[0] for c in MATRIX.split(", ")])
+            columns = [_columns(row).tobytes() for row in batch.select(["codes", "slots", "indices"]).to_pylist()]
+            kept = {"columns": pa.array(columns, pa.binary())}
+            yield pa.RecordBatch.from_arrays(
+                [kept[n] if n in kept else batch.column(n) for n in names], names=names
+            )
 
-    return shards.drop("words").join(codes, "shard").mapInArrow(run, MATRIX)
+    return _shards_with_codes(docs).mapInArrow(run, MATRIX)
 
 
-def _judged(matrix: DataFrame) -> DataFrame:
+def _judged(shards: DataFrame) -> DataFrame:
     """``ROWS``: row sums and numbers of nonzero columns decide the filters over words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                indptr, counts, flags, columns = (
-                    np.frombuffer(batch.column(c)[k].as_py(), kind)
-                    for c, kind in (("indptr", "<i4"), ("counts", "<i4"), ("flags", "<i4"), ("columns", "<i8"))
+                columns = _columns({c: batch.column(c)[k].as_py() for c in ("codes", "slots", "indices")})
+                indptr, counts, flags = (
+                    np.frombuffer(batch.column(c)[k].as_py(), "<i4") for c in ("indptr", "counts", "flags")
                 )
                 sums = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
                 n_words = sums[indptr[1:]] - sums[indptr[:-1]]
@@ -187,7 +196,7 @@ def _judged(matrix: DataFrame) -> DataFrame:
                     names=[c.split()[0] for c in ROWS.split(", ")],
                 )
 
-    return matrix.mapInArrow(run, ROWS)
+    return shards.mapInArrow(run, ROWS)
 
 
 def document_flags(docs: DataFrame) -> DataFrame:
@@ -207,7 +216,7 @@ def document_flags(docs: DataFrame) -> DataFrame:
         F.col("text").cast("string"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
     )
-    judged = materialise(_judged(matrix(rows)), "judged")
+    judged = materialise(_judged(_shards_with_codes(rows)), "judged")
     # Only texts that two rows have can decide; sums are written before they are joined.
     least = materialise(
         judged.groupBy("digest")
