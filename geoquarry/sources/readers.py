@@ -17,6 +17,7 @@ from ..model import BOUNDS_COLUMNS, FILE_PATH, GEOM_TYPE, GEOMETRY, ROW_INDEX, B
 from ..operators.prepare import prepare, without_geometry
 from ..operators.union import stack
 from .inventory import list_files
+from .positions import with_positions
 
 NOT_PARQUET = "not a parquet file"
 #: Files whose names a plan may hold; beyond that Spark merges the schemas itself.
@@ -29,7 +30,7 @@ FOOTER_SCHEMA = (
 )
 
 
-def _located(reader, path, positions: bool = True) -> DataFrame:
+def located(reader, path, positions: bool = True) -> DataFrame:
     df = reader.load(path)
     columns = {FILE_PATH: file_path(F.col("_metadata.file_path"))}
     if positions:
@@ -143,14 +144,14 @@ def read_parquet(spark: SparkSession, path) -> DataFrame:
     groups = _schema_groups(spark, path)
     reader = spark.read.format("parquet")
     if groups is None:
-        return _located(reader.option("mergeSchema", False), path)
+        return located(reader.option("mergeSchema", False), path)
     readable = {g["columns"]: g["names"] for g in groups if g["error"] is None}
     unread = [g for g in groups if g["error"] not in (None, NOT_PARQUET)]
     # A damaged footer, or a store that only Spark reads: Spark merges, or tells.
     if unread or sum(map(len, readable.values())) > MAX_NAMES:
-        return _located(reader.option("mergeSchema", True), path)
+        return located(reader.option("mergeSchema", True), path)
     if len(groups) <= 1 or not readable:
-        return _located(reader.option("mergeSchema", False), path)
+        return located(reader.option("mergeSchema", False), path)
     return read_groups(spark, readable, path)
 
 
@@ -159,7 +160,7 @@ def read_groups(spark: SparkSession, groups: dict[str, list[str]], path) -> Data
     reader = spark.read.format("parquet").option("mergeSchema", False)
     if isinstance(path, str) and any("=" in n[len(path) :] for names in groups.values() for n in names):
         reader = reader.option("basePath", path)
-    return stack([_located(reader, sorted(groups[g])) for g in sorted(groups)])
+    return stack([located(reader, sorted(groups[g])) for g in sorted(groups)])
 
 
 def row_slice(df: DataFrame, rows: int, batch: int) -> DataFrame:
@@ -167,8 +168,12 @@ def row_slice(df: DataFrame, rows: int, batch: int) -> DataFrame:
     return df.filter(F.col(ROW_INDEX).between(rows * batch, rows * (batch + 1) - 1))
 
 
-def read_table(spark: SparkSession, path: str, schema=None, **options) -> DataFrame:
-    """A table without geometry by its suffix: csv, json, orc, xml, txt, parquet."""
+def read_table(spark: SparkSession, path: str, schema=None, positions: bool = False, **options) -> DataFrame:
+    """A table without geometry by its suffix: csv, json, orc, xml, txt, parquet.
+
+    With ``positions`` rows of text files get their position in the file too, at the cost of a pass
+    that counts (``with_positions``).
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     formats = {"csv": "csv", "json": "json", "jsonl": "json", "orc": "orc", "xml": "xml", "txt": "text", "parquet": "parquet"}
     if suffix not in formats:
@@ -178,7 +183,12 @@ def read_table(spark: SparkSession, path: str, schema=None, **options) -> DataFr
         reader = reader.option("header", True).option("inferSchema", schema is None)
     if schema is not None:
         reader = reader.schema(schema)
-    return without_geometry(_located(reader.options(**options), path, suffix == "parquet"))
+    reader = reader.options(**options)
+    if suffix == "parquet":
+        return without_geometry(located(reader, path))
+    if positions:
+        return without_geometry(with_positions(reader.load(path)))
+    return without_geometry(located(reader, path, suffix == "orc"))
 
 
 _POSITION = "array<double>"
@@ -215,12 +225,18 @@ def geojson_geometry(kind: Column, coordinates: Column) -> Column:
 
 
 def read_geojson(
-    spark: SparkSession, path: str, properties: T.StructType | str, crs=4326, lines: bool = False
+    spark: SparkSession,
+    path: str,
+    properties: T.StructType | str,
+    crs=4326,
+    lines: bool = False,
+    positions: bool = False,
 ) -> DataFrame:
     """GeoJSON as a prepared layer, properties as columns.
 
     A feature collection is one JSON document, which only one task can parse; ``lines`` reads
-    one feature per line and scales with the file.
+    one feature per line and scales with the file. With ``positions`` features get their position in
+    the file: the place in the collection, or among the lines.
     """
     if isinstance(properties, str):
         properties = T.StructType.fromDDL(properties)
@@ -232,11 +248,16 @@ def read_geojson(
     )
     schema = feature if lines else T.StructType([T.StructField("features", T.ArrayType(feature))])
     reader = spark.read.format("json").schema(schema).option("multiLine", not lines)
-    rows = _located(reader, path, positions=False)
+    place = [ROW_INDEX] if positions else []
+    if lines and positions:
+        rows = with_positions(reader.load(path))
+    else:
+        rows = located(reader, path, positions=False)
     if not lines:
-        rows = rows.select(F.explode("features").alias("f"), FILE_PATH).select("f.*", FILE_PATH)
+        rows = rows.select(F.posexplode("features").alias(ROW_INDEX, "f"), FILE_PATH)
+        rows = rows.select("f.*", FILE_PATH, F.col(ROW_INDEX).cast("long").alias(ROW_INDEX))
     geom = geojson_geometry(F.col("geometry.type"), F.col("geometry.coordinates"))
-    flat = rows.select(geom.alias(GEOMETRY), "properties.*", FILE_PATH)
+    flat = rows.select(geom.alias(GEOMETRY), "properties.*", FILE_PATH, *place)
     return prepare(flat, crs=None if str(crs) == "4326" else crs)
 
 

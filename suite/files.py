@@ -6,12 +6,12 @@ from geoquarry.functions import geometry as geo
 from geoquarry.functions.crs import reproject_xy
 from geoquarry.functions.text import match_terms
 from geoquarry.functions.wkb import to_wkb
-from geoquarry.operators.prepare import with_hash_ids
+from geoquarry.operators.prepare import with_hash_ids, with_split_index, with_unique_id
 from geoquarry.operators.profile import file_statistics
 from geoquarry.session import scratch_path
-from geoquarry.sources import zones as zone
+from geoquarry.sources import geoparquet, readers, sinks
 from geoquarry.sources import inventory as op
-from geoquarry.sources import readers, sinks
+from geoquarry.sources import zones as zone
 from geoquarry.streaming import ingest
 
 from .base import VIEWPORT, layer, point_layer, query, table, with_layers
@@ -284,3 +284,59 @@ def s14_zone_statistics(spark, sf_dir):
         *[F.min(c).alias(c) for c in ("minx", "miny")],
         *[F.max(c).alias(c) for c in ("maxx", "maxy")],
     )
+
+
+NUMBERED = """WITH numbered AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events)"""
+
+
+def _sorted_events(spark, sf_dir):
+    """Events in one text file's order."""
+    return table(spark, sf_dir, "events").select("event_id", "event_type").repartition(1).sortWithinPartitions("event_id")
+
+
+@query(
+    "p9_split_csv",
+    f"{NUMBERED} SELECT event_id, concat('events ', CAST(n + 1 AS VARCHAR)) AS split_index FROM numbered",
+)
+def p9_split_csv(spark, sf_dir):
+    """Running counts along a CSV file that several tasks read."""
+    target = scratch_path(spark, "csv") + ".csv"
+    _sorted_events(spark, sf_dir).write.option("header", True).csv(target)
+    rows = readers.read_table(spark, target, "event_id long, event_type string", positions=True)
+    named = rows.withColumn("__file_path", F.concat(F.lit(target), F.lit("/events.csv")))
+    return with_split_index(named).select("event_id", "split_index")
+
+
+@query(
+    "p6_ids_geojson",
+    f"{NUMBERED} SELECT event_id, concat('0.', CAST(n AS VARCHAR)) AS _unique_id FROM numbered",
+)
+def p6_ids_geojson(spark, sf_dir):
+    """File and row number as ids of features, one to a line."""
+    target = scratch_path(spark, "features") + ".geojson"
+    point = F.lit('{"type": "Feature", "geometry": {"type": "Point", "coordinates": [10.5, 60.25]}, "properties": {"event_id": ')
+    _sorted_events(spark, sf_dir).select(F.concat(point, F.col("event_id").cast("string"), F.lit("}}"))).write.text(target)
+    rows = readers.read_geojson(spark, target, "event_id long", lines=True, positions=True)
+    return with_unique_id(rows).select("event_id", "_unique_id")
+
+
+@query(
+    "s8_geoparquet_layer",
+    f"""{with_layers('points')} SELECT c_custkey, round(x, 6) AS minx, round(y, 6) AS maxy, CAST(0 AS DOUBLE) AS area,
+CASE WHEN c_nationkey = 7 THEN c_acctbal END AS extra_7 FROM points""",
+)
+def s8_geoparquet_layer(spark, sf_dir):
+    """Two folders of files in two CRSs under differing column names, each file by its footer."""
+    target = scratch_path(spark, "geo")
+    rows = layer(spark, sf_dir, "points").select("c_custkey", "c_nationkey", "x", "y", F.col("c_acctbal").alias("extra"))
+    metric = reproject_xy(rows.selectExpr("*", "x AS mx", "y AS my"), "mx", "my", 4326, 25832)
+    for part in (0, 1, 7):
+        mine = (F.col("c_nationkey") == 7) if part == 7 else (F.col("c_nationkey") != 7) & (F.col("c_nationkey") % 2 == part)
+        x, y, name, crs = ("mx", "my", "shape", "EPSG:25832") if part == 1 else ("x", "y", "geometry", "EPSG:4326")
+        wkb = to_wkb(geo.point(F.col(x), F.col(y))).alias(name)
+        extra = [F.col("extra").alias("extra_7")] if part == 7 else []
+        geoparquet.write_geoparquet(metric.filter(mine).select("c_custkey", *extra, wkb), target, crs, name)
+    found = geoparquet.read_geoparquet(spark, target)
+    return found.select(
+        "c_custkey", F.round("minx", 6).alias("minx"), F.round("maxy", 6).alias("maxy"), "area", "extra_7"
+    )
