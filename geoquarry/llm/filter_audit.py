@@ -39,13 +39,24 @@ COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lo
 AUDIT = "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
+def _packed(values, kind: str = "<i4") -> bytes:
+    """Numbers byte by byte, all lowest bytes first: the upper ones are alike, so they compress."""
+    size = np.dtype(kind).itemsize
+    return np.array(values, kind).view(np.uint8).reshape(-1, size).T.tobytes()
+
+
+def _unpacked(raw: bytes, kind: str = "<i4") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
+
+
 def _shards(docs: DataFrame, parts: int) -> DataFrame:
     """``SHARDS``: a CSR block of documents by the words of the shard, which are listed once.
 
     Document k has the entries from ``indptr[k]`` to ``indptr[k + 1]``: numbers of words and how
     often the word occurs. ``words`` has the words of each part of the dictionary, with a blank
     between two, and ``slots`` their numbers in that order. ``flags`` has the bits of filters that
-    need no words. Numbers are little-endian in 32 bits.
+    need no words. Numbers have 32 bits and are ``_packed``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +69,7 @@ def _shards(docs: DataFrame, parts: int) -> DataFrame:
             for word in words:
                 dealt[crc32(word) % parts].append(word)
             slots = [words[w] for some in dealt for w in some]
-            numbers = [np.array(x, "<i4").tobytes() for x in (flags, indptr, indices, counts, slots)]
+            numbers = [_packed(x) for x in (flags, indptr, indices, counts, slots)]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([shard]),
@@ -112,7 +123,7 @@ def _coded(shards: DataFrame, parts: int) -> DataFrame:
                 if part != current:
                     held, current = {}, part
                 found = np.array([held.setdefault(w, len(held)) for w in words.split()], "<i8")
-                out.append((found * parts + part).tobytes())
+                out.append(_packed(found * parts + part, "<i8"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("shard"), batch.column("part"), pa.array(out, pa.binary())],
                 names=["shard", "part", "codes"],
@@ -139,8 +150,8 @@ def _shards_with_codes(docs: DataFrame) -> DataFrame:
 
 def _columns(row: dict) -> np.ndarray:
     """The dictionary's code of each entry of a shard."""
-    found = np.frombuffer(b"".join(row["codes"]), "<i8")
-    slots, indices = (np.frombuffer(row[c], "<i4") for c in ("slots", "indices"))
+    found = np.concatenate([_unpacked(c, "<i8") for c in row["codes"]])
+    slots, indices = (_unpacked(row[c]) for c in ("slots", "indices"))
     own = np.empty(len(found), np.int64)
     own[slots] = found
     return own[indices]
@@ -149,7 +160,8 @@ def _columns(row: dict) -> np.ndarray:
 def matrix(docs: DataFrame) -> DataFrame:
     """``MATRIX``: the document-term matrix of ``docs(doc_id, text, part)`` as CSR shards.
 
-    ``columns`` are codes of a dictionary over all documents, little-endian in 64 bits.
+    ``columns`` are codes of a dictionary over all documents, little-endian in 64 bits, the other
+    numbers in 32.
     """
     names = [c.split()[0] for c in MATRIX.split(", ")]
 
@@ -157,6 +169,8 @@ def matrix(docs: DataFrame) -> DataFrame:
         for batch in batches:
             columns = [_columns(row).tobytes() for row in batch.select(["codes", "slots", "indices"]).to_pylist()]
             kept = {"columns": pa.array(columns, pa.binary())}
+            for c in ("flags", "indptr", "counts"):
+                kept[c] = pa.array([_unpacked(x).tobytes() for x in batch.column(c).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [kept[n] if n in kept else batch.column(n) for n in names], names=names
             )
@@ -172,7 +186,7 @@ def _judged(shards: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 columns = _columns({c: batch.column(c)[k].as_py() for c in ("codes", "slots", "indices")})
                 indptr, counts, flags = (
-                    np.frombuffer(batch.column(c)[k].as_py(), "<i4") for c in ("indptr", "counts", "flags")
+                    _unpacked(batch.column(c)[k].as_py()) for c in ("indptr", "counts", "flags")
                 )
                 sums = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
                 n_words = sums[indptr[1:]] - sums[indptr[:-1]]
