@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -13,9 +14,13 @@ from pyspark.sql import types as T
 from ..functions import colors
 from ..model import is_missing, without_nan
 from ..session import materialise
-from .relational import bucketize, quantiles
+from .relational import bucketize
 
 MAX_BINS = 1000
+#: Bins of :func:`value_bins` for a factor of e, 128 for a factor of two; their numbers start beyond
+#: those of the smallest double.
+BINS_PER_LOG = 128 / math.log(2)
+BIN_OFFSET = 1 << 18
 CLASS, COLOR = "_class", "_color"
 LEGEND_SCHEMA = "class_idx int, lower double, upper double, label string, color string"
 
@@ -144,44 +149,94 @@ def _refine(values: DataFrame, bins: _Bins, cut: np.ndarray, parts: int, shift:
     return _concat(bins.take(~cut), found.take(cut[owner]))
 
 
+def value_bins(df: DataFrame, column: str) -> DataFrame:
+    """Sums of a column by bins that depend on the value alone, so summaries add up.
+
+    ``(bin, anchor, n, low, high, s, q)``: 128 bins an octave on either side of zero; ``s`` and ``q``
+    are sums of the distance to the anchor and of its square. Missing and infinite values are in no
+    bin. Tables of several files or rounds are stacked and merged by :func:`merge_bins`.
+    """
+    values = df.select(without_nan(df, column).cast("double").alias("v")).filter(
+        F.abs("v") < float("inf")
+    )
+    v, number = F.col("v"), F.col("bin")
+    size = F.floor(F.ln(F.abs(v)) * BINS_PER_LOG).cast("int") + BIN_OFFSET
+    binned = values.withColumn("bin", F.when(v == 0, 0).when(v > 0, size).otherwise(-size))
+    edge = F.signum(number) * F.exp((F.abs(number) - BIN_OFFSET) / BINS_PER_LOG)
+    placed = binned.withColumn("anchor", F.when(number == 0, 0.0).otherwise(edge))
+    away = v - F.col("anchor")
+    return placed.groupBy("bin").agg(
+        F.min("anchor").alias("anchor"),
+        F.count(F.lit(1)).alias("n"),
+        F.min(v).alias("low"),
+        F.max(v).alias("high"),
+        F.sum(away).alias("s"),
+        F.sum(away * away).alias("q"),
+    )
+
+
+def merge_bins(summaries: DataFrame, *by: str) -> DataFrame:
+    """One row per bin (and ``by``) of stacked summaries."""
+    return summaries.groupBy(*by, "bin").agg(
+        F.min("anchor").alias("anchor"),
+        F.sum("n").alias("n"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.sum("s").alias("s"),
+        F.sum("q").alias("q"),
+    )
+
+
+def _from_summary(summary: DataFrame, max_bins: int) -> tuple[_Bins, float]:
+    """Bins relative to their mean, neighbours joined until there are ``max_bins`` about.
+
+    All doubles together have fewer than 540,000 bins, so the table that reaches the driver is bounded.
+    """
+    rows = summary.toPandas().sort_values("low")
+    anchor, n, low, high, s, q = (
+        rows[c].to_numpy(dtype=float) for c in ("anchor", "n", "low", "high", "s", "q")
+    )
+    if not len(n):
+        return _Bins(low, high, n, s, q, n), 0.0
+    shift = float((s + n * anchor).sum() / n.sum())
+    off = anchor - shift
+    bins = _Bins(low, high, n, s + n * off, q + 2 * off * s + n * off * off, np.ones(len(n)))
+    if len(n) > max_bins:
+        part = np.floor((np.cumsum(n) - n) * max_bins / n.sum())
+        bins = bins.merge(np.flatnonzero(np.append(True, part[1:] != part[:-1])))
+        bins.open = np.ones(len(bins))
+    return bins, shift
+
+
 def natural_breaks(
     df: DataFrame, column: str, k: int = 5, max_bins: int = MAX_BINS, write_values: bool = False
 ) -> list[float]:
     """Jenks natural breaks: smallest value and the top of each of ``k`` classes.
 
-    Few distinct values are counted and solved as they are. Otherwise Spark sums the column in
-    at most a few thousand bins, bins no optimal break can cut are set aside, the others are
-    split and summed again, until the breaks are exact. Only the bin sums reach the driver.
-    With at most ``k`` distinct values the breaks are these values. The column is read a few
-    times: ``write_values`` writes it to the scratch folder first, for tables that are costly to
-    compute.
+    One pass sums the column in bins (see :func:`value_bins`); bins no optimal break can cut are set
+    aside, the others are split and summed again, until the breaks are exact. Only the bin sums reach
+    the driver. With at most ``k`` distinct values the breaks are these values. ``write_values``
+    writes the column to the scratch folder first, for tables that are costly to compute.
+    """
+    if write_values:
+        df = materialise(df.select(without_nan(df, column).alias("v")), "values")
+        column = "v"
+    return breaks_from_bins(value_bins(df, column), df, column, k, max_bins)
+
+
+def breaks_from_bins(
+    summary: DataFrame, df: DataFrame, column: str, k: int = 5, max_bins: int = MAX_BINS
+) -> list[float]:
+    """Natural breaks of a column whose summary is known already.
+
+    ``df`` is read only for the bins that a break may cut, in their range of values.
     """
+    bins, shift = _from_summary(summary, max_bins)
+    if not len(bins):
+        return []
     values = df.select(without_nan(df, column).cast("double").alias("v")).filter(
         F.abs("v") < float("inf")  # infinite values fall into the outer classes
     )
-    if write_values:
-        values = materialise(values, "values")
-    first = values.agg(
-        F.count("v").alias("n"),
-        F.avg("v").alias("mean"),
-        F.approx_count_distinct("v").alias("distinct"),
-        quantiles("v", max_bins // 2).alias("edges"),
-    ).first()
-    if not first["n"]:
-        return []
-    shift = float(first["mean"])
-    bins = None
-    if first["distinct"] <= max_bins:
-        counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).limit(max_bins + 1).toPandas()
-        if len(counts) <= max_bins:
-            counts = counts.sort_values("v")
-            v, n = counts["v"].to_numpy(float), counts["n"].to_numpy(float)
-            bins = _Bins(v, v, n, (v - shift) * n, (v - shift) ** 2 * n, np.ones(len(v)))
-            if len(v) <= k:
-                return v.tolist()
-    if bins is None:
-        bucketed = bucketize(values, "v", sorted(set(first["edges"])), "bucket")
-        bins = _collect_bins(bucketed, "bucket", shift)
     while True:
         cut, borders = _open_places(bins, k)
         if not cut.any():

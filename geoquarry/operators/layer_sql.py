@@ -41,7 +41,8 @@ def run_sql(
 
     A result that keeps the row id keeps the hidden columns too: they are added to the select
     list, or joined back by id where the query does not allow that. ``keep_ids`` adds the id
-    itself to a flat select list.
+    itself to a flat select list. A joined layer without rows is an error; its first row is looked for
+    while the plan is made.
     """
     from .filters import QueryError
 
@@ -51,7 +52,10 @@ def run_sql(
     bound = {"df": df}
     for name in layers or {}:
         if name != "df" and reads_table(text, name):
-            bound[name] = _attributes(layers[name], df, text, name)
+            other = layers[name]
+            if other.isEmpty():
+                raise QueryError(f"Layer {name!r} has no rows to join")
+            bound[name] = _attributes(other, df, text, name)
     if keep_ids:
         text = _with_hidden_columns(df, text)
     result = _bind(df, text, bound)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -18,18 +20,45 @@ RASTER = "raster_id"
 RGB_BANDS = ("B4", "B3", "B2")
 
 
+#: Share of a pixel by which the gaps of an axis may differ: rounding of coordinates.
+UNEVEN = 1e-3
+
+
 class RasterError(ValueError):
     """A raster that cannot be drawn as asked."""
 
 
+def axis(pixels: DataFrame, name: str, by: Sequence[str] = (RASTER,)) -> DataFrame:
+    """``(*by, at, number)``: the pixel centres along an axis of each raster, from 0 upward.
+
+    Equal centres are combined before the shuffle, so an axis of n pixels costs n rows a task. Write
+    the table when it is used more than once.
+    """
+    places = pixels.filter(F.col(name).isNotNull()).select(*by, F.col(name).alias("at")).distinct()
+    order = Window.partitionBy(*by).orderBy("at")
+    return places.withColumn("number", F.row_number().over(order) - 1)
+
+
+def _axis_size(pixels: DataFrame, name: str, by: Sequence[str]) -> DataFrame:
+    """First, last and number of centres along an axis, and its least and largest gap."""
+    order = Window.partitionBy(*by).orderBy("number")
+    gap = F.col("at") - F.lag("at").over(order)
+    return axis(pixels, name, by).withColumn("gap", gap).groupBy(*by).agg(
+        F.min("at").alias(f"{name}0"), F.max("at").alias(f"{name}1"), F.count("at").alias(f"n{name}"),
+        F.min("gap").alias(f"least_{name}"), F.max("gap").alias(f"largest_{name}"),
+    )
+
+
 def raster_bounds(pixels: DataFrame, by: Sequence[str] = (RASTER,)) -> DataFrame:
     """Resolution and bounds of each raster, half a pixel beyond the outer pixel centres.
 
-    Rasters of one row or column, or with unlike resolutions, raise an error.
+    Rasters of one row or column, with unlike resolutions, or with pixels that lie unevenly along an
+    axis (by more than ``UNEVEN`` of a pixel) raise an error.
     """
-    raw = pixels.groupBy(*by).agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.count_distinct("x").alias("nx"),
-        F.min("y").alias("y0"), F.max("y").alias("y1"), F.count_distinct("y").alias("ny"),
+    x, y = (_axis_size(pixels, name, by) for name in ("x", "y"))
+    same = [x[c].eqNullSafe(y[c]) for c in by]
+    raw = x.join(y, reduce(and_, same)).select(
+        *[x[c] for c in by], *[c for c in x.columns + y.columns if c not in by]
     )
     step_x = (F.col("x1") - F.col("x0")) / F.nullif(F.col("nx") - 1, F.lit(0))
     step_y = (F.col("y1") - F.col("y0")) / F.nullif(F.col("ny") - 1, F.lit(0))
@@ -38,8 +67,13 @@ def raster_bounds(pixels: DataFrame, by: Sequence[str] = (RASTER,)) -> DataFrame
     unlike = F.raise_error(
         F.concat(F.lit("x and y resolution differ: "), F.col("rx").cast("string"), F.lit(", "), F.col("ry").cast("string"))
     )
+    uneven = F.raise_error(F.lit("Pixels lie unevenly along an axis"))
+    spread = [
+        F.col(f"largest_{a}") - F.col(f"least_{a}") > UNEVEN * F.col(f"r{a}") for a in ("x", "y")
+    ]
     resolution = (
         F.when(F.col("rx").isNull() | F.col("ry").isNull(), single.cast("double"))
+        .when(spread[0] | spread[1], uneven.cast("double"))
         .when(F.col("rx") != F.col("ry"), unlike.cast("double"))
         .otherwise(F.col("rx"))
     )

@@ -9,12 +9,13 @@ from geoquarry.functions.wkb import to_wkb
 from geoquarry.operators.prepare import with_hash_ids, with_split_index, with_unique_id
 from geoquarry.operators.profile import file_statistics
 from geoquarry.session import scratch_path
-from geoquarry.sources import geoparquet, readers, sinks
+from geoquarry.sources import geoparquet, listing, readers, sinks
 from geoquarry.sources import inventory as op
 from geoquarry.sources import zones as zone
-from geoquarry.streaming import ingest
+from geoquarry.streaming import ingest, state
 
 from .base import VIEWPORT, layer, point_layer, query, table, with_layers
+from .classes import BEST3, _sums
 
 LISTING = with_layers("listing")
 
@@ -128,6 +129,53 @@ def s1_list_files(spark, sf_dir):
     return files.select(F.regexp_extract("name", r"(nation=\d+)/[^/]*$", 1).alias("directory"), "type").distinct()
 
 
+@query(
+    "s1_one_level",
+    """SELECT concat('/nation=', CAST(c_nationkey AS VARCHAR)) AS entry, 'directory' AS type, 0 AS size, TRUE AS untimed, TRUE AS same_below
+FROM customer GROUP BY ALL""",
+)
+def s1_one_level(spark, sf_dir):
+    """The folders of one level; below them sizes and times are those of the recursive listing."""
+    target = scratch_path(spark, "level")
+    points = layer(spark, sf_dir, "points").withColumnRenamed("c_nationkey", "nation")
+    points.write.partitionBy("nation").parquet(target)
+    level = listing.list_level(spark, target)
+    key = [F.regexp_replace("name", "/[^/]*$", "").alias("folder"), "name", "size", "updated"]
+    below = listing.list_folders(level.filter("type = 'directory'")).select(*key, F.lit(True).alias("below"))
+    whole = op.list_files(spark, target).select(*key)
+    both = below.join(whole, ["folder", "name", "size", "updated"], "full")
+    alike = both.groupBy("folder").agg(
+        (F.count("below") == F.count(F.lit(1))).alias("all_listed"), F.count("below").alias("n_below")
+    )
+    n_whole = whole.groupBy("folder").agg(F.count(F.lit(1)).alias("n_whole"))
+    found = level.join(alike.join(n_whole, "folder"), level["name"] == F.col("folder"), "left")
+    return found.select(
+        F.concat(F.lit("/"), F.element_at(F.split("name", "/"), -1)).alias("entry"),
+        "type",
+        "size",
+        F.col("updated").isNull().alias("untimed"),
+        (F.col("all_listed") & (F.col("n_below") == F.col("n_whole"))).alias("same_below"),
+    )
+
+
+@query(
+    "s13_incremental_breaks",
+    f"""{with_layers('dirty')}, {_sums('dirty', 'v')}, {BEST3}
+SELECT CAST(0 AS BIGINT) AS idx, lo AS value FROM ends UNION ALL SELECT 1, b1 FROM best UNION ALL SELECT 2, b2 FROM best
+UNION ALL SELECT 3, b3 FROM best""",
+)
+def s13_incremental_breaks(spark, sf_dir):
+    """Breaks of a layer whose files come in two visits, from the summaries of its rounds."""
+    source, target, checkpoint = (scratch_path(spark, n) for n in ("in", "grown", "check"))
+    rows = layer(spark, sf_dir, "dirty").select("c_custkey", "v")
+    for odd in (0, 1):
+        rows.filter(F.col("c_custkey") % 2 == odd).repartition(2).write.mode("append").parquet(source)
+        stream = ingest.stream_files(spark, source, rows.schema, max_files=1)
+        state.ingest_with_state(stream, target, checkpoint, ["v"])
+    breaks = state.LayerState(spark, target).breaks("v", 3, max_bins=128)
+    return spark.createDataFrame(list(enumerate(breaks)), "idx long, value double")
+
+
 @query(
     "s2_match_terms",
     """SELECT doc_id FROM documents WHERE (contains(lower(text), 'data') OR contains(lower(text), 'the'))

@@ -23,6 +23,15 @@ def f1_viewport(spark, sf_dir):
     return found.select("_unique_id", "c_custkey", "x", "y")
 
 
+@query("f8_empty_query", f"{POINTS} SELECT * FROM points")
+def f8_empty_query(spark, sf_dir):
+    """Queries without any text leave a layer as it is, one after the other."""
+    found = layer(spark, sf_dir, "points")
+    for nothing in (None, "", "  "):
+        found = op.apply_query(found, nothing)
+    return found
+
+
 @query("f8_failed_query", f"{POINTS} SELECT _unique_id, TRUE AS has_message FROM points")
 def f8_failed_query(spark, sf_dir):
     """A query that names a column the layer lacks leaves the layer as it is."""
