@@ -93,12 +93,17 @@ class Index:
         self.names = list(templates)
         words, _, _, rows = word_hashes(pa.array(list(templates.values()), pa.string()))
         grams, whole = gram_hashes(words, rows, SHINGLE)
-        self.shingles, self.classes = [], defaultdict(lambda: defaultdict(list))
+        self.shingles, self.order = [], []
+        self.classes = defaultdict(lambda: defaultdict(list))
         for k, (first, last) in enumerate(zip(rows[:-1], rows[1:], strict=True)):
             own = np.unique(grams[first:last][whole[first:last]])
             if not len(own):
                 raise ValueError(f"template {self.names[k]} has fewer than {SHINGLE} words")
             self.shingles.append(own)
+            places = defaultdict(list)
+            for at, gram in enumerate(grams[first:last][whole[first:last]].tolist()):
+                places[gram].append(at)
+            self.order.append(places)
             size = 1 << int(last - first - 1).bit_length()
             for band, value in enumerate(signature(own).tolist()):
                 self.classes[size][band, value].append(k)
@@ -112,48 +117,85 @@ class Index:
         """
         return np.unique(np.concatenate((at // size, at // size - 1)).clip(0))
 
-    def matches(self, grams: np.ndarray, hits: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """Containment, first and last shingle of each template that a text holds."""
-        found: dict[int, tuple[float, int, int]] = {}
+    def matches(self, grams: np.ndarray, hits: np.ndarray) -> list[tuple[int, float, int, int]]:
+        """Template, containment, first and last shingle of each place of a text."""
+        found = []
         for size, bands in self.classes.items():
+            verified = defaultdict(list)
             for window in self.windows(hits, size).tolist():
                 start, end = window * size, (window + 2) * size
                 held = np.unique(grams[start:end])
                 if not len(held):
                     continue
                 values = enumerate(signature(held).tolist())
-                candidates = {k for pair in values for k in bands.get(pair, ())}
-                for k in candidates:
-                    share = np.isin(self.shingles[k], held).mean()
-                    if share >= MIN_CONTAINMENT and share > found.get(k, (0.0,))[0]:
-                        inside = hits[(hits >= start) & (hits < end)]
-                        inside = inside[np.isin(grams[inside], self.shingles[k])]
-                        found[k] = (float(share), int(inside[0]), int(inside[-1]))
+                for k in {k for pair in values for k in bands.get(pair, ())}:
+                    if np.isin(self.shingles[k], held).mean() >= MIN_CONTAINMENT:
+                        verified[k].append((start, end))
+            for k, spans in verified.items():
+                found += self._places(k, grams, hits, spans, 2 * size)
         return self._best(found)
 
-    @staticmethod
-    def _best(found: dict[int, tuple[float, int, int]]) -> dict[int, tuple[float, int, int]]:
-        """Of templates in overlapping places the one with the best containment, then the longest."""
-        order = sorted(found.items(), key=lambda m: (-m[1][0], m[1][1] - m[1][2], m[0]))
-        kept: dict[int, tuple[float, int, int]] = {}
-        for k, (share, a, b) in order:
-            if all(b < c or a > d for _, c, d in kept.values()):
-                kept[k] = (share, a, b)
-        return kept
+    def _places(self, k, grams, hits, spans, reach) -> list[tuple[int, float, int, int]]:
+        """Places of a template in the windows that hold it.
+
+        A copy is a stretch of shingles in the template's order, a window long at most. A window
+        without such a stretch, where parts are in another order, is a place as a whole.
+        """
+        near = np.unique(np.concatenate([hits[(hits >= a) & (hits < b)] for a, b in spans]))
+        near = near[np.isin(grams[near], self.shingles[k])].tolist()
+        order, runs, last = self.order[k], [], -1
+        for at in near:
+            places = order[int(grams[at])]
+            later = next((t for t in places if t > last), None)
+            if later is None or not runs or at - runs[-1][0] >= reach:
+                runs.append([])
+                later = places[0]
+            runs[-1].append(at)
+            last = later
+        found = []
+        for whole in (False, True):
+            if whole:
+                free = [s for s in spans if all(b < s[0] or a >= s[1] for _, _, a, b in found)]
+                runs = [[at for at in near if a <= at < b] for a, b in free]
+            for run in runs:
+                share = len(set(grams[run].tolist())) / len(self.shingles[k])
+                if share >= MIN_CONTAINMENT:
+                    found.append((k, share, run[0], run[-1]))
+        return found
+
+    def _best(self, found: list[tuple[int, float, int, int]]) -> list[tuple[int, float, int, int]]:
+        """Places that stay where some overlap.
+
+        One inside a place of a longer template goes, whatever its containment; of others the better
+        containment stays, then the longer place, then the earlier template.
+        """
+
+        def nested(one) -> bool:
+            k, _, a, b = one
+            return any(
+                c <= a and b <= d and len(self.shingles[j]) > len(self.shingles[k]) for j, _, c, d in found
+            )
+
+        order = sorted(set(found), key=lambda m: (nested(m), -m[1], m[2] - m[3], m[0], m[2]))
+        kept: list[tuple[int, float, int, int]] = []
+        for one in order:
+            if all(one[3] < c or one[2] > d for _, _, c, d in kept):
+                kept.append(one)
+        return sorted(kept, key=lambda m: (m[2], m[0]))
 
 
 MATCHES = "doc_id long, license string, containment double, start long, end long"
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """``(doc_id, license, containment, start, end)`` for each template a document holds.
+    """``(doc_id, license, containment, start, end)`` for each place of a template in a document.
 
     ``docs(doc_id, text)``. Templates fall into classes by length; windows of two class lengths,
     overlapping by half, are looked up by MinHash bands, and a template counts when at least 0.8 of
     its distinct 5-word shingles are in the window. Words are runs of letters and digits in lower
-    case. Start and end are bytes of the lower-case text, around the shingles in the window with the
-    best containment, the first of these on ties. Of templates in overlapping places the one with
-    the best containment counts, then the longest. Null and empty texts hold none; equal rows give equal rows. No shuffle.
+    case. Start and end are bytes of the lower-case text, around the shingles of the place. A template
+    inside a longer one that counts is not named; of other templates in overlapping places the one with
+    the better containment is. Null and empty texts hold none; equal rows give equal rows. No shuffle.
     """
     templates = TEMPLATES if templates is None else templates
 
@@ -168,7 +210,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
             for row in np.unique(row_of).tolist():
                 first, last = rows[row], max(rows[row], rows[row + 1] - SHINGLE + 1)
                 mine = hits[row_of == row] - first
-                for k, (share, a, b) in sorted(index.matches(grams[first:last], mine).items()):
+                for k, share, a, b in index.matches(grams[first:last], mine):
                     span = int(starts[first + a]), int(ends[first + b + SHINGLE - 1])
                     out.append((row, index.names[k], share, *span))
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())

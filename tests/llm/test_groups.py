@@ -291,6 +291,46 @@ def test_licenses(make):
     assert license_scan.band_odds() > 0.9999
 
 
+def test_every_place_of_a_license(make):
+    chance = random.Random(8)
+    templates = license_scan.TEMPLATES
+    header, short, mit, text = (templates[n] for n in ("Apache-2.0-header", "Apache-2.0", "MIT", "MIT-text"))
+    edited = header.replace("governing", "ruling").replace("compliance", "accordance")
+    gap = filler(chance, 60)
+    half = text.split(" including ")
+    rows = [
+        (0, f"{gap} {edited} {gap}"),
+        (1, f"{mit} {gap} {mit}"),
+        (2, f"{mit} {mit}\n{mit}"),
+        (3, f"{edited}\n{gap}\n{short}"),
+        (4, f"{short} {gap} {edited}"),
+        (5, f"{gap} including {half[1]} {half[0]} {gap}"),
+        (6, f"{edited} {header}"),
+        (7, f"{mit} {header} {mit}"),
+    ]
+    found = {}
+    for doc, name, share, start, end in sorted(rows_of(license_scan.scan_licenses(make(rows))), key=lambda r: (r[0], r[3])):
+        assert 0.8 <= share <= 1.0 and start < end
+        found.setdefault(doc, []).append(name)
+    assert found == {
+        0: ["Apache-2.0-header"],
+        1: ["MIT", "MIT"],
+        2: ["MIT", "MIT", "MIT"],
+        3: ["Apache-2.0-header", "Apache-2.0"],
+        4: ["Apache-2.0", "Apache-2.0-header"],
+        5: ["MIT-text"],
+        6: ["Apache-2.0-header", "Apache-2.0-header"],
+        7: ["MIT", "Apache-2.0-header", "MIT"],
+    }
+
+
+def test_template_that_repeats_itself(make):
+    template = "one two three four five six one two three four five seven eight nine"
+    rows = [(1, f"a b c {template} d e f {template}"), (2, "one two three four five " * 3)]
+    found = rows_of(license_scan.scan_licenses(make(rows), {"own": template}))
+    assert [(r[0], r[1], r[2]) for r in found] == [(1, "own", 1.0), (1, "own", 1.0)]
+
+
 def test_given_licenses(spark, sf):
     docs = pd.read_parquet(f"{sf}/documents.parquet")
     found = suite.op2_license_scan(spark, sf).toPandas()
