@@ -30,6 +30,8 @@ CONTEXT = re.compile(
 )
 #: Decimal digits of the guesses from which a value is a secret.
 MIN_GUESSES = 9.0
+#: The same for values of small or of capital letters alone, so that ordinary words stay out.
+MIN_LETTER_GUESSES = 14.0
 #: Digits for each further segment: a guesser must also try how segments are put together.
 PER_SEGMENT = 0.5
 PER_CHARACTER = 1.0
@@ -49,13 +51,17 @@ WORDS = (
     " your here please insert enter"
 ).split()
 RANK = {w: math.log10(k + 2) for k, w in enumerate(dict.fromkeys(WORDS))}
-LONGEST = max(map(len, RANK))
 LEET = str.maketrans("430157@$!", "aeoistasi")
-YEAR = re.compile(r"(?:19|20)[0-9]{2}")
-DATE = re.compile(
-    r"(?:[0-9]{1,2}([-/.]?)[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}([-/.]?)[01][0-9]\2[0-3][0-9])"
-)
-REPEAT = re.compile(r"(.{1,32}?)\1+", re.DOTALL)
+YEAR = re.compile(r"(?=((?:19|20)[0-9]{2}))")
+#: Dates by the digits of day and month, then year first; looked for from every start.
+DATES = [
+    re.compile(rf"(?=([0-9]{{{d}}}([-/.]?)[0-9]{{{m}}}\2(?:19|20)[0-9]{{2}}))") for d in (1, 2) for m in (1, 2)
+] + [re.compile(r"(?=((?:19|20)[0-9]{2}([-/.]?)[01][0-9]\2[0-3][0-9]))")]
+LONGEST_UNIT = 32
+#: Parts of a long walk or run of repeats begin in its first and end in its last characters, as many as
+#: another segment can share with it: words and dates are shorter, and two runs of units up to 32
+#: that share more are one run.
+EDGE = 64
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 PLACES = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
 
@@ -71,49 +77,74 @@ def _step(a: str, b: str) -> tuple[int, int] | None:
     return None
 
 
+def _parts(start: int, end: int, least: int, step: int = 1) -> Iterator[tuple[int, int]]:
+    """Parts of ``start`` to ``end``, ``least`` long at least and a multiple of ``step``; see ``EDGE``."""
+    for a in range(start, min(start + EDGE, end - least + 1)):
+        first = max(least, (end - a - EDGE) // step * step)
+        for size in range(-(-first // step) * step, end - a + 1, step):
+            yield a, a + size
+
+
 def _walks(value: str) -> Iterator[tuple[int, int, float]]:
     """Walks over keys or along the alphabet of three characters or more; start, end, digits."""
-    start, turns, last = 0, 0, None
     steps = [_step(a, b) for a, b in zip(value, value[1:], strict=False)] + [None]
+    turns = [0]
+    for one, other in zip(steps, steps[1:], strict=False):
+        turns.append(turns[-1] + (one != other))
+    start = 0
     for at, step in enumerate(steps):
         if step is None:
-            if at + 1 - start >= 3:
-                yield start, at + 1, math.log10(94 * (at + 1 - start)) + turns * math.log10(7)
-            start, turns, last = at + 1, 0, None
-        else:
-            turns += last is not None and step != last
-            last = step
+            for a, b in _parts(start, at + 1, 3):
+                yield a, b, math.log10(94 * (b - a)) + (turns[b - 2] - turns[a]) * math.log10(7)
+            start = at + 1
+
 
+def _repeats(value: str) -> Iterator[tuple[int, int, str]]:
+    """Repeats of a unit, three characters or more in all; start, end, unit."""
+    n = len(value)
+    for size in range(1, min(LONGEST_UNIT, n // 2) + 1):
+        start = 0
+        for at in range(n - size + 1):
+            if at == n - size or value[at] != value[at + size]:
+                if at - start >= size:
+                    for a, b in _parts(start, at + size, max(2 * size, 3), size):
+                        yield a, b, value[a : a + size]
+                start = at + 1
 
-def guess_digits(value: str) -> float:
+
+def guess_digits(value: str, rank: dict[str, float] | None = None) -> float:
     """Decimal logarithm of the guesses for the cheapest segmentation of a value.
 
-    Segments are dictionary words (also in capitals or with digits for letters), dates, repeats of
-    what comes before, keyboard or alphabet walks, and spans of brute force at ten guesses a
+    Segments are words of ``rank`` (also in capitals or with digits for letters), dates, repeats of a
+    unit, keyboard or alphabet walks, all from every start, and spans of brute force at ten guesses a
     character; each further segment costs ``PER_SEGMENT``. A running minimum over the characters,
     with one state for being inside a brute-force span.
     """
+    return _cost(value, RANK if rank is None else rank, {})
+
+
+def _cost(value: str, rank: dict[str, float], units: dict[str, float]) -> float:
+    longest = max(map(len, rank), default=0)
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     arcs: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for start in range(n):
-        for end in range(start + 2, min(start + LONGEST, n) + 1):
+        for end in range(start + 2, min(start + longest, n) + 1):
             for text, extra in ((low, 0.0), (plain, 0.5)):
-                if (cost := RANK.get(text[start:end])) is not None:
+                if (cost := rank.get(text[start:end])) is not None:
                     capital = value[start:end] != low[start:end]
                     arcs[end].append((start, cost + extra + 0.3 * capital))
     for found in YEAR.finditer(value):
-        arcs[found.end()].append((found.start(), math.log10(200)))
-    for found in DATE.finditer(value):
-        marks = 0.6 * bool(found[1] or found[2])
-        arcs[found.end()].append((found.start(), math.log10(366 * 200) + marks))
+        arcs[found.end(1)].append((found.start(), math.log10(200)))
+    for pattern in DATES:
+        for found in pattern.finditer(value):
+            arcs[found.end(1)].append((found.start(), math.log10(366 * 200) + 0.6 * bool(found[2])))
     for start, end, cost in _walks(low):
         arcs[end].append((start, cost + 0.3 * (value[start:end] != low[start:end])))
-    for found in REPEAT.finditer(value):
-        unit = found[1]
-        times = len(found[0]) // len(unit)
-        if len(found[0]) >= 3:
-            arcs[found.end()].append((found.start(), guess_digits(unit) + math.log10(times)))
+    for start, end, unit in _repeats(value):
+        if unit not in units:
+            units[unit] = _cost(unit, rank, units)
+        arcs[end].append((start, units[unit] + math.log10((end - start) // len(unit))))
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
     for end in range(1, n + 1):
         joined = lambda start: best[start] + PER_SEGMENT * (start > 0)
@@ -140,8 +171,10 @@ def find_spans(text: str, min_guesses: float = MIN_GUESSES) -> list[tuple[str, i
         found += [("assign", *m.span(), 0.0) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".:)]}")
-            if len(value) >= 6 and _classes(value) >= 2:
-                if (digits := guess_digits(value)) >= min_guesses:
+            if len(value) >= 6:
+                letters = value.isascii() and value.isalpha() and _classes(value) == 1
+                least = max(min_guesses, MIN_LETTER_GUESSES) if letters else min_guesses
+                if (digits := guess_digits(value)) >= least:
                     found.append(("guess", m.start(1), m.start(1) + len(value), digits))
     if "AKIA" in text:
         found += [("access", *m.span(), 0.0) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
@@ -157,8 +190,8 @@ def scan_secrets(docs: DataFrame, min_guesses: float = MIN_GUESSES) -> DataFrame
 
     ``spans`` holds structs (kind, start, end, digits) in code points, end exclusive, ordered by
     start, then kind: assignments, access keys and long hexadecimal runs by pattern, and as
-    ``guess`` the values after a credential word with two kinds of characters at least and
-    ``10 ** min_guesses`` guesses or more. Null and empty texts have none. Rows are scanned alone,
+    ``guess`` the values after a credential word with ``10 ** min_guesses`` guesses or more
+    (``10 ** MIN_LETTER_GUESSES`` for letters of one case alone). Null and empty texts have none. Rows are scanned alone,
     so repeated rows, ties and null ids change nothing. No shuffle.
     """
     kind = pa.list_(

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 import pandas as pd
@@ -187,22 +188,69 @@ def test_guess_cost_knows_patterns(weak, strong):
     assert secret_scan.guess_digits(weak) < secret_scan.guess_digits(strong)
 
 
-@pytest.mark.parametrize("value", ["", "x", "sunlove", "xxlovexx", "k1love99z", "dogcatdog", "qlovesunw"])
+def plain_cost(value):
+    """Least cost over every way to cut a value, each part by the definition of the segments."""
+
+    def walk(part):
+        low = part.lower()
+        steps = [secret_scan._step(a, b) for a, b in itertools.pairwise(low)]
+        if len(part) >= 3 and None not in steps:
+            turns = sum(a != b for a, b in itertools.pairwise(steps))
+            yield math.log10(94 * len(part)) + turns * math.log10(7) + 0.3 * (part != low)
+
+    def costs(part):
+        low = part.lower()
+        yield float(len(part))
+        for text, extra in ((low, 0.0), (low.translate(secret_scan.LEET), 0.5)):
+            if text in secret_scan.RANK:
+                yield secret_scan.RANK[text] + extra + 0.3 * (part != low)
+        yield from walk(part)
+        if re.fullmatch("(?:19|20)[0-9]{2}", part):
+            yield math.log10(200)
+        for date in (r"[0-9]{1,2}([-/.]?)[0-9]{1,2}\1(?:19|20)[0-9]{2}", r"(?:19|20)[0-9]{2}([-/.]?)[01][0-9]\1[0-3][0-9]"):
+            if found := re.fullmatch(date, part):
+                yield math.log10(366 * 200) + 0.6 * bool(found[1])
+        for size in range(1, len(part) // 2 + 1):
+            times = len(part) // size
+            if len(part) >= 3 and part == part[:size] * times:
+                yield plain_cost(part[:size]) + math.log10(times)
+
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        best.append(min(best[k] + 0.5 * (k > 0) + c for k in range(end) for c in costs(value[k:end])))
+    return best[-1]
+
+
+ODD_VALUES = [
+    "", "x", "sunlove", "xxlovexx", "k1love99z", "dogcatdog", "qlovesunw", "aaaaapple", "abcabcabcd", "12051987x",
+    "1.2.2001", "x19991999", "200112011", "aaqwertyy", "Passwordpass", "ababab1212", "8392017465830", "P4ssp4ss",
+]
+
+
+@pytest.mark.parametrize("value", ODD_VALUES)
 def test_cost_is_the_least_of_all_segmentations(value):
-    """Words and brute force alone, over every way to cut the value."""
-    n = len(value)
-
-    def cost(part):
-        ways = [float(len(part))]
-        if part in secret_scan.RANK:
-            ways.append(secret_scan.RANK[part])
-        return min(ways)
-
-    best = 0.0 if not n else math.inf
-    for cuts in itertools.product([0, 1], repeat=max(0, n - 1)):
-        edges = [0, *(k + 1 for k, c in enumerate(cuts) if c), n]
-        parts = [value[a:b] for a, b in itertools.pairwise(edges)]
-        best = min(best, sum(map(cost, parts)) + 0.5 * (len(parts) - 1))
-    assert secret_scan.guess_digits(value) <= best + 1e-9
-    if not any(True for _ in secret_scan._walks(value)) and not secret_scan.REPEAT.search(value):
-        assert secret_scan.guess_digits(value) == pytest.approx(best)
+    assert secret_scan.guess_digits(value) == pytest.approx(plain_cost(value))
+
+
+def test_cost_of_random_values_is_the_least():
+    chance = random.Random(3)
+    for letters in ("ab", "a12", "129.0", "qwe1", "sunL0ve"):
+        for _ in range(60):
+            value = "".join(chance.choice(letters) for _ in range(chance.randrange(2, 11)))
+            assert secret_scan.guess_digits(value) == pytest.approx(plain_cost(value)), value
+
+
+def test_values_of_one_class_are_scored():
+    text = "pwd: qhzmwkxvtrbplnys\npwd: 83920174658302\nlogin: somewhere\nlogin: 12345678901234\nauth=lovelovelovelove"
+    found = [text[s:e] for k, s, e, _ in secret_scan.find_spans(text) if k == "guess"]
+    assert found == ["qhzmwkxvtrbplnys", "83920174658302"]
+
+
+def test_own_dictionary():
+    assert secret_scan.guess_digits("zebracrossing", {"zebra": 1.0, "crossing": 2.0}) == pytest.approx(3.5)
+    assert secret_scan.guess_digits("zebra", {}) == 5.0
+
+
+@pytest.mark.parametrize("value", ["a" * 20000, "ab1" * 7000, "1234567890" * 2000])
+def test_long_repeats_stay_cheap(value):
+    assert secret_scan.guess_digits(value) < 12
