@@ -26,6 +26,8 @@ BLOCK_WORDS = 4_000_000
 LANES = 512
 #: Places of seeds that are followed at once.
 PLACES = 500_000
+#: Words of passages that are judged at once.
+WORTH_WORDS = 200_000
 
 
 @dataclass
@@ -39,6 +41,24 @@ class Block:
     gram_part: np.ndarray
     gram_at: np.ndarray
     members: np.ndarray  # hashes of (part, word), sorted
+    vocabulary: np.ndarray  # hashes of words, sorted
+
+    def holds(self, name: str, keys: np.ndarray) -> np.ndarray:
+        """Which keys occur in one of the sorted arrays."""
+        own = getattr(self, name)
+        if not len(own):
+            return np.zeros(len(keys), bool)
+        # A table of the upper bits, made at the first use, answers for nearly all keys without a search.
+        bits = np.uint64(64 - 22)
+        tables = self.__dict__.setdefault("tables", {})
+        if name not in tables:
+            tables[name] = np.zeros(1 << 22, bool)
+            tables[name][(own >> bits).astype(np.int64)] = True
+        maybe = np.flatnonzero(tables[name][(keys >> bits).astype(np.int64)])
+        at = np.minimum(np.searchsorted(own, keys[maybe]), len(own) - 1)
+        found = np.zeros(len(keys), bool)
+        found[maybe[own[at] == keys[maybe]]] = True
+        return found
 
 
 def _parts(items: DataFrame) -> DataFrame:
@@ -73,7 +93,7 @@ def _block(rows: list) -> Block:
     words = [np.array(r["words"], np.int64).view(np.uint64) for r in rows]
     starts = np.cumsum([0, *map(len, words)])
     flat = np.concatenate(words) if words else np.empty(0, np.uint64)
-    # A part of fewer words than a seed is a seed of its own length.
+    # A part of fewer words than a seed has none.
     grams, whole = gram_hashes(flat, starts, SEED_WORDS)
     at = np.flatnonzero(whole)
     part = np.searchsorted(starts, at, side="right") - 1
@@ -81,7 +101,14 @@ def _block(rows: list) -> Block:
     at, part = at[order], part[order]
     members = np.unique(_members(np.repeat(np.arange(len(rows)), np.diff(starts)), flat))
     return Block(
-        flat, starts, [r["item_id"] for r in rows], grams[at], part, at - starts[:-1][part], members
+        flat,
+        starts,
+        [r["item_id"] for r in rows],
+        grams[at],
+        part,
+        at - starts[:-1][part],
+        members,
+        np.unique(flat),
     )
 
 
@@ -90,21 +117,6 @@ def _members(parts: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(words + mix(parts.astype(np.uint64)))
 
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which keys occur among the sorted ones."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), bool)
-    # A table of the upper bits answers for nearly all keys without a search.
-    bits = np.uint64(64 - 22)
-    table = np.zeros(1 << 22, bool)
-    table[(sorted_keys >> bits).astype(np.int64)] = True
-    maybe = np.flatnonzero(table[(keys >> bits).astype(np.int64)])
-    at = np.minimum(np.searchsorted(sorted_keys, keys[maybe]), len(sorted_keys) - 1)
-    found = np.zeros(len(keys), bool)
-    found[maybe[sorted_keys[at] == keys[maybe]]] = True
-    return found
-
-
 def align(parts: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     """Smith-Waterman of each part with its passage, all side by side.
 
@@ -148,7 +160,7 @@ def _passages(
     block: Block, grams: np.ndarray, whole: np.ndarray, rows: np.ndarray, min_share: float = MIN_SHARE
 ) -> Iterator[np.ndarray]:
     """(row, part, first word, last word) of the stretches of a batch to be aligned."""
-    hits = np.flatnonzero(whole)[_find(block.grams, grams[whole])]
+    hits = np.flatnonzero(whole)[block.holds("grams", grams[whole])]
     if not len(hits):
         return
     low = np.searchsorted(block.grams, grams[hits], side="left")
@@ -169,17 +181,31 @@ def _stretches(block: Block, hits, low, times, rows, min_share: float) -> np.nda
     slack = np.floor(MATCH * (1 - min_share) * size / -GAP + 1e-6).astype(np.int64)
     first = np.maximum(at - block.gram_at[seed] - slack, rows[row])
     last = np.minimum(at - block.gram_at[seed] + size + slack, rows[row + 1])
-    # Passages of one part that begin within its size of each other are one, up to four times it.
+    # Passages of one part that meet are one, up to four times its size. Passages that begin earlier
+    # end earlier, so the stretch of each is that from its first begin to its last end.
     order = np.lexsort((first, part, row))
-    row, part, first, last, size = (a[order] for a in (row, part, first, last, size))
-    found, open_ = [], None
-    for r, p, f, e, s in zip(*(a.tolist() for a in (row, part, first, last, size)), strict=True):
-        if open_ and open_[0] == r and open_[1] == p and f < open_[3] and e - open_[2] <= 4 * s + 16:
-            open_[3] = max(open_[3], e)
-        elif not (open_ and open_[:2] == [r, p] and e <= open_[3]):
-            open_ = [r, p, f, e]
-            found.append(open_)
-    return np.array(found, np.int64).reshape(-1, 4)
+    row, part, first, last, size, slack = (a[order] for a in (row, part, first, last, size, slack))
+    apart = np.ones(len(row), bool)
+    apart[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1]) | (first[1:] >= last[:-1])
+    begin = first[np.maximum.accumulate(np.where(apart, np.arange(len(row)), 0))]
+    block_at = (first - begin) // np.maximum(3 * size - 2 * slack + 16, 1)
+    apart[1:] |= block_at[1:] != block_at[:-1]
+    starts = np.flatnonzero(apart)
+    ends = np.maximum.reduceat(last, starts) if len(starts) else last
+    return np.stack([row[starts], part[starts], first[starts], ends], axis=1)
+
+
+def _keep(block: Block, words: np.ndarray, spots: np.ndarray, min_share: float) -> np.ndarray:
+    """The passages worth aligning, short ones first; judged some words at a time."""
+    known = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(block.holds("vocabulary", words), out=known[1:])
+    least = min_share * np.diff(block.starts)[spots[:, 1]] - 1e-6
+    spots = spots[known[spots[:, 3]] - known[spots[:, 2]] >= least]
+    spots = spots[np.argsort(spots[:, 3] - spots[:, 2], kind="stable")]
+    cut = np.cumsum(spots[:, 3] - spots[:, 2]) // WORTH_WORDS
+    edges = np.flatnonzero(np.diff(cut)) + 1
+    some = [s[_worth(block, words, s, min_share)] for s in np.split(spots, edges) if len(s)]
+    return np.concatenate(some) if some else spots
 
 
 def _worth(block: Block, words: np.ndarray, spots: np.ndarray, min_share: float) -> np.ndarray:
@@ -187,7 +213,7 @@ def _worth(block: Block, words: np.ndarray, spots: np.ndarray, min_share: float)
     sizes = spots[:, 3] - spots[:, 2]
     before = np.cumsum(sizes) - sizes
     at = np.arange(sizes.sum()) + np.repeat(spots[:, 2] - before, sizes)
-    held = _find(block.members, _members(np.repeat(spots[:, 1], sizes), words[at]))
+    held = block.holds("members", _members(np.repeat(spots[:, 1], sizes), words[at]))
     return np.add.reduceat(held, before, dtype=np.int64) >= min_share * np.diff(block.starts)[spots[:, 1]] - 1e-6
 
 
@@ -202,11 +228,9 @@ def _scan(docs: DataFrame, held, min_share: float) -> DataFrame:
             grams, whole = gram_hashes(words, rows, SEED_WORDS)
             out = []
             for spots in _passages(block, grams, whole, rows, min_share):
-                spots = spots[np.argsort(spots[:, 3] - spots[:, 2], kind="stable")]
-                for some in np.array_split(spots, max(1, -(-len(spots) // LANES))):
-                    some = some[_worth(block, words, some, min_share)]
-                    if not len(some):
-                        continue
+                spots = _keep(block, words, spots, min_share)
+                for at in range(0, len(spots), LANES):
+                    some = spots[at : at + LANES]
                     parts = [block.words[block.starts[p] : block.starts[p + 1]] for p in some[:, 1]]
                     found = align(parts, [words[f:e] for f, e in some[:, 2:]])
                     share = found[:, 0] / (MATCH * np.array([len(p) for p in parts]))

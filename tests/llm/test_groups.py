@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -443,3 +444,20 @@ def test_filter_parts_rows_without_a_partner(spark, monkeypatch, largest):
     assert len(far) + len(close) == 3001
     assert set(range(0, 3000, 7)) <= set(close)
     assert len(close) < 700 if largest > 64 else len(close) > 700
+
+
+def test_common_openings_stay_whole_and_bounded(make):
+    """Many items with one opening: its places are passages of all, and leaks are those of plain alignment."""
+    chance = random.Random(12)
+    opening = "which of the following"
+    items = [(k, f"{opening} {filler(chance, 12)}") for k in range(300)]
+    busy = " ".join(f"{opening} {filler(chance, 25)}" for _ in range(40))
+    worn = items[7][1].split()
+    worn[6], worn[11] = "other", "words"
+    rows = [(1, busy), (2, f"{busy} {items[5][1]} {busy}"), (3, " ".join(worn)), (4, f"{items[9][1]} {items[9][1]}")]
+    found = rows_of(decontaminate.find_leaks(make(rows), make(items, "item_id long, text string")))
+    assert {(r[0], r[2]) for r in found} == {(2, 5), (3, 7), (4, 9)}
+    assert {r[0]: r[3] for r in found}[2] == 1.0
+    hashes = {k: word_hashes(pa.array([t]))[0] for k, t in [*rows, (-5, items[5][1])]}
+    score, first, last = decontaminate.align([hashes[-5]], [hashes[2]])[0]
+    assert score == 2 * len(hashes[-5]) and last - first == len(hashes[-5])
