@@ -41,7 +41,6 @@ class Block:
     gram_part: np.ndarray
     gram_at: np.ndarray
     members: np.ndarray  # hashes of (part, word), sorted
-    vocabulary: np.ndarray  # hashes of words, sorted
 
     def holds(self, name: str, keys: np.ndarray) -> np.ndarray:
         """Which keys occur in one of the sorted arrays."""
@@ -108,7 +107,6 @@ def _block(rows: list) -> Block:
         part,
         at - starts[:-1][part],
         members,
-        np.unique(flat),
     )
 
 
@@ -197,10 +195,6 @@ def _stretches(block: Block, hits, low, times, rows, min_share: float) -> np.nda
 
 def _keep(block: Block, words: np.ndarray, spots: np.ndarray, min_share: float) -> np.ndarray:
     """The passages worth aligning, short ones first; judged some words at a time."""
-    known = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(block.holds("vocabulary", words), out=known[1:])
-    least = min_share * np.diff(block.starts)[spots[:, 1]] - 1e-6
-    spots = spots[known[spots[:, 3]] - known[spots[:, 2]] >= least]
     spots = spots[np.argsort(spots[:, 3] - spots[:, 2], kind="stable")]
     cut = np.cumsum(spots[:, 3] - spots[:, 2]) // WORTH_WORDS
     edges = np.flatnonzero(np.diff(cut)) + 1
