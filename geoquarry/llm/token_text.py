@@ -8,7 +8,6 @@ import sys
 from array import array
 from itertools import filterfalse
 from types import ModuleType
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +31,21 @@ BOUNDARIES = {
     "dropped": re.compile(" "),
     "leading": re.compile(r"(?<=[!-~\w]) (?=[!-~\w])"),
 }
-#: Places in a piece where tokens part too: between a letter and a mark, and around a single line end
-#: between visible characters. (Two blanks in a row are one token or two by what follows.)
-MARKS = frozenset(".,;:!?")
-INNER = re.compile(
-    r"(?<=[^\W\d_])(?=[.,;:!?]|\n[^\W\d_])|(?<=[.,;:!?])(?=\n[^\W\d_])|(?<=[^\s]\n)(?=[^\W\d_])"
-)
-#: A space that is no stable boundary of the kind "leading".
-UNSTABLE = re.compile(r"(?:\A|[^!-~\w]) | (?:\Z|[^!-~\w])")
+# Kinds of bytes, as flags; all others are 0.
+LETTER, MARK, LINE, BLANK, VISIBLE, WIDE = 1, 2, 4, 8, 16, 32
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[0x21:0x7F] = VISIBLE
+    for first, last in ("az", "AZ"):
+        kinds[ord(first) : ord(last) + 1] |= LETTER
+    kinds[[ord(c) for c in ".,;:!?"]] |= MARK
+    kinds[ord("\n")], kinds[ord(" ")], kinds[0x80:] = LINE, BLANK, WIDE
+    return kinds
+
+
+KINDS = _kinds()
 
 
 def _spaces_part_words(text: str) -> bool:
@@ -73,70 +79,31 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def _parts(piece: str) -> list[str] | None:
-    """The parts of a piece by ``INNER``, where there is more than one.
-
-    A tokenizer may compose characters and lower them first. Where that makes more or fewer of them a
-    letter may end in a mark, as U+0130 and U+0958 do, which joins what follows: no parts then.
-    """
-    if not piece.isascii() and len(normalize("NFC", piece).lower()) != len(piece):
-        return None
-    if piece[-1:] in MARKS and piece[:-1].isalpha():
-        return [piece[:-1], piece[-1]]
-    parts = INNER.split(piece)
-    return parts if len(parts) > 1 else None
-
-
 class Pieces(dict):
-    """Ids of pieces that follow ``before``; a generation that is full is kept for one more.
+    """Ids of pieces of text; a generation that is full is kept for one more."""
 
-    A new piece is cut again where a letter meets a mark, or either a line's end: tokens part there
-    too, so words with and without a comma share theirs.
-    """
-
-    def __init__(self, tokenizer, before: str, inner: Pieces | None = None):
+    def __init__(self, tokenizer, leading: bool):
         super().__init__()
-        self.tokenizer, self.before = tokenizer, before
-        self.inner = self if inner is None else inner
+        self.tokenizer, self.leading = tokenizer, leading
         self.last: dict[str, bytes] = {}
         vocabulary = tokenizer.get_vocab()
         self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
         self.blank_first[[k for t, k in vocabulary.items() if t.startswith("\u0120")]] = True
 
-    def learn(self, pieces: set[str]) -> None:
-        heads, tails, cut = set(), set(), []
-        for piece in self._new(pieces):
-            parts = None if piece.isalpha() else _parts(piece)
-            if parts is None:
-                heads.add(piece)
-            else:
-                cut.append((piece, parts))
-                heads.add(parts[0])
-                tails.update(parts[1:])
-        if self.inner is self:
-            self._add(heads | tails)
-        else:
-            self._add(heads)
-            self.inner._add(tails)
-        tail = self.inner.__getitem__
-        self.update(
-            (p, self[parts[0]] + (tail(parts[1]) if len(parts) == 2 else b"".join(map(tail, parts[1:]))))
-            for p, parts in cut
-        )
-
-    def _new(self, pieces: set[str]) -> set[str]:
-        """Pieces that are not known; those of the last generation come back on the way."""
-        new = set(filterfalse(self.__contains__, pieces))
-        known = new & self.last.keys()
-        self.update(zip(known, map(self.last.__getitem__, known), strict=True))
-        return new - known
-
-    def _add(self, pieces: set[str]) -> None:
-        new = self._new(pieces)
-        # Visible characters alone, so the blank before each piece is the only one.
-        plain = [p for p in new if self.before and p.isprintable() and " " not in p]
-        self._encode(plain, together=True)
-        self._encode(list(new.difference(plain)), together=False)
+    def learn(self, pieces: list[str]) -> None:
+        """Look up different pieces; those of the last generation come back on the way."""
+        new = list(filterfalse(self.__contains__, pieces))
+        if self.last:
+            known = [p for p in new if p in self.last]
+            self.update(zip(known, map(self.last.__getitem__, known), strict=True))
+            new = list(filterfalse(self.__contains__, new))
+        words, others = [], []
+        for piece in new:
+            # Visible characters after one blank, so it is the only blank of the piece.
+            one = self.leading and piece[0] == " " and piece.isprintable() and piece.count(" ") == 1
+            (words if one and len(piece) > 1 else others).append(piece)
+        self._encode(words, together=True)
+        self._encode(others, together=False)
 
     def turn(self) -> None:
         """Begin a new generation when this one is full."""
@@ -151,9 +118,8 @@ class Pieces(dict):
         """
         for start in range(0, len(pieces), TOGETHER):
             some = pieces[start : start + TOGETHER]
-            parts = [self.before + p for p in some]
             if together:
-                whole = self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)
+                whole = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
                 ids = np.array(whole[0].ids, "<u4")
                 begin = np.flatnonzero(self.blank_first[ids])
                 if len(begin) == len(some):
@@ -161,7 +127,7 @@ class Pieces(dict):
                     ends = [*at[1:], len(raw)]
                     self.update((p, raw[s:e]) for p, s, e in zip(some, at, ends, strict=True))
                     continue
-            found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             self.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, found, strict=True))
 
 
@@ -179,8 +145,7 @@ class Encoder:
         self.boundary = BOUNDARIES[boundary]
         self.leading = boundary == "leading"
         self.chunk, self.overlap = chunk, overlap
-        self.firsts = Pieces(self.tokenizer, "")
-        self.others = Pieces(self.tokenizer, " ", self.firsts) if self.leading else self.firsts
+        self.pieces = Pieces(self.tokenizer, self.leading)
         self.widened = 0
 
     @staticmethod
@@ -195,60 +160,68 @@ class Encoder:
 
     def rest(self) -> None:
         """Give up what is only kept for speed, between tasks."""
-        for pieces in (self.firsts, self.others):
-            pieces.last = {}
+        self.pieces.last = {}
         pa.default_memory_pool().release_unused()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for pieces in {id(p): p for p in (self.firsts, self.others)}.values():
-            pieces.turn()
-        found: list[bytes] = [b""] * len(texts)
-        plain = []
-        for k, text in enumerate(texts):
-            if len(text) > self.chunk:
-                found[k] = self.spliced(text).astype("<u4").tobytes()
-            elif self.leading and not _spaces_part_words(text):
-                found[k] = self._joined(self.boundary.split(text))
-            else:
-                plain.append(k)
-        for k, ids in zip(plain, self._words([texts[k] for k in plain]), strict=True):
-            found[k] = ids
+        self.pieces.turn()
+        long = [k for k, text in enumerate(texts) if len(text) > self.chunk]
+        found = self._cut_up([t if len(t) <= self.chunk else "" for t in texts] if long else texts)
+        for k in long:
+            found[k] = self.spliced(texts[k]).astype("<u4").tobytes()
         return found
 
-    def _joined(self, pieces: list[str]) -> bytes:
-        self.others.learn(set(pieces[1:]))
-        self.firsts.learn({pieces[0]})
-        return self.firsts[pieces[0]] + b"".join(map(self.others.__getitem__, pieces[1:]))
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts in which every space is a boundary, word by word.
+    def _cut_up(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts, piece by piece.
 
-        Each different word is looked up once, and the ids are gathered by place.
+        Each different piece is looked up once, and the ids are gathered by place.
         """
-        if not texts:
-            return []
-        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
-        words, offsets = lists.flatten(), lists.offsets.to_numpy()
-        rest = np.ones(len(words), bool)
-        rest[offsets[:-1]] = False
-        firsts = words.take(pa.array(offsets[:-1])).to_pylist()
-        coded = words.filter(pa.array(rest)).dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.others.learn(set(names))
-        self.firsts.learn(set(firsts))
-        held = [*map(self.others.__getitem__, names), *map(self.firsts.__getitem__, firsts)]
-        which = np.empty(len(words), np.int64)
-        which[rest] = coded.indices.to_numpy()
-        which[~rest] = len(names) + np.arange(len(firsts))
+        column = pa.array(texts, pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1] if texts else [0]
+        if not offsets[-1]:
+            return [b""] * len(texts)
+        body = column.buffers()[2]
+        raw = np.frombuffer(body, np.uint8)[: offsets[-1]]
+        cut = self._places(raw, texts, np.diff(offsets))
+        cut[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(cut)
+        pieces = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(np.append(starts, len(raw))), body
+        )
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.pieces.learn(names)
+        held = list(map(self.pieces.__getitem__, names))
+        which = coded.indices.to_numpy()
         sizes = np.array([len(h) // 4 for h in held])
-        starts = np.cumsum(sizes) - sizes
         n = sizes[which]
         ends = np.concatenate(([0], np.cumsum(n)))
-        places = np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])
-        ids = np.frombuffer(b"".join(held), "<u4")[places]
-        cut = ends[offsets].tolist()
-        return [ids[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)]
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(held), "<u4")[places].tobytes()
+        at = (4 * ends[np.searchsorted(starts, offsets)]).tolist()
+        return [ids[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+
+    def _places(self, raw: np.ndarray, texts: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Whether tokens part before each byte: at stable boundaries, and at some places more.
+
+        Those are between an ASCII letter and a mark, and around a single line end between ASCII
+        letters or marks, so that words with and without a comma are one piece. ASCII letters next
+        to them keep clear of all that a tokenizer composes or lowers first. Bytes of neighbouring
+        texts may meet; what is cut there is a place where tokens part at a text's end as well.
+        """
+        kinds = np.zeros(len(raw) + 3, np.uint8)
+        kinds[2:-1] = KINDS[raw]
+        second, left, here, right = kinds[:-3], kinds[1:-2], kinds[2:-1], kinds[3:]
+        blank = here == BLANK
+        if self.leading:
+            plain = np.array([_spaces_part_words(t) for t in texts], bool)
+            stable = np.repeat(np.where(plain, VISIBLE | WIDE, VISIBLE).astype(np.uint8), sizes)
+            blank &= ((left & stable) != 0) & ((right & stable) != 0)
+        cut = blank | (((left & LETTER) != 0) & ((here & MARK) != 0))
+        cut |= (here == LINE) & ((left & (LETTER | MARK)) != 0) & ((right & LETTER) != 0)
+        cut |= (left == LINE) & ((here & LETTER) != 0) & ((second & VISIBLE) != 0)
+        return cut
 
     def _tokens(self, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and the places in the whole text (from, to) of the tokens of a chunk."""

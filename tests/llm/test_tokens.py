@@ -57,6 +57,18 @@ def test_every_letter_before_a_mark(name, boundary):
         assert [t for t, e, f in zip(texts, whole, found, strict=True) if np.array(e.ids, "<u4").tobytes() != f] == []
 
 
+@pytest.mark.parametrize(("name", "boundary"), FILES)
+def test_short_texts_next_to_each_other(name, boundary):
+    """Texts are cut in one array, so the ends of one must not matter to the next."""
+    chance = random.Random(11)
+    signs = ["", " ", "\n", "\t", "a", "B", ".", ";", "'s", "1", "é", "\u0301", "\u0130", "\u00a0", "\u3000", "日", "\0"]
+    texts = ["".join(chance.choices(signs, k=5)) for _ in range(30_000)]
+    path = public_tokenizers.path(name)
+    whole = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    found = Encoder(path, boundary).encode(texts)
+    assert [t for t, e, f in zip(texts, whole, found, strict=True) if np.array(e.ids, "<u4").tobytes() != f] == []
+
+
 def test_counts(spark, make):
     rows = [(k, t) for k, t in enumerate(odd_texts())] + [(1, None), (None, "a b"), (1, "a b"), (1, "a b")]
     found = rows_of(token_counts.count_tokens(make(rows), "word_bpe_49k.json", limit=100, chunk=500, overlap=50))
