@@ -224,10 +224,20 @@ def geojson_geometry(kind: Column, coordinates: Column) -> Column:
     return out.when(kind.isNotNull(), other.cast(GEOM_TYPE))
 
 
+def geojson_properties(spark: SparkSession, path: str, lines: bool = False) -> T.StructType:
+    """Names and types of the properties of all features, by one pass over the files."""
+    found = spark.read.option("multiLine", not lines).json(path).schema
+    if not lines and "features" in found.names:
+        features = found["features"].dataType
+        found = features.elementType if isinstance(features, T.ArrayType) else T.StructType()
+    kind = found["properties"].dataType if isinstance(found, T.StructType) and "properties" in found.names else None
+    return kind if isinstance(kind, T.StructType) else T.StructType()
+
+
 def read_geojson(
     spark: SparkSession,
     path: str,
-    properties: T.StructType | str,
+    properties: T.StructType | str | None = None,
     crs=4326,
     lines: bool = False,
     positions: bool = False,
@@ -235,17 +245,19 @@ def read_geojson(
     """GeoJSON as a prepared layer, properties as columns.
 
     A feature collection is one JSON document, which only one task can parse; ``lines`` reads
-    one feature per line and scales with the file. With ``positions`` features get their position in
+    one feature per line and scales with the file. Without ``properties`` their names and types are
+    inferred from all features, which takes one more pass. With ``positions`` features get their position in
     the file: the place in the collection, or among the lines.
     """
-    if isinstance(properties, str):
+    if properties is None:
+        properties = geojson_properties(spark, path, lines)
+    elif isinstance(properties, str):
         properties = T.StructType.fromDDL(properties)
     geometry = T.StructType(
         [T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())]
     )
-    feature = T.StructType(
-        [T.StructField("properties", properties), T.StructField("geometry", geometry)]
-    )
+    named = [T.StructField("properties", properties)] if len(properties) else []
+    feature = T.StructType([*named, T.StructField("geometry", geometry)])
     schema = feature if lines else T.StructType([T.StructField("features", T.ArrayType(feature))])
     reader = spark.read.format("json").schema(schema).option("multiLine", not lines)
     place = [ROW_INDEX] if positions else []
@@ -257,7 +269,8 @@ def read_geojson(
         rows = rows.select(F.posexplode("features").alias(ROW_INDEX, "f"), FILE_PATH)
         rows = rows.select("f.*", FILE_PATH, F.col(ROW_INDEX).cast("long").alias(ROW_INDEX))
     geom = geojson_geometry(F.col("geometry.type"), F.col("geometry.coordinates"))
-    flat = rows.select(geom.alias(GEOMETRY), "properties.*", FILE_PATH, *place)
+    columns = ["properties.*"] if named else []
+    flat = rows.select(geom.alias(GEOMETRY), *columns, FILE_PATH, *place)
     return prepare(flat, crs=None if str(crs) == "4326" else crs)
 
 

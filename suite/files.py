@@ -269,6 +269,22 @@ def s10_geojson(spark, sf_dir):
     return back.select("_unique_id", "minx", "maxy", "area")
 
 
+@query(
+    "s10_geojson_inferred",
+    f"{with_layers('points')} SELECT c_mktsegment, count(*) AS n, sum(c_custkey) AS keys, max(x) AS right_most FROM points GROUP BY c_mktsegment",
+)
+def s10_geojson_inferred(spark, sf_dir):
+    """Properties and their types come from the features."""
+    target = scratch_path(spark, "inferred") + ".geojson"
+    place = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))
+    feature = F.struct(F.struct("c_mktsegment", "c_custkey").alias("properties"), place.alias("geometry"))
+    layer(spark, sf_dir, "points").select(F.to_json(feature)).write.text(target)
+    back = readers.read_geojson(spark, target, lines=True)
+    return back.groupBy("c_mktsegment").agg(
+        F.count("*").alias("n"), F.sum("c_custkey").alias("keys"), F.max("maxx").alias("right_most")
+    )
+
+
 @query("s13_stream_ingest", "SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY event_type")
 def s13_stream_ingest(spark, sf_dir):
     """Read the event file as a stream into a parquet layer, then count what arrived."""

@@ -317,3 +317,24 @@ def test_geometry_collections_raise(spark, tmp_path):
     (tmp_path / "c.geojson").write_text(json.dumps({"type": "Feature", "properties": {"v": 1}, "geometry": shape}))
     with pytest.raises(Exception, match="GeometryCollection"):
         readers.read_geojson(spark, str(tmp_path / "c.geojson"), "v int", lines=True).collect()
+
+
+def test_geojson_infers_properties(spark, tmp_path):
+    """Types widen over all features; features without properties, and no features, give a layer."""
+    point = {"type": "Point", "coordinates": [10, 60]}
+    rows = [{"v": 1}, {"v": 2.5, "name": "x"}, None]
+    features = [{"type": "Feature", "properties": p, "geometry": point} for p in rows]
+    one, many = tmp_path / "one.geojson", tmp_path / "many.geojson"
+    one.write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    many.write_text("\n".join(map(json.dumps, features)))
+    for path, lines in ((one, False), (many, True)):
+        found = readers.read_geojson(spark, str(path), lines=lines)
+        assert sorted(map(tuple, found.select("v", "name", "minx").collect()), key=str) == sorted(
+            [(1.0, None, 10.0), (2.5, "x", 10.0), (None, None, 10.0)], key=str
+        )
+    bare = tmp_path / "bare.geojson"
+    bare.write_text(json.dumps({"features": [{"properties": {}, "geometry": point}]}))
+    assert readers.read_geojson(spark, str(bare)).select("minx", "maxy").first() == (10.0, 60.0)
+    none = tmp_path / "none.geojson"
+    none.write_text(json.dumps({"type": "FeatureCollection", "features": []}))
+    assert readers.read_geojson(spark, str(none)).count() == 0
