@@ -7,6 +7,7 @@ from geoquarry.functions.crs import reproject, reproject_xy
 from geoquarry.functions.text import with_unique_stem
 from geoquarry.functions.wkb import from_wkb, to_wkb
 from geoquarry.operators import prepare as op
+from geoquarry.operators.relational import spread
 from geoquarry.plans.layers import layer_of_path
 from geoquarry.sources.inventory import list_files
 from geoquarry.sources.readers import read_parquet
@@ -248,7 +249,7 @@ def x7_centroid(spark, sf_dir):
     f"{with_layers('points')} SELECT c_custkey, round(64 * 0.5 * 500 * 500 * sin(2 * pi() / 64), 0) AS area_m2, CAST(65 AS BIGINT) AS n_points FROM points",
 )
 def x8_buffer(spark, sf_dir):
-    df = layer(spark, sf_dir, "points")
+    df = spread(layer(spark, sf_dir, "points"))
     circles = df.select("c_custkey", geo.buffer_points(geo.point(F.col("x"), F.col("y")), 500.0).alias("g"))
     metres = geo.area(reproject(F.col("g"), 4326, 3035))
     return circles.select(

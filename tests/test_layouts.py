@@ -280,3 +280,12 @@ def test_written_layer_has_row_groups_by_place(spark, tmp_path):
     found = zones.zone_map(spark, f"{tmp_path}/l", f"{tmp_path}/z")
     kept = zones.surviving_zones(found, (0, 0, 1, 1)).count()
     assert 0 < kept < found.count()
+
+
+def test_dear_rows_are_spread(spark):
+    """A scan of one task, for work that is dear for every row."""
+    from geoquarry.operators import relational
+
+    rows = relational.spread(spark.range(0, 10_000, 1, 1), 1_000)
+    assert rows.rdd.getNumPartitions() == 10
+    assert rows.agg(F.sum("id")).first()[0] == 49_995_000
