@@ -8,6 +8,8 @@ holds for concave polygons, holes and multi-polygons alike.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -18,6 +20,12 @@ from .wkb import decode_batch, unnest
 PAIRS_PER_CHUNK = 1_000_000
 #: Pairs of edges from which two polygons are compared strip by strip, and edge ends in a strip.
 SWEEP_PAIRS = 65_536
+#: Pairs of edges up to which all are taken; beyond that only those above the same stretch of x.
+FEW_PAIRS = 1_024
+#: Pairs of edges that are measured together where only some of many are.
+PAIRS_PER_RUN = 1 << 17
+#: The middle stretch of two polygons that is compared first, as a share of what both reach over.
+FIRST_STRETCH = 1 / 8
 EDGES_PER_STRIP = 16
 POLYGONS = (POLYGON, MULTIPOLYGON)
 LINES = (LINESTRING, MULTILINESTRING)
@@ -61,11 +69,53 @@ class _Rows:
             s = slice(self.point_at[ring], self.point_end[ring])
             yield self.x[s], self.y[s]
 
+    @cached_property
+    def wide(self) -> _Wide:
+        return _Wide(self)
+
     def segments(self, row: int) -> np.ndarray:
         s = slice(self.edge_at[row], self.edge_at[row] + self.edges[row])
         return np.stack([self.x1[s], self.y1[s], self.x2[s], self.y2[s]])
 
 
+class _Wide:
+    """The edges of a batch that have a width, by geometry and left end."""
+
+    def __init__(self, g: _Rows):
+        n = len(g.kinds)
+        left, right = np.minimum(g.x1, g.x2), np.maximum(g.x1, g.x2)
+        self.plain = np.flatnonzero(right > left)  # in the order of the rings
+        row = g.ring_row[g.edge_ring[self.plain]]
+        order = np.lexsort((left[self.plain], row))
+        self.edge, row = self.plain[order], row[order]
+        self.left, self.right = left[self.edge], right[self.edge]
+        self.n = np.bincount(row, minlength=n)
+        self.at = np.cumsum(self.n) - self.n
+        self.ends = np.sort(self.left)
+        self.keys = row * (len(order) + 1) + np.searchsorted(self.ends, self.left)
+        self.longest, self.low, self.high = np.zeros(n), np.full(n, np.inf), np.full(n, -np.inf)
+        np.maximum.at(self.longest, row, self.right - self.left)
+        np.minimum.at(self.low, row, self.left)
+        np.maximum.at(self.high, row, self.right)
+        self.top = np.full(n, -np.inf)
+        np.maximum.at(self.top, row, np.maximum(g.y1, g.y2)[self.edge])
+        self.bottom = np.full(n, np.inf)
+        np.minimum.at(self.bottom, row, np.minimum(g.y1, g.y2)[self.edge])
+
+    def rank(self, x: np.ndarray, side: str = "left") -> np.ndarray:
+        """Left ends of all geometries before each place."""
+        return np.searchsorted(self.ends, x, side)
+
+    def place(self, row: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """First edge of each geometry from the left end of that rank on."""
+        return np.searchsorted(self.keys, row * (len(self.edge) + 1) + rank)
+
+    def between(self, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stretch of each geometry's edges that holds those between two places along x."""
+        first = self.place(row, self.rank(low - self.longest[row]))
+        return first, np.maximum(self.place(row, self.rank(high)), first)
+
+
 def _runs(sizes: np.ndarray, limit: int):
     """Slices of consecutive items whose sizes add up to about ``limit``."""
     ends = np.cumsum(sizes)
@@ -88,22 +138,92 @@ def shared_areas(a: _Rows, ai: np.ndarray, b: _Rows, bi: np.ndarray) -> np.ndarr
     """Area of the intersection of polygon ``ai[n]`` of ``a`` and ``bi[n]`` of ``b``."""
     out = np.zeros(len(ai))
     work = a.edges[ai].astype(np.int64) * b.edges[bi]
-    for n in np.flatnonzero(work > SWEEP_PAIRS):
-        out[n] = swept_area(a, int(ai[n]), b, int(bi[n]))
-    few = np.flatnonzero(work <= SWEEP_PAIRS)
+    few = np.flatnonzero(work <= FEW_PAIRS)
     out[few] = _all_pairs_areas(a, ai[few], b, bi[few])
+    more = np.flatnonzero(work > FEW_PAIRS)
+    out[more] = _stretch_areas(a, ai[more], b, bi[more], *_both_reach(a, ai[more], b, bi[more]))
     return np.maximum(out, 0.0)
 
 
+def shares_above(a: _Rows, ai: np.ndarray, b: _Rows, bi: np.ndarray, min_ratio: float) -> np.ndarray:
+    """Whether more than ``min_ratio`` of polygon ``ai[n]`` lies in ``bi[n]``.
+
+    What lies in one stretch along x is a part of the whole, so pairs of many edges are compared
+    over a stretch in the middle first; only where that doesn't settle it over all they reach.
+    """
+    out = np.zeros(len(ai), dtype=bool)
+    area = a.area[ai]
+    work = a.edges[ai].astype(np.int64) * b.edges[bi]
+    few = np.flatnonzero(work <= FEW_PAIRS)
+    out[few] = np.maximum(_all_pairs_areas(a, ai[few], b, bi[few]), 0.0) / area[few] > min_ratio
+    more = np.flatnonzero(work > FEW_PAIRS)
+    low, high = _both_reach(a, ai[more], b, bi[more])
+    p, q = a.wide, b.wide
+    height = np.minimum(p.top[ai[more]], q.top[bi[more]]) - np.maximum(p.bottom[ai[more]], q.bottom[bi[more]])
+    # No more than this can be shared; a rounding error is left to the exact sum.
+    may = (high > low) & ((high - low) * height >= min_ratio * (1 - 1e-6) * area[more])
+    more, low, high = more[may], low[may], high[may]
+    side = (high - low) * (1 - FIRST_STRETCH) / 2
+    first = _stretch_areas(a, ai[more], b, bi[more], low + side, high - side)
+    # An error of rounding must not settle it either.
+    out[more] = first > (min_ratio + 1e-6) * area[more]
+    rest = ~out[more]
+    more, low, high = more[rest], low[rest], high[rest]
+    out[more] = np.maximum(_stretch_areas(a, ai[more], b, bi[more], low, high), 0.0) / area[more] > min_ratio
+    return out
+
+
+def _both_reach(a: _Rows, ai: np.ndarray, b: _Rows, bi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where along x both polygons of each pair have edges."""
+    p, q = a.wide, b.wide
+    return np.maximum(p.low[ai], q.low[bi]), np.minimum(p.high[ai], q.high[bi])
+
+
+def _stretch_areas(a: _Rows, ai, b: _Rows, bi, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Shared area of each pair of polygons between two places along x.
+
+    Only edges above the same place are paired: each edge with those of the other polygon that
+    begin above it, which are neighbours in the order of left ends.
+    """
+    out = np.zeros(len(ai))
+    use = np.flatnonzero(high > low)
+    one = a.wide.between(ai[use], low[use], high[use])
+    two = b.wide.between(bi[use], low[use], high[use])
+    for own, oi, other, ti, (first, last), swapped in (
+        (a, ai, b, bi, one, False), (b, bi, a, ai, two, True)
+    ):
+        p, q = own.wide, other.wide
+        # Edges that begin at the same place are paired once, in the first round.
+        begin, end, stop = q.rank(p.left, "right" if swapped else "left"), q.rank(p.right), q.rank(high)
+        for part in _runs(last - first, PAIRS_PER_RUN):
+            at, e = _expand(first[part], (last - first)[part])
+            pair = use[part][at]
+            row = ti[pair]
+            meets = p.right[e] > low[pair]
+            e, pair, row = e[meets], pair[meets], row[meets]
+            start = q.place(row, begin[e])
+            size = np.maximum(q.place(row, np.minimum(end[e], stop[pair])) - start, 0)
+            for run in _runs(size, PAIRS_PER_RUN):
+                each, f = _expand(start[run], size[run])
+                if not len(each):
+                    continue
+                n, mine, others = pair[run][each], p.edge[e[run][each]], q.edge[f]
+                i, j = (others, mine) if swapped else (mine, others)
+                sums = _trapezoids(a, i, ai[n], b, j, bi[n], low[n], high[n])
+                out += np.bincount(n, sums, len(out))
+    return out
+
+
 def _all_pairs_areas(a: _Rows, ai: np.ndarray, b: _Rows, bi: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ai))
-    for part in _runs(a.edges[ai], PAIRS_PER_CHUNK):
-        owner, edge = _expand(a.edge_at[ai[part]], a.edges[ai[part]])
+    v, w = a.wide, b.wide
+    for part in _runs(v.n[ai], PAIRS_PER_CHUNK):
+        owner, edge = _expand(v.at[ai[part]], v.n[ai[part]])
         pair = owner + part.start
-        for run in _runs(b.edges[bi[pair]], PAIRS_PER_CHUNK):
-            p, e = pair[run], edge[run]
-            each, other = _expand(b.edge_at[bi[p]], b.edges[bi[p]])
-            sums = _trapezoids(a, e[each], ai[p][each], b, other, bi[p][each])
+        for run in _runs(w.n[bi[pair]], PAIRS_PER_CHUNK):
+            p, e = pair[run], v.plain[edge[run]]
+            each, other = _expand(w.at[bi[p]], w.n[bi[p]])
+            sums = _trapezoids(a, e[each], ai[p][each], b, w.plain[other], bi[p][each])
             out += np.bincount(p[each], sums, len(out))
     return out
 
@@ -318,7 +438,7 @@ def relate(a: _Rows, ai, b: _Rows, bi, min_ratio: float) -> np.ndarray:
     out = np.zeros(len(ai), dtype=bool)
     area, to_polygon = a.area[ai], np.isin(b.kinds[bi], POLYGONS)
     flat = np.flatnonzero((area > 0) & to_polygon)
-    out[flat] = shared_areas(a, ai[flat], b, bi[flat]) / area[flat] > min_ratio
+    out[flat] = shares_above(a, ai[flat], b, bi[flat], min_ratio)
     filled = np.bincount(a.ring_row, minlength=len(a.kinds)) > 0
     single = (a.kinds[ai] == POINT) & filled[ai] & to_polygon
     first = np.zeros(len(a.kinds), dtype=np.int64)

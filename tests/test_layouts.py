@@ -289,3 +289,17 @@ def test_dear_rows_are_spread(spark):
     rows = relational.spread(spark.range(0, 10_000, 1, 1), 1_000)
     assert rows.rdd.getNumPartitions() == 10
     assert rows.agg(F.sum("id")).first()[0] == 49_995_000
+
+
+def test_pairs_of_a_few_hundred_edges_are_fast():
+    """Only edges above the same place are paired: 2,500 pairs of polygons of 250 edges."""
+    chance = random.Random(5)
+    rows = rows_of(*[ring(250, 1.0, 0.1, chance.random() * 2, chance.random() * 2) for _ in range(50)])
+    a, b = (v.ravel() for v in np.meshgrid(np.arange(50), np.arange(50)))
+    begin = time.perf_counter()
+    found = overlap.relate(rows, a, rows, b, 0.3)
+    assert time.perf_counter() - begin < 4
+    some = slice(0, 300)
+    shares = overlap._all_pairs_areas(rows, a[some], rows, b[some]) / rows.area[a[some]]
+    sure = np.abs(shares - 0.3) > 1e-9
+    assert (found[some] == (shares > 0.3))[sure].all() and sure.sum() > 250
