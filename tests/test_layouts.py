@@ -303,3 +303,15 @@ def test_pairs_of_a_few_hundred_edges_are_fast():
     shares = overlap._all_pairs_areas(rows, a[some], rows, b[some]) / rows.area[a[some]]
     sure = np.abs(shares - 0.3) > 1e-9
     assert (found[some] == (shares > 0.3))[sure].all() and sure.sum() > 250
+
+
+def test_rows_of_hot_cells_are_copied_a_bounded_number_of_times(spark):
+    """4,000 equal points in 2,000 equal boxes: what is shuffled does not grow with the pairs."""
+    points = spatial._packed(spark.range(4_000).selectExpr("10.5 AS x", "60.5 AS y"), "l", ("x", "y", "x", "y"))
+    boxes = spark.range(2_000).selectExpr("10.2 AS minx", "60.2 AS miny", "10.8 AS maxx", "60.8 AS maxy")
+    left = spatial._entries(points, "l", 1.0, [], True)
+    right = spatial._entries(spatial._packed(boxes, "r", ("minx", "miny", "maxx", "maxy")), "r", 1.0, [], True)
+    hot = spark.createDataFrame([(0, 10, 60, 4000.0, 2000.0)], "__level int, __ix long, __iy long, n1 double, n2 double")
+    dealing = spatial._dealing(left, right, hot, 1.0, 8, 4096.0)
+    rows = [spatial._dealt(df, hot, dealing, side, 1.0).count() for df, side in ((left, "l"), (right, "r"))]
+    assert sum(rows) <= (spatial.COPIES + 2) * 6_000
