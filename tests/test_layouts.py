@@ -315,3 +315,16 @@ def test_rows_of_hot_cells_are_copied_a_bounded_number_of_times(spark):
     dealing = spatial._dealing(left, right, hot, 1.0, 8, 4096.0)
     rows = [spatial._dealt(df, hot, dealing, side, 1.0).count() for df, side in ((left, "l"), (right, "r"))]
     assert sum(rows) <= (spatial.COPIES + 2) * 6_000
+
+
+def test_pairs_of_small_files_are_dealt_to_tasks(spark, monkeypatch):
+    """Few rows with many pairs are not broadcast to the one task that scans the other side."""
+    monkeypatch.setattr(spatial, "FEW_PAIRS", 1, raising=False)
+    monkeypatch.setattr(spatial, "PAIRS_PER_TASK", 100, raising=False)
+    boxes = spark.range(400).selectExpr("id", "id % 20 AS minx", "id % 17 AS miny", "id % 20 + 1.5 AS maxx", "id % 17 + 1.5 AS maxy")
+    pairs = spatial.bounds_join(boxes, boxes).select("l.id", "r.id")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan
+    cells = [(k % 20, k % 17) for k in range(400)]
+    near = sum(abs(x - u) <= 1.5 and abs(y - v) <= 1.5 for x, y in cells for u, v in cells)
+    assert pairs.count() == near
