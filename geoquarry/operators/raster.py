@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..functions.geometry import reproject_bounds
 from ..model import BOUNDS_COLUMNS, Bounds
-from .relational import join_stats
+from ..session import materialise
+from .relational import join_stats, spread
 from .spatial import bounds_join
 
 RASTER = "raster_id"
@@ -22,6 +23,8 @@ RGB_BANDS = ("B4", "B3", "B2")
 
 #: Share of a pixel by which the gaps of an axis may differ: rounding of coordinates.
 UNEVEN = 1e-3
+#: Pixels of a task that puts them on the grid of a join.
+PIXEL_ROWS = 1 << 16
 
 
 class RasterError(ValueError):
@@ -184,29 +187,42 @@ def nearest_pixel(pixels: DataFrame, x: float, y: float) -> DataFrame:
 
 
 def pixels_at(points: DataFrame, pixels: DataFrame, px: str = "px", py: str = "py") -> DataFrame:
-    """Pixel values of regular rasters at many points: an equi-join on grid positions.
+    """Pixel values of regular rasters at many points: a spatial join of points and grid cells.
 
-    Each point takes the cell it falls in; points outside a raster have no row. Select the
-    needed point columns first.
+    Each point takes the cell it falls in; points outside a raster have no row. Points meet the
+    pixels themselves, so that no table of points by rasters is shuffled. Select the needed point
+    columns first.
     """
-    grid = raster_bounds(pixels)
-    met = bounds_join(points, grid, left_bounds=(px, py, px, py))
-    located = met.select("l.*", *[F.col("r")[c].alias(c) for c in grid.columns]).filter(
-        (F.col(px) < F.col("maxx")) & (F.col(py) < F.col("maxy"))
+    grid = materialise(raster_bounds(pixels), "grid")
+    step, held = F.col("resolution"), [f"__{c}" for c in ("col", "row", *grid.columns) if c != RASTER]
+
+    def at(name: str, low: str) -> Column:
+        return F.floor((F.col(name) - F.col(low)) / step)
+
+    def end(low: str, number: Column, sign: int) -> Column:
+        """An end of a grid cell, widened by more than an error of rounding."""
+        slack = step * 1e-6 + (F.abs(F.col(low)) + F.abs(number * step)) * 1e-12
+        return F.col(low) + number * step + slack * sign
+
+    numbered = join_stats(spread(pixels, PIXEL_ROWS), grid, [RASTER], how="inner").withColumns(
+        {"__col": at("x", "minx"), "__row": at("y", "miny")}
+    )
+    cells = numbered.select(
+        *pixels.columns, *[F.col(c[2:] if c[2:] in grid.columns else c).alias(c) for c in held],
+        end("minx", F.col("__col"), -1).alias("__x0"), end("miny", F.col("__row"), -1).alias("__y0"),
+        end("minx", F.col("__col") + 1, 1).alias("__x1"), end("miny", F.col("__row") + 1, 1).alias("__y1"),
+    )
+    met = bounds_join(points, cells, (px, py, px, py), ("__x0", "__y0", "__x1", "__y1"))
+    x, y, cell = F.col("l")[px], F.col("l")[py], {c: F.col("r")[f"__{c}"] for c in (*BOUNDS_COLUMNS, "resolution", "col", "row")}
+    inside = (
+        (x >= cell["minx"]) & (x < cell["maxx"]) & (F.floor((x - cell["minx"]) / cell["resolution"]) == cell["col"])
+        & (y >= cell["miny"]) & (y < cell["maxy"]) & (F.floor((y - cell["miny"]) / cell["resolution"]) == cell["row"])
+    )
+    return met.filter(inside).select(
+        F.col("r")[RASTER].alias(RASTER),
+        *[F.col("l")[c].alias(c) for c in points.columns],
+        *[F.col("r")[c].alias(c) for c in pixels.columns if c != RASTER],
     )
-    at = located.withColumns(
-        {
-            "__col": F.floor((F.col(px) - F.col("minx")) / F.col("resolution")),
-            "__row": F.floor((F.col(py) - F.col("miny")) / F.col("resolution")),
-        }
-    ).select(*points.columns, RASTER, "__col", "__row")
-    numbered = join_stats(pixels, grid, [RASTER], how="inner").withColumns(
-        {
-            "__col": F.floor((F.col("x") - F.col("minx")) / F.col("resolution")),
-            "__row": F.floor((F.col("y") - F.col("miny")) / F.col("resolution")),
-        }
-    ).select(*pixels.columns, "__col", "__row")
-    return at.join(numbered, [RASTER, "__col", "__row"]).drop("__col", "__row")
 
 
 def series(pixels: DataFrame, axis: str = "time") -> DataFrame:

@@ -328,3 +328,26 @@ def test_pairs_of_small_files_are_dealt_to_tasks(spark, monkeypatch):
     cells = [(k % 20, k % 17) for k in range(400)]
     near = sum(abs(x - u) <= 1.5 and abs(y - v) <= 1.5 for x, y in cells for u, v in cells)
     assert pairs.count() == near
+
+
+def test_points_meet_pixels_without_a_table_of_points_by_rasters(spark):
+    """Rasters of unlike grids against the definition; edges belong to the upper cell."""
+    from geoquarry.operators import raster
+
+    grids = [(0, 0.0, 0.0, 1.0, 6), (1, 0.375, -0.75, 0.25, 9), (2, 1e6, 2e6, 10.0, 4)]
+    cells = [(k, b, x0 + c * s, y0 + r * s, float(100 * r + c)) for k, x0, y0, s, n in grids for b in ("B1", "B2") for c in range(n) for r in range(n)]
+    pixels = spark.createDataFrame(cells, "raster_id long, band string, x double, y double, value double")
+    places = [(k, 0.5 * (k % 14) - 1.0, 0.5 * (k // 14) - 1.0) for k in range(14 * 14)] + [(500, 1e6 + 5, 2e6 - 5), (501, 1e6 + 35, 2e6)]
+    points = spark.createDataFrame(places, "id long, px double, py double")
+    found = raster.pixels_at(points, pixels)
+    assert found.columns == ["raster_id", "id", "px", "py", "band", "x", "y", "value"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"__col#\d+L? = __col", plan)
+    expected = sorted(
+        (i, k, b, v)
+        for i, px, py in places
+        for k, x0, y0, s, n in grids
+        for k2, b, x, y, v in cells
+        if k == k2 and x - s / 2 <= px < x + s / 2 and y - s / 2 <= py < y + s / 2
+    )
+    assert sorted(map(tuple, found.select("id", "raster_id", "band", "value").collect())) == expected
