@@ -18,6 +18,8 @@ from ..model import LINESTRING, MULTILINESTRING, MULTIPOINT, MULTIPOLYGON, POINT
 from .wkb import decode_batch, unnest
 
 PAIRS_PER_CHUNK = 1_000_000
+#: Pairs of edges that are measured together where each pair of polygons has few.
+PAIRS_PER_CACHE = 1 << 13
 #: Pairs of edges from which two polygons are compared strip by strip, and edge ends in a strip.
 SWEEP_PAIRS = 65_536
 #: Pairs of edges up to which all are taken; beyond that only those above the same stretch of x.
@@ -217,14 +219,15 @@ def _stretch_areas(a: _Rows, ai, b: _Rows, bi, low: np.ndarray, high: np.ndarray
 def _all_pairs_areas(a: _Rows, ai: np.ndarray, b: _Rows, bi: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ai))
     v, w = a.wide, b.wide
-    for part in _runs(v.n[ai], PAIRS_PER_CHUNK):
-        owner, edge = _expand(v.at[ai[part]], v.n[ai[part]])
-        pair = owner + part.start
-        for run in _runs(w.n[bi[pair]], PAIRS_PER_CHUNK):
-            p, e = pair[run], v.plain[edge[run]]
-            each, other = _expand(w.at[bi[p]], w.n[bi[p]])
-            sums = _trapezoids(a, e[each], ai[p][each], b, w.plain[other], bi[p][each])
-            out += np.bincount(p[each], sums, len(out))
+    # Whole pairs are taken together, and few enough that what is computed stays in the cache.
+    for some in _runs(v.n[ai] * w.n[bi], PAIRS_PER_CACHE):
+        i, j = ai[some], bi[some]
+        owner, edge = _expand(v.at[i], v.n[i])
+        for run in _runs(w.n[j[owner]], PAIRS_PER_CHUNK):
+            p, e = owner[run], v.plain[edge[run]]
+            each, other = _expand(w.at[j[p]], w.n[j[p]])
+            sums = _trapezoids(a, e[each], i[p][each], b, w.plain[other], j[p][each])
+            out[some] += np.bincount(p[each], sums, len(i))
     return out
 
 

@@ -351,3 +351,22 @@ def test_pixels_at_points_on_edges_of_unlike_grids(spark):
         if k == k2 and x - s / 2 <= px < x + s / 2 and y - s / 2 <= py < y + s / 2
     )
     assert sorted(map(tuple, found.select("id", "raster_id", "band", "value").collect())) == expected
+
+
+def test_tasks_grow_with_the_pairs():
+    """Six times the rows are 36 times the pairs: a task is to have no more of them."""
+    pairs, work = 227e6, spatial.COMPARE_WORK + 12
+    few, many = (spatial._tasks(n, None, work) for n in (pairs, 36 * pairs))
+    assert 100 < few and 36 * pairs / many <= 1.1 * pairs / few
+
+
+def test_runs_of_pairs_of_polygons_add_up(monkeypatch):
+    """Small polygons, ones larger than a run and ones without a width, in runs of any size."""
+    chance = random.Random(7)
+    shapes = [ring(n, 1.0, 0.1, chance.random() * 2, chance.random() * 2) for n in (4, 5, 30, 4, 12, 9)]
+    rows = rows_of(*shapes, (np.ones(3), np.array([0.0, 2.0, 0.0])))
+    a, b = (v.ravel() for v in np.meshgrid(np.arange(7), np.arange(7)))
+    whole = [overlap._all_pairs_areas(rows, a[[k]], rows, b[[k]])[0] for k in range(49)]
+    for size in (1, 64, 1 << 13):
+        monkeypatch.setattr(overlap, "PAIRS_PER_CACHE", size)
+        assert overlap._all_pairs_areas(rows, a, rows, b).tolist() == whole
