@@ -1,5 +1,6 @@
 import random
 import zlib
+from array import array
 from unicodedata import category
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from geoquarry.llm import token_codes, token_counts
-from geoquarry.llm.token_text import Encoder
+from geoquarry.llm.token_text import Encoder, Pieces
 
 from .conftest import rows_of
 
@@ -143,3 +144,19 @@ def test_rerun_agrees(spark, make):
         for d in (rows, rows.repartition(7))
     )
     assert once == twice
+
+
+def test_known_pieces_are_not_looked_up_again():
+    """Pieces of this generation and of the last one are kept, in the order they are asked for."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, asked = Pieces(tokenizer, True), []
+    encode = pieces._encode
+    pieces._encode = lambda some, together: (asked.extend(some), encode(some, together))
+    first, second = [" one", "two,", " drei"], [" drei", " \u00e9t\u00e9", " one", "\n"]
+    for some in (first, second, second[::-1]):
+        found = pieces.ids_of(some)
+        assert found == [array("I", tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in some]
+    pieces.last = dict(pieces)
+    pieces.clear()
+    assert pieces.ids_of(["two,", " new"])[0] == pieces.last["two,"]
+    assert sorted(asked) == sorted({*first, *second, " new"})
