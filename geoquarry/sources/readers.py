@@ -188,7 +188,8 @@ def read_table(spark: SparkSession, path: str, schema=None, positions: bool = Fa
         return without_geometry(located(reader, path))
     if positions:
         return without_geometry(with_positions(reader.load(path)))
-    return without_geometry(located(reader, path, suffix == "orc"))
+    # Spark numbers the rows of parquet files only.
+    return without_geometry(located(reader, path, positions=False))
 
 
 _POSITION = "array<double>"
