@@ -274,6 +274,84 @@ def test_large_polygons_are_compared_strip_by_strip(spark, monkeypatch):
                 assert ((i, j) in found) == (share > 0.1)
 
 
+def cut_box(n, x0, y0, x1, y1):
+    """A box whose sides are cut into ``n`` pieces."""
+    k = np.arange(n) / n
+    xs = (x0 + (x1 - x0) * k, np.full(n, x1), x1 - (x1 - x0) * k, np.full(n, x0), [x0])
+    ys = (np.full(n, y0), y0 + (y1 - y0) * k, np.full(n, y1), y1 - (y1 - y0) * k, [y0])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def blob(chance, n, x, y, size):
+    angle = np.linspace(0, 2 * np.pi, n, endpoint=False)
+    r = size * np.maximum(1 + sum(chance.gauss(0, 0.3 / (k + 1)) * np.cos(k * angle + k) for k in range(1, 9)), 0.1)
+    xs, ys = x + r * np.cos(angle), y + r * np.sin(angle) * chance.uniform(0.2, 1)
+    return np.append(xs, xs[0]), np.append(ys, ys[0])
+
+
+def test_a_box_inside_a_polygon():
+    chance = random.Random(8)
+    far = [(x + 5e5, y + 6.6e6) for x, y in (blob(chance, n, 0.0, 0.0, 0.7) for n in (7, 50, 900))]
+    shapes = [cut_box(50, 1.5, 57.25, 2.2, 58.0), ring(3, 1.0), ring(900, 1.0), *far, *(blob(chance, 70, 3.0, 4.0, 2.0) for _ in range(9))]
+    g = rows_of(*shapes)
+    rows = np.arange(len(shapes))
+    bounds, box = overlap._inside(g, rows)
+    assert bounds.tolist() == [[x.min(), y.min(), x.max(), y.max()] for x, y in shapes]
+    assert box[0].tolist() == bounds[0].tolist()
+    size = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    assert (size > 0.2 * g.area).all()
+    boxes = rows_of(*[cut_box(1, *b) for b in box])
+    assert overlap.shared_areas(boxes, rows, g, rows) == pytest.approx(size, rel=1e-9)
+
+
+def test_no_box_inside_what_counts_a_place_twice_or_less_than_once():
+    crossed = (np.array([0.0, 2.0, 2.0, 0.0, 0.0]), np.array([0.0, 2.0, 0.0, 2.1, 0.0]))
+    twice = tuple(np.concatenate((v[:-1], v)) for v in cut_box(3, 0.0, 0.0, 1.0, 1.0))
+    bounds, _ = overlap._inside(rows_of(crossed, twice, ring(9, 1.0)), np.arange(3))
+    assert np.isnan(bounds).all(axis=1).tolist() == [True, True, False]
+
+
+def geometry_rows(spark, shapes):
+    data = [
+        (k, None if s is None else bytearray(wkb(*s)), *map(float, b))
+        for k, (s, b) in enumerate((s, (0, 0, 9, 9) if s is None else (s[0].min(), s[1].min(), s[0].max(), s[1].max())) for s in shapes)
+    ]
+    return spark.createDataFrame(data, "id long, geometry binary, minx double, miny double, maxx double, maxy double")
+
+
+def test_boxes_inside_settle_pairs_of_large_polygons(spark, monkeypatch):
+    """Pairs that share clearly more or less than asked for are not compared by their edges."""
+    chance = random.Random(9)
+    boxes = [(x, y, x + chance.uniform(1, 3), y + chance.uniform(1, 3)) for x, y in ((chance.uniform(0, 8), chance.uniform(0, 8)) for _ in range(40))]
+    # A tenth of each side is just the share asked for: that is left to the edges.
+    boxes += [(20.0, 20.0, 21.0, 21.0), (20.9, 20.9, 21.9, 21.9)]
+    df = geometry_rows(spark, [cut_box(50, *b) for b in boxes])
+    compared = []
+    monkeypatch.setattr(spatial, "geometries_relate", lambda *args: compared.append(args) or F.lit(False))
+    found = {tuple(r) for r in spatial.overlap_join(df, df).select("l.id", "r.id").collect()}
+    shares = {
+        (i, j): max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0) / ((a[2] - a[0]) * (a[3] - a[1]))
+        for i, a in enumerate(boxes) for j, b in enumerate(boxes)
+    }
+    assert found == {p for p, share in shares.items() if share > 0.01 + 1e-5}
+    assert len(compared) == 1 and len(found) > 100
+
+
+@pytest.mark.parametrize("ratio", [0.01, 0.1, 0.5])
+def test_large_polygons_equal_all_pairs(spark, ratio):
+    """Blobs, crossed and empty ones among them, of few and many edges, against each pair on its own."""
+    chance = random.Random(10)
+    shapes = [blob(chance, chance.choice([5, 60, 400]), chance.uniform(0, 9), chance.uniform(0, 9), chance.uniform(0.2, 2)) for _ in range(60)]
+    shapes += [None, (np.array([0.0, 9.0, 9.0, 0.0, 0.0]), np.array([0.0, 9.0, 0.0, 8.0, 0.0])), (np.zeros(5) + 4, np.array([0.0, 9.0, 9.0, 0.0, 0.0]))]
+    df = geometry_rows(spark, shapes)
+    pairs = spatial.overlap_join(df, df, min_ratio=ratio)
+    found = sorted(map(tuple, pairs.select("l.id", F.col("r.id").alias("other")).collect()))
+    other = df.select(F.col("id").alias("other"), F.col("geometry").alias("h"))
+    every = df.crossJoin(other).filter(overlap.geometries_relate(F.col("geometry"), F.col("h"), ratio))
+    assert found == sorted(map(tuple, every.select("id", "other").collect())) and len(found) > 100
+    assert pairs.schema["l"].dataType.names == df.columns
+
+
 def test_written_layer_has_row_groups_by_place(spark, tmp_path):
     rows = spark.range(500).selectExpr("CAST(id AS STRING) AS _unique_id", "id % 20 * 1.0 AS minx", "id % 7 * 1.0 AS miny", "id % 20 + 0.5 AS maxx", "id % 7 + 0.5 AS maxy")
     sinks.write_layer(rows, f"{tmp_path}/l", cell=4.0, files=5)
